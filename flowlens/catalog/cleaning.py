@@ -67,8 +67,8 @@ def clean_chain(spark, sf):
 @query("nan_to_num", "SELECT row_key, " + ", ".join(f"coalesce({c}, 0.0::DOUBLE) AS {c}" for c in COLS) + " FROM dnum",
        ("dnum",))
 def nan_to_num(spark, sf):
-    df = V.dirty(spark, sf)
-    return df.select("row_key", *[X.nan_to_num(X.to_double(F.col(c))).alias(c) for c in COLS])
+    df = V.dirty(spark, sf).select("row_key", *[X.to_double(F.col(c)).alias(c) for c in COLS])
+    return df.select("row_key", *[X.nan_to_num(F.col(c)).alias(c) for c in COLS])
 
 
 @query("column_median_iqr", " UNION ALL ".join(

@@ -9,7 +9,6 @@ from ..operators import metrics as M, trees as T
 from . import views as V
 from .registry import query, r, ratio
 
-Y, SC, S2 = F.col("y"), F.col("s"), F.col("s2")
 P = "(CASE WHEN s >= 0.5 THEN 1 ELSE 0 END)"
 
 
@@ -23,7 +22,7 @@ def confusion_matrix(spark, sf):
 
 @query("accuracy", f"SELECT {r(f'avg((y = {P})::INT)')} AS accuracy FROM scored", ("scored",))
 def accuracy(spark, sf):
-    return M.accuracy(V.scored(spark, sf), Y, X.predict(SC))
+    return M.accuracy(V.scored(spark, sf), F.col("y"), X.predict(F.col("s")))
 
 
 def _counts(t: str = "0.5", s: str = "s") -> str:
@@ -39,20 +38,20 @@ _F1 = "(CASE WHEN pr + rc > 0 THEN 2.0::DOUBLE * pr * rc / (pr + rc) ELSE 0.0::D
     c AS (SELECT {_counts()} FROM scored), q AS (SELECT *, {_PR} FROM c)
     SELECT {r('pr')} AS precision, {r('rc')} AS recall, {r(_F1)} AS f1 FROM q""", ("scored",))
 def precision_recall_f1(spark, sf):
-    return M.precision_recall_f1(V.scored(spark, sf), Y, X.predict(SC))
+    return M.precision_recall_f1(V.scored(spark, sf), F.col("y"), X.predict(F.col("s")))
 
 
 @query("fpr_fnr", f"""
     c AS (SELECT {_counts()} FROM scored)
     SELECT {r(ratio('fp', 'fp + tn'))} AS fpr, {r(ratio('fn', 'fn + tp'))} AS fnr FROM c""", ("scored",))
 def fpr_fnr(spark, sf):
-    return M.error_rates(V.scored(spark, sf), Y, X.predict(SC))
+    return M.error_rates(V.scored(spark, sf), F.col("y"), X.predict(F.col("s")))
 
 
 @query("predict_threshold", "SELECT event_id, s >= 0.35 AS flag, CASE WHEN s >= 0.35 THEN 1 ELSE 0 END AS pred FROM scored",
        ("scored",))
 def predict_threshold(spark, sf):
-    p = X.predict(SC, 0.35)
+    p = X.predict(F.col("s"), 0.35)
     return V.scored(spark, sf).select("event_id", (p == 1).alias("flag"), p.alias("pred"))
 
 
@@ -68,12 +67,12 @@ def auc_sql(source: str, s: str, keys: str = "", name: str = "auc") -> str:
 
 @query("roc_auc", f"{auc_sql('scored', 's')} SELECT {r('auc')} AS auc FROM au", ("scored",))
 def roc_auc(spark, sf):
-    return M.roc_auc(V.scored(spark, sf), Y, SC)
+    return M.roc_auc(V.scored(spark, sf), F.col("y"), F.col("s"))
 
 
 @query("roc_auc_tied", f"{auc_sql('scored', 's2')} SELECT {r('auc')} AS auc FROM au", ("scored",))
 def roc_auc_tied(spark, sf):
-    return M.roc_auc(V.scored(spark, sf), Y, S2)
+    return M.roc_auc(V.scored(spark, sf), F.col("y"), F.col("s2"))
 
 
 @query("roc_auc_ungrouped", f"""
@@ -81,7 +80,7 @@ def roc_auc_tied(spark, sf):
     SELECT {r('sum(CASE WHEN y = 0 THEN tp ELSE 0 END)::DOUBLE / (sum(y)::DOUBLE * (count(*) - sum(y))::DOUBLE)')} AS auc FROM w""",
        ("scored",))
 def roc_auc_ungrouped(spark, sf):
-    return M.roc_auc_ungrouped(V.scored(spark, sf), Y, S2, "event_id")
+    return M.roc_auc_ungrouped(V.scored(spark, sf), F.col("y"), F.col("s2"), "event_id")
 
 
 def _ll(eps: str, s: str = "s") -> str:
@@ -91,21 +90,21 @@ def _ll(eps: str, s: str = "s") -> str:
 
 @query("logloss", f"SELECT {r('avg(' + _ll('1e-7') + ')')} AS logloss FROM scored", ("scored",))
 def logloss(spark, sf):
-    return M.logloss(V.scored(spark, sf), Y, SC)
+    return M.logloss(V.scored(spark, sf), F.col("y"), F.col("s"))
 
 
 @query("bce_loss", f"""
     SELECT {r('avg(' + _ll('1e-9') + ')')} AS from_probability,
     {r('avg(' + _ll('1e-9', '(1.0::DOUBLE / (1.0::DOUBLE + exp(-(4 * s - 2))))') + ')')} AS from_logit FROM scored""", ("scored",))
 def bce_loss(spark, sf):
-    return V.scored(spark, sf).agg(F.avg(X.bce(Y, SC)).alias("from_probability"),
-                                   F.avg(X.bce(Y, 4 * SC - 2, from_logits=True)).alias("from_logit"))
+    return V.scored(spark, sf).agg(F.avg(X.bce(F.col("y"), F.col("s"))).alias("from_probability"),
+                                   F.avg(X.bce(F.col("y"), 4 * F.col("s") - 2, from_logits=True)).alias("from_logit"))
 
 
 @query("weighted_bce_loss", f"""
     SELECT {r('avg((CASE WHEN y = 1 THEN 3.0 ELSE 1.0 END)::DOUBLE * ' + _ll('1e-9') + ')')} AS loss FROM scored""", ("scored",))
 def weighted_bce_loss(spark, sf):
-    return V.scored(spark, sf).agg(F.avg(X.bce(Y, SC, pos_weight=3.0)).alias("loss"))
+    return V.scored(spark, sf).agg(F.avg(X.bce(F.col("y"), F.col("s"), pos_weight=3.0)).alias("loss"))
 
 
 _P9 = "greatest(1e-9::DOUBLE, least(1.0::DOUBLE - 1e-9::DOUBLE, s))"
@@ -115,7 +114,7 @@ _AT = "(CASE WHEN y = 1 THEN 0.25::DOUBLE ELSE 0.75::DOUBLE END)"
 
 @query("focal_loss", f"SELECT {r(f'avg(-{_AT} * pow(1.0::DOUBLE - {_PT}, 2) * ln({_PT}))')} AS loss FROM scored", ("scored",))
 def focal_loss(spark, sf):
-    return V.scored(spark, sf).agg(F.avg(X.focal(Y, SC)).alias("loss"))
+    return V.scored(spark, sf).agg(F.avg(X.focal(F.col("y"), F.col("s"))).alias("loss"))
 
 
 _Z = "(1.0::DOUBLE / (1.0::DOUBLE + exp(-(4 * s - 2))))"
@@ -133,11 +132,11 @@ _MT = f"(CASE WHEN y = 1 THEN {_MID} ELSE 1.0::DOUBLE - {_MID} END)"
 def loss_gradients(spark, sf):
     df = V.scored(spark, sf)
     n = F.lit(df.count())  # the batch size is a fitted number, not a window over all rows
-    mid = X.clip(SC, 0.01, 0.99)
+    mid = X.clip(F.col("s"), 0.01, 0.99)
     return df.select(
-        "event_id", X.bce_slope(Y, mid, n).alias("bce"), X.bce_slope(Y, 4 * SC - 2, n, from_logits=True).alias("bce_logit"),
-        X.bce_slope(Y, 4 * SC - 2, n, from_logits=True, pos_weight=3.0).alias("weighted_logit"),
-        X.focal_slope(Y, mid, n).alias("focal"))
+        "event_id", X.bce_slope(F.col("y"), mid, n).alias("bce"), X.bce_slope(F.col("y"), 4 * F.col("s") - 2, n, from_logits=True).alias("bce_logit"),
+        X.bce_slope(F.col("y"), 4 * F.col("s") - 2, n, from_logits=True, pos_weight=3.0).alias("weighted_logit"),
+        X.focal_slope(F.col("y"), mid, n).alias("focal"))
 
 
 def _sweep_sql(grid: str) -> str:
@@ -154,26 +153,26 @@ _FINE = "SELECT unnest(range(1, 100)) / 100.0::DOUBLE AS t"
     SELECT threshold, {r('f1')} AS f1, {r('precision')} AS precision, {r('recall')} AS recall, {r('accuracy')} AS accuracy FROM sw""",
        ("scored",))
 def threshold_sweep(spark, sf):
-    return M.threshold_sweep(V.scored(spark, sf), Y, SC)
+    return M.threshold_sweep(V.scored(spark, sf), F.col("y"), F.col("s"))
 
 
 @query("threshold_sweep_fine", _sweep_sql(_FINE) + f"""
     SELECT threshold, {r('f1')} AS f1, {r('precision')} AS precision, {r('recall')} AS recall, {r('accuracy')} AS accuracy FROM sw""",
        ("scored",))
 def threshold_sweep_fine(spark, sf):
-    return M.threshold_sweep(V.scored(spark, sf), Y, SC, M.GRID_FINE)
+    return M.threshold_sweep(V.scored(spark, sf), F.col("y"), F.col("s"), M.GRID_FINE)
 
 
 @query("best_threshold_f1", _sweep_sql(_FINE) + f"""
     SELECT threshold, {r('f1')} AS f1 FROM sw WHERE true ORDER BY sw.f1 DESC, threshold LIMIT 1""", ("scored",))
 def best_threshold_f1(spark, sf):
-    return M.best_threshold(V.scored(spark, sf), Y, SC, "f1")
+    return M.best_threshold(V.scored(spark, sf), F.col("y"), F.col("s"), "f1")
 
 
 @query("best_threshold_accuracy", _sweep_sql("SELECT unnest(range(10, 91)) / 100.0::DOUBLE AS t") + f"""
     SELECT threshold, {r('accuracy')} AS accuracy FROM sw WHERE true ORDER BY sw.accuracy DESC, threshold LIMIT 1""", ("scored",))
 def best_threshold_accuracy(spark, sf):
-    return M.best_threshold(V.scored(spark, sf), Y, SC, "accuracy", M.GRID_MIDDLE)
+    return M.best_threshold(V.scored(spark, sf), F.col("y"), F.col("s"), "accuracy", M.GRID_MIDDLE)
 
 
 @query("threshold_table", _sweep_sql(_FINE) + f""",
@@ -182,7 +181,7 @@ def best_threshold_accuracy(spark, sf):
     CASE WHEN threshold IN (SELECT threshold FROM b) THEN 1 ELSE 0 END AS is_best FROM sw
     WHERE round(threshold * 100) IN (30, 40, 50, 60, 70) OR threshold IN (SELECT threshold FROM b)""", ("scored",))
 def threshold_table(spark, sf):
-    return M.threshold_table(V.scored(spark, sf), Y, SC)
+    return M.threshold_table(V.scored(spark, sf), F.col("y"), F.col("s"))
 
 
 def eval_sql(source: str, key: str, s: str, t: str = "0.5") -> str:
@@ -190,13 +189,14 @@ def eval_sql(source: str, key: str, s: str, t: str = "0.5") -> str:
     {auc_sql(source, s, key)},
     c AS (SELECT {key}, {_counts(t, s)}, count(*) AS n, avg({_ll('1e-7', s)}) AS logloss FROM {source} GROUP BY {key}),
     q AS (SELECT *, {_PR}, {ratio('fp', 'fp + tn')} AS fpr, {ratio('fn', 'fn + tp')} AS fnr FROM c),
+    ev_raw AS (SELECT q.{key}, ac AS accuracy, pr AS precision, rc AS recall, {_F1} AS f1, auc FROM q JOIN au ON q.{key} = au.{key}),
     ev_out AS (SELECT q.{key}, tp, fp, fn, tn, n, {r('logloss')} AS logloss, {r('pr')} AS precision, {r('rc')} AS recall,
       {r('ac')} AS accuracy, {r('fpr')} AS fpr, {r('fnr')} AS fnr, {r(_F1)} AS f1, {r('auc')} AS auc FROM q JOIN au ON q.{key} = au.{key})"""
 
 
 @query("evaluate_splits", eval_sql("scored", "split", "s") + " SELECT * FROM ev_out", ("scored",))
 def evaluate_splits(spark, sf):
-    return M.evaluate(V.scored(spark, sf), Y, SC, ["split"])
+    return M.evaluate(V.scored(spark, sf), F.col("y"), F.col("s"), ["split"])
 
 
 _DOCS = ("dl AS (SELECT d.source AS grp, l.quality AS y, least(d.n_chars / 5000.0::DOUBLE, 1.0::DOUBLE) AS s "
@@ -208,11 +208,11 @@ def evaluate_documents(spark, sf):
     docs, labels = V.table(spark, sf, "documents"), V.table(spark, sf, "labels")
     df = docs.join(labels, "doc_id").select(
         F.col("source").alias("grp"), F.col("quality").alias("y"), F.least(F.col("n_chars") / 5000.0, F.lit(1.0)).alias("s"))
-    return M.evaluate(df, Y, SC, ["grp"])
+    return M.evaluate(df, F.col("y"), F.col("s"), ["grp"])
 
 
 @query("classification_report", eval_sql("scored", "split", "s") + " " + " UNION ALL ".join(
-    f"SELECT split, '{m}' AS metric, {r(m, 4)} AS value FROM ev_out" for m in ("accuracy", "precision", "recall", "f1", "auc")),
+    f"SELECT split, '{m}' AS metric, {r(m, 4)} AS value FROM ev_raw" for m in ("accuracy", "precision", "recall", "f1", "auc")),
     ("scored",))
 def classification_report(spark, sf):
     return M.report(evaluate_splits(spark, sf), keys=["split"])
@@ -224,7 +224,7 @@ _METRICS = ("accuracy", "precision", "recall", "f1", "auc", "fpr", "fnr")
 
 def _runs(spark, sf):
     df = V.scored(spark, sf).withColumn("run", F.col("event_id") % 5)
-    return M.report(M.evaluate(df, Y, SC, ["run"]), _METRICS, ["run"], digits=6)
+    return M.report(M.evaluate(df, F.col("y"), F.col("s"), ["run"]), _METRICS, ["run"], digits=6)
 
 
 @query("repeat_summary", _RUNS + "," + eval_sql("runs", "run", "s") + ", m AS (" + " UNION ALL ".join(
@@ -256,7 +256,7 @@ def importance_summary(spark, sf):
     FROM ev_out e JOIN c2 ON e.split = c2.split JOIN q ON q.split = e.split""", ("scored",))
 def metric_delta(spark, sf):
     df = V.scored(spark, sf)
-    return M.metric_delta(M.evaluate(df, Y, SC, ["split"]), M.evaluate(df, Y, S2, ["split"]), ["split"], "accuracy", 0.8)
+    return M.metric_delta(M.evaluate(df, F.col("y"), F.col("s"), ["split"]), M.evaluate(df, F.col("y"), F.col("s2"), ["split"]), ["split"], "accuracy", 0.8)
 
 
 @query("prediction_parity", f"""
@@ -264,4 +264,4 @@ def metric_delta(spark, sf):
     SELECT n, flips, {r(ratio('flips', 'n'))} AS flip_rate, CASE WHEN {ratio('flips', 'n')} <= 0.01 THEN 'pass' ELSE 'warn' END AS verdict
     FROM c""", ("scored",))
 def prediction_parity(spark, sf):
-    return M.prediction_parity(V.scored(spark, sf), X.predict(SC, 0.505), X.predict(S2, 0.505))
+    return M.prediction_parity(V.scored(spark, sf), X.predict(F.col("s"), 0.505), X.predict(F.col("s2"), 0.505))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..operators import clean as C, metrics as M, sample as S, scale as K
+from ..plans.small import materialise
 from . import views as V
 from .evaluation import _FINE, _sweep_sql, eval_sql
 from .registry import query
@@ -45,8 +46,10 @@ def _sql() -> str:
 @query("calibrated_scoring", _sql(), ("dnum",))
 def calibrated_scoring(spark, sf):
     """Metrics per split at the threshold that is best on the validation rows."""
-    cleaned = C.clean_chain(V.dnum(spark, sf), FEATS).select("row_key", "y", *FEATS)
-    split = S.split_corrected(cleaned, "y", ["row_key"], 0.15, 0.15)
+    # Two stages are written out because several jobs read each of them.
+    parsed = materialise(V.dnum(spark, sf).select("row_key", "y", *FEATS), "parsed")
+    cleaned = C.clean_chain(parsed, FEATS)
+    split = materialise(S.split_corrected(cleaned, "y", ["row_key"], 0.15, 0.15), "split")
     scaled = K.transform(split, K.robust_fit(split.filter("split = 'train'"), FEATS))
     z = F.lit(BIAS)
     for c, w in WEIGHTS.items():

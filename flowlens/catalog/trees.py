@@ -272,21 +272,23 @@ def _newton_stats():
 
 # The hessian limit lies between two reachable sums, so rounding noise cannot move a split across it.
 @query("newton_split_scan", f"{_PRIOR}, {newton_sql('gh', '0', 5.013)}" + f"""
-    SELECT feature, {r('threshold', 4)} AS threshold, cl::BIGINT AS left_n, {r('gain', 4)} AS gain FROM gn""", ("flows",), digits=4)
+    SELECT feature, {r('threshold')} AS threshold, cl::BIGINT AS left_n, {r('gain', 4)} AS gain FROM gn""", ("flows",))
 def newton_split_scan(spark, sf):
     df = _root(_prior(spark, sf))
     splits = T.running_splits(df, "node", FEATS, T.split_edges(df, FEATS), _newton_stats())
-    return T.newton_gain(splits, min_child=5.013).select("feature", "threshold", F.col("cum_n").alias("left_n"), "gain")
+    return T.newton_gain(splits, min_child=5.013).select(
+        "feature", "threshold", F.col("cum_n").alias("left_n"), F.round("gain", 4).alias("gain"))
 
 
 @query("newton_best_split", f"{_PRIOR}, {newton_sql('gh', 'l_linenumber', 5.013)}" + f""",
     b AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, feature, v) AS k FROM gn)
-    SELECT node, feature, {r('threshold', 4)} AS threshold, {r('gain', 4)} AS gain, cl::BIGINT AS cum_n FROM b WHERE k = 1 AND gain > 0""",
-       ("flows",), digits=4)
+    SELECT node, feature, {r('threshold')} AS threshold, {r('gain', 4)} AS gain, cl::BIGINT AS cum_n FROM b WHERE k = 1 AND gain > 0""",
+       ("flows",))
 def newton_best_split(spark, sf):
     df = _prior(spark, sf).withColumnRenamed("l_linenumber", "node")
     splits = T.running_splits(df, "node", FEATS, T.split_edges(df, FEATS), _newton_stats())
-    return T.best_split(T.newton_gain(splits, min_child=5.013).filter("gain > 0"), "node", ["cum_n"])
+    best = T.best_split(T.newton_gain(splits, min_child=5.013).filter("gain > 0"), "node", ["cum_n"])
+    return best.withColumn("gain", F.round("gain", 4))
 
 
 @query("newton_leaf_weight", f"""{_PRIOR}

@@ -22,7 +22,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 _KEY = ("concat_ws('-', cast(l_orderkey as {s}), cast(l_linenumber as {s}), cast(l_partkey as {s}), "
         "cast(l_suppkey as {s}), cast(cast(l_quantity as bigint) as {s}), "
-        "cast(cast(round(l_extendedprice * 100) as bigint) as {s}))")
+        "cast(cast(floor(l_extendedprice * 100 + 0.5) as bigint) as {s}))")
 _Y = "cast(case when l_extendedprice * (1 - l_discount) > 70000 then 1 else 0 end as int)"
 _IDS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
@@ -60,7 +60,7 @@ def dirty(spark: SparkSession, sf: str) -> DataFrame:
 
 def dnum(spark: SparkSession, sf: str) -> DataFrame:
     """``dirty`` after casting: one missing value, NULL."""
-    return dirty(spark, sf).withColumns({c: X.parse_double(F.col(c)) for c in INPUTS})
+    return X.parse_columns(dirty(spark, sf), INPUTS)
 
 
 # --- events -----------------------------------------------------------------------
@@ -118,7 +118,7 @@ _NODE = {
 }
 _TREE_TOTALS = {
     "n": "count(*)", "pos": "cast(sum(y) as bigint)",
-    "t1": "floor(cast(sum(cast(round(f1 * 100) as bigint)) as double) / (count(*) * 100))",
+    "t1": "floor(cast(sum(cast(floor(f1 * 100 + 0.5) as bigint)) as double) / (count(*) * 100))",
     "t0": "floor(cast(sum(cast(f0 as bigint)) as double) / count(*))",
 }
 
@@ -165,7 +165,7 @@ def losses(spark: SparkSession, sf: str) -> DataFrame:
             .agg(F.expr(_LOSS).alias("val_loss")))
 
 
-_LOSS = ("cast(1 as double) / (event_id_round + 1) + floor(cast(sum(cast(round(value * 100) as bigint)) as double) / count(*) / 100) / 200"
+_LOSS = ("cast(1 as double) / (event_id_round + 1) + floor(cast(sum(cast(floor(value * 100 + 0.5) as bigint)) as double) / count(*) / 100) / 200"
          ).replace("event_id_round", "least(max(event_id % 40), 15)")
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 # A decimal number as plain text (no digit separators, no type suffix). Fixed value.
 NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
@@ -28,10 +30,24 @@ def to_double(c: Column) -> Column:
     return F.when(is_number(c), F.trim(c).try_cast("double"))
 
 
-def parse_double(c: Column) -> Column:
-    """Text to a finite double; empty, special and garbage cells become NULL."""
+def plain_double(c: Column) -> Column:
+    """Plain decimal text to double, anything else NULL (a huge exponent still gives infinity)."""
     t = F.trim(c)
-    return finite(F.when(t.rlike(NUMBER), t.try_cast("double")))
+    return F.when(t.rlike(NUMBER), t.try_cast("double"))
+
+
+def parse_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Text columns to finite doubles; empty, special and garbage cells become NULL.
+
+    Two projections, so that the text is matched and cast once per cell.
+    """
+    return (df.withColumns({c: plain_double(F.col(c)) for c in cols})
+            .withColumns({c: finite(F.col(c)) for c in cols}))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind ``value`` once for use inside array lambdas, which would evaluate it per element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def nan_to_num(c: Column, replacement: float = 0.0) -> Column:
@@ -128,10 +144,14 @@ def activation(name):
 
 def softmax(v: Column) -> Column:
     """Softmax of an array column, shifted by its maximum."""
-    top = F.array_max(v)
-    e = F.transform(v, lambda x: F.exp(x - top))
-    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(e, lambda x: x / total)
+    def scaled(s: Column) -> Column:
+        return F.transform(s["v"], lambda x: F.exp(x - s["top"]))
+
+    def shares(s: Column) -> Column:
+        return F.transform(s["e"], lambda x: x / s["total"])
+
+    exps = let(F.struct(v.alias("v"), F.array_max(v).alias("top")), scaled)
+    return let(exps, lambda e: let(F.struct(e.alias("e"), F.aggregate(e, F.lit(0.0), lambda a, x: a + x).alias("total")), shares))
 
 
 # --- per-row losses and their slopes ---------------------------------------

@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import expr as X
-from ..plans.small import ensure_checkpoint_dir
+from ..plans.small import ensure_checkpoint_dir, materialise
 from . import trees as T
 from .sample import row_subsample
 
@@ -105,8 +105,11 @@ def boost(df: DataFrame, features: Sequence[str], y: str, keys: Sequence[str], r
         base = base_score(df, F.col(y)).first()["base_score"]
     edges = T.split_edges(df, features)
     model = BoostedModel(float(base), rate, lam, features)
-    train = df.select(*keys, *features, F.col(y)).withColumn("_raw", F.lit(model.base))
-    held = None if valid is None else valid.select(*features, F.col(y)).withColumn("_raw", F.lit(model.base))
+    # Every round reads these tables several times: write them narrow, with their buckets, once.
+    train = materialise(T.with_buckets(df.select(*keys, *features, F.col(y)), features, edges), "train")
+    train = train.withColumn("_raw", F.lit(model.base))
+    held = None if valid is None else materialise(valid.select(*features, F.col(y)), "valid").withColumn(
+        "_raw", F.lit(model.base))
     best, best_len, waited = math.inf, 0, 0
     for t in range(rounds):
         grads = with_gradients(train, F.col(y), F.col("_raw"))

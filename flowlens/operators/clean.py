@@ -41,10 +41,8 @@ def impute(df: DataFrame, medians: Mapping[str, float]) -> DataFrame:
 
 def drop_all_missing(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Rows with at least one finite feature."""
-    any_seen = F.lit(False)
-    for c in cols:
-        any_seen = any_seen | (F.col(c).isNotNull() & ~F.isnan(F.col(c)))
-    return df.filter(any_seen)
+    # Each column is named once: a filter is pushed below the projections that made it.
+    return df.filter(F.coalesce(*[F.nanvl(F.col(c), F.lit(None).cast("double")) for c in cols]).isNotNull())
 
 
 def fit_clip(df: DataFrame, cols: Sequence[str], low: float = 1.0, high: float = 99.0,
@@ -65,9 +63,10 @@ def clean_chain(df: DataFrame, cols: Sequence[str], low: float = 1.0, high: floa
     """
     source = df if fit_on is None else fit_on
     medians = fit_medians(source, cols, exact)
-    ready = drop_all_missing(impute(df, medians), cols)
-    bounds = fit_clip(drop_all_missing(impute(source, medians), cols), cols, low, high, exact)
-    return clip(ready, bounds)
+    # No imputed cell is missing, so the drop step cannot remove a row here; running
+    # it would only re-evaluate the input expressions in a pushed-down filter.
+    bounds = fit_clip(impute(source, medians), cols, low, high, exact)
+    return clip(impute(df, medians), bounds)
 
 
 def median_iqr(df: DataFrame, cols: Sequence[str], empty_iqr: float = 1.0,

@@ -35,6 +35,11 @@ def split_edges(df: DataFrame, features: Sequence[str], buckets: int | None = No
     return bucket_edges(df, features, buckets)
 
 
+def with_buckets(df: DataFrame, features: Sequence[str], edges: Mapping[str, Sequence[float]]) -> DataFrame:
+    """Bucket numbers of the features, unless the table already carries them."""
+    return df if all(f"_b_{f}" in df.columns for f in features) else add_buckets(df, features, edges)
+
+
 def running_splits(df: DataFrame, node: str, features: Sequence[str], edges: Mapping[str, Sequence[float]],
                    stats: Mapping[str, Column], binned: bool = False) -> DataFrame:
     """Every place a (node, feature) can be cut, with the sums to its left.
@@ -44,8 +49,8 @@ def running_splits(df: DataFrame, node: str, features: Sequence[str], edges: Map
     nodes x features x buckets. Adds ``cum_*``, ``tot_*`` and ``threshold``, the
     midpoint between neighbouring values.
     """
-    ready = add_buckets(df.select(node, *features, *[c.alias(f"_s_{s}") for s, c in stats.items()]),
-                        features, edges)
+    ready = with_buckets(df, features, edges).select(
+        node, *features, *[f"_b_{f}" for f in features], *[c.alias(f"_s_{s}") for s, c in stats.items()])
     cells = F.array(*[F.struct(F.lit(i).alias("feature"), F.col(f"_b_{f}").alias("b"),
                                F.col(f).cast("double").alias("v")) for i, f in enumerate(features)])
     long = (ready.select(node, *[f"_s_{s}" for s in stats], F.explode(cells).alias("c"))
@@ -92,6 +97,10 @@ def best_split(gains: DataFrame, node: str, extra: Sequence[str]) -> DataFrame:
     """Per node the largest gain; ties go to the first feature, then the lowest value."""
     pick = F.struct("feature", "threshold", "gain", *extra)
     first = F.struct(F.col("gain"), -F.col("feature"), -F.col("lo"))
+    # Splits are still laid out by bucket: a maximum there needs no further sort or
+    # shuffle, and leaves about one row per bucket for the aggregate that breaks ties.
+    top = F.max("gain").over(Window.partitionBy(node, "feature", "b"))
+    gains = gains.withColumn("_top", top).filter(F.col("gain") == F.col("_top"))
     return gains.groupBy(node).agg(F.max_by(pick, first).alias("s")).select(node, "s.*")
 
 
@@ -205,11 +214,11 @@ def node_table(spark, trees: Sequence[Tree], newton_lambda: float | None = None)
 
 # --- scoring -------------------------------------------------------------------
 
-def _compile_rows(nodes: Mapping[int, object], features: Sequence[str], leaf: str) -> Column:
+def _compile_rows(nodes: Mapping[int, object], features: Sequence[str], leaf: Callable[[object], Column]) -> Column:
     def at(i: int) -> Column:
         node = nodes[i]
         if node["feature"] < 0:
-            return F.lit(node[leaf])
+            return leaf(node)
         return (F.when(F.col(features[node["feature"]]) <= F.lit(node["threshold"]), at(node["left_id"]))
                 .otherwise(at(node["right_id"])))
     return at(0)
@@ -228,7 +237,7 @@ def model_rows(nodes: DataFrame, limit: int = COMPILED_NODES):
 
 def leaf_columns(model: Mapping, features: Sequence[str], leaf: str) -> list[Column]:
     """One compiled expression per tree."""
-    return [_compile_rows(t, features, leaf) for t in model.values()]
+    return [_compile_rows(t, features, lambda v: F.lit(v[leaf])) for t in model.values()]
 
 
 def route_join(df: DataFrame, nodes: DataFrame, features: Sequence[str], keep: Sequence[str],
@@ -269,12 +278,12 @@ def route(df: DataFrame, nodes: DataFrame, features: Sequence[str], keep: Sequen
     model = model_rows(nodes)
     if model is None:
         return route_join(df, nodes, features, keep)
-    pairs = F.array(*[
-        F.struct(F.lit(int(t)).cast("bigint").alias("tree_id"),
-                 _compile_rows(v, features, "node_id").alias("node_id"),
-                 _compile_rows(v, features, "value").alias("value"),
-                 _compile_rows(v, features, "prob").alias("prob"),
-                 _compile_rows(v, features, "leaf_value").alias("leaf_value")) for t, v in model.items()])
+    # The leaf is one literal struct, so a tree is walked once per row.
+    def leaf(v) -> Column:
+        return F.struct(F.lit(int(v["tree_id"])).cast("bigint").alias("tree_id"),
+                        *[F.lit(v[a]).alias(a) for a in ("node_id", "value", "prob", "leaf_value")])
+
+    pairs = F.array(*[_compile_rows(v, features, leaf) for v in model.values()])
     return df.select(*keep, F.explode(pairs).alias("p")).select(*keep, "p.*")
 
 

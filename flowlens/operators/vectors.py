@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import expr as X
@@ -25,8 +27,8 @@ def elementwise(a: Column, b, op: str) -> Column:
 
 
 def unary(a: Column, op: str, lo: float = 0.0, hi: float = 1.0) -> Column:
-    ops = {"clip": lambda x: F.greatest(F.lit(lo), F.least(F.lit(hi), x)), "abs": F.abs,
-           "log": X.log_shifted, "exp": F.exp}
+    ops = {"clip": lambda x: F.greatest(F.lit(lo), F.least(F.lit(hi), x)), "abs": lambda x: F.abs(x),
+           "log": lambda x: X.log_shifted(x), "exp": lambda x: F.exp(x)}
     if op not in ops:
         raise ValueError(f"unknown operation {op!r}")
     return F.transform(a, ops[op])
@@ -98,9 +100,6 @@ def dense_score(df: DataFrame, vec: str, layers: Sequence[Mapping], name: str =
     normalisation in inference form, ``gamma, beta, mean, var, eps``. Weights travel
     with the task; rows arrive in Arrow batches and each batch is one matrix product.
     """
-    import numpy as np
-    import pandas as pd
-
     model = []
     for layer in layers:
         if layer.get("activation") not in X.ACTIVATIONS:
@@ -108,8 +107,7 @@ def dense_score(df: DataFrame, vec: str, layers: Sequence[Mapping], name: str =
         model.append({k: np.asarray(v, dtype="float64") if k in ("w", "b", "gamma", "beta", "mean", "var") else v
                       for k, v in layer.items()})
 
-    @F.pandas_udf("double")
-    def score(batch: pd.Series) -> pd.Series:
+    def forward(batch: pd.Series) -> pd.Series:
         if len(batch) == 0:
             return pd.Series([], dtype="float64")
         z = np.vstack(batch.to_numpy()).astype("float64")
@@ -129,4 +127,5 @@ def dense_score(df: DataFrame, vec: str, layers: Sequence[Mapping], name: str =
                 z = m["gamma"] * (z - m["mean"]) / np.sqrt(m["var"] + m.get("eps", 1e-5)) + m["beta"]
         return pd.Series(z[:, -1])
 
+    score = F.pandas_udf(forward, "double")
     return df.withColumn(name, score(as_doubles(F.col(vec))))

@@ -17,21 +17,24 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .small import fetch_small
 
 # Largest number of cells (rows x columns) one aggregation buffer may hold.
-DIRECT_CELLS = 5_000_000
+DIRECT_CELLS = 1_000_000
 ROWS_PER_BUCKET = 1_000_000
 MIN_BUCKETS, MAX_BUCKETS = 64, 16_384
 
 
 def bucket_edges(df: DataFrame, cols: Sequence[str], buckets: int | None = None) -> dict[str, list[float]]:
     """Strictly increasing inner edges per column, about equal rows between them."""
-    if buckets is None:
-        rows = df.count()
-        buckets = max(MIN_BUCKETS, min(MAX_BUCKETS, rows // ROWS_PER_BUCKET))
-    probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    accuracy = F.lit(max(10_000, 8 * buckets))
-    row = df.agg(*[
-        F.percentile_approx(F.col(c).cast("double"), probs, accuracy).alias(c) for c in cols
-    ]).first()
+    def fit(k: int):
+        probs = F.array(*[F.lit(i / k) for i in range(1, k)])
+        accuracy = F.lit(max(10_000, 8 * k))
+        return df.agg(F.count(F.lit(1)).alias("_rows"), *[
+            F.percentile_approx(F.col(c).cast("double"), probs, accuracy).alias(c) for c in cols]).first()
+
+    k = buckets or MIN_BUCKETS
+    row = fit(k)
+    wanted = min(MAX_BUCKETS, row["_rows"] // ROWS_PER_BUCKET)
+    if buckets is None and wanted > k:  # a large table: fit again with more edges
+        row = fit(wanted)
     return {c: sorted(set(row[c] or [])) for c in cols}
 
 
@@ -42,9 +45,9 @@ def add_buckets(df: DataFrame, cols: Sequence[str], edges: Mapping[str, Sequence
     stage = Bucketizer(inputCols=list(cols), outputCols=[prefix + c for c in cols],
                        splitsArray=splits, handleInvalid="keep")
     out = stage.transform(df)
-    for c in cols:
-        out = out.withColumn(prefix + c, F.col(prefix + c).cast("int"))
-    return out
+    # Not nullable (-1 for NULL): otherwise a null check is pushed into one side of the
+    # join in running_sums, and its two sides stop sharing one shuffle.
+    return out.withColumns({prefix + c: F.coalesce(F.col(prefix + c).cast("int"), F.lit(-1)) for c in cols})
 
 
 def running_sums(slots: DataFrame, keys: Sequence[str], bucket: str, value: str,
@@ -71,7 +74,9 @@ def running_sums(slots: DataFrame, keys: Sequence[str], bucket: str, value: str,
         F.lead("_first").over(scan).alias("_next_first"))
     inside = Window.partitionBy(*keys, bucket).orderBy(sign(value))
     run = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = slots.join(per, [*keys, bucket])
+    # The scan below needs rows together by (keys, bucket) anyway, so that one shuffle
+    # also serves the join; the bucket table is the build side, small in every partition.
+    joined = slots.join(per.hint("shuffle_hash"), [*keys, bucket])
     out = joined.select(
         "*",
         *[(F.col(f"_off_{s}") + F.sum(s).over(run)).alias(f"cum_{s}") for s in sums],

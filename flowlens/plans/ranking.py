@@ -73,26 +73,29 @@ def rank_bounds(df: DataFrame, strata: Sequence[str], keys: Sequence[str], seed,
     counts = counts.withColumn("_n", F.sum("_c").over(whole))
     for i, t in enumerate(targets):
         counts = counts.withColumn(f"_k{i}", t(F.col("_n")).cast("bigint"))
-    hits = F.array(*[
-        F.when((F.col("_before") < F.col(f"_k{i}")) & (F.col(f"_k{i}") <= F.col("_before") + F.col("_c")),
-               F.struct(F.lit(i).alias("i"), (F.col(f"_k{i}") - F.col("_before")).alias("need")))
-        for i in range(len(targets))
-    ])
-    cut_prefix = (counts.select(*own, "_p", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("_t"))
-                  .select(*own, "_p", F.col("_t.i").alias("_i"), F.col("_t.need").alias("_need")))
+
+    def holds(i: int) -> Column:
+        return (F.col("_before") < F.col(f"_k{i}")) & (F.col(f"_k{i}") <= F.col("_before") + F.col("_c"))
+
+    # One row per stratum: its size, its targets, and for each target the prefix
+    # that holds it and the position inside that prefix.
+    plan, small = settle(counts.groupBy(*own).agg(F.max("_n").alias("_n"), *[
+        a for i in range(len(targets)) for a in (
+            F.max(f"_k{i}").alias(f"_k{i}"),
+            F.max(F.when(holds(i), F.struct("_p", (F.col(f"_k{i}") - F.col("_before")).alias("need")))).alias(f"_at{i}"))]))
+    wanted = plan.select(*own, F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_i"), F.col(f"_at{i}._p").alias("_p"), F.col(f"_at{i}.need").alias("_need"))
+        for i in range(len(targets))])).alias("_t")).select(*own, "_t.*").filter("_p IS NOT NULL")
     # Only rows of a boundary prefix are numbered.
-    edge = attach(work.select(*own, "_p", "_h", *keys), cut_prefix, [*own, "_p"], "inner")
+    edge = work.select(*own, "_p", "_h", *keys).join(F.broadcast(wanted) if small else wanted, [*own, "_p"])
     order = Window.partitionBy(*own, "_p", "_i").orderBy("_h", *keys)
     cuts = (edge.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") == F.col("_need"))
-            .select(*own, "_i", F.struct("_h", *keys).alias("_cut")))
-    bounds = cuts.groupBy(*own).agg(*[
-        F.max(F.when(F.col("_i") == i, F.col("_cut"))).alias(_bound_name(i)) for i in range(len(targets))
-    ])
-    sizes = counts.groupBy(*own).agg(
-        F.max("_n").alias("_n"), *[F.max(f"_k{i}").alias(f"_k{i}") for i in range(len(targets))])
+            .groupBy(*own).agg(*[
+                F.max(F.when(F.col("_i") == i, F.struct("_h", *keys))).alias(_bound_name(i)) for i in range(len(targets))]))
+    sizes = plan.select(*own, "_n", *[f"_k{i}" for i in range(len(targets))])
     # A missing bound means the target is 0 (nothing before it) or beyond the end.
     here = F.struct("_h", *keys)
-    marked = attach(work, sizes.join(bounds, own, "left"), own, "left")
+    marked = attach(work, sizes.join(cuts, own, "left"), own, "left")
     step = F.lit(0)
     for i in range(len(targets)):
         bound = F.col(_bound_name(i))

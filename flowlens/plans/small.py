@@ -72,6 +72,17 @@ def ensure_checkpoint_dir(spark) -> str:
     return own
 
 
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    Later jobs then scan narrow columnar files, pruned to the columns they use,
+    instead of repeating the work; losing an executor loses nothing.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark, label: str) -> str:
     """A fresh path in the shared folder; callers never reuse one."""
     import uuid

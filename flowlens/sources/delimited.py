@@ -43,7 +43,7 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
 
 def cast_numeric(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
     """Numeric columns to double with one missing value (NULL)."""
-    return df.withColumns({c: X.parse_double(F.col(c)) for c in numeric})
+    return X.parse_columns(df, numeric)
 
 
 def strict_records(lines: DataFrame, line: str, n_features: int, keep: Sequence[str] = (), sep: str = ",") -> DataFrame:
@@ -53,9 +53,13 @@ def strict_records(lines: DataFrame, line: str, n_features: int, keep: Sequence[
     empty feature is 0.0; the label is the last field.
     """
     cells = F.split(F.col(line), sep, -1)
+    # Staged projections: split once, trim once, cast once per cell.
     base = lines.select(*keep, cells.alias("_c"))
-    texts = [F.trim(F.get("_c", F.lit(i))) for i in range(n_features)]
-    nums = [F.when(t == "", F.lit(0.0)).otherwise(X.to_double(t)) for t in texts]
+    base = base.select(*keep, "_c", *[F.trim(F.get("_c", F.lit(i))).alias(f"_t{i}") for i in range(n_features)])
+    base = base.select(*keep, "_c", *[
+        F.when(F.col(f"_t{i}") == "", F.lit(0.0)).otherwise(X.to_double(F.col(f"_t{i}"))).alias(f"_n{i}")
+        for i in range(n_features)])
+    nums = [F.col(f"_n{i}") for i in range(n_features)]
     # NaN sorts above every number here, so it is excluded before the range check.
     bad = F.lit(False)
     for v in nums:
