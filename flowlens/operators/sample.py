@@ -72,9 +72,19 @@ def split_three_way(df: DataFrame, label: str, keys: Sequence[str], val: float,
 
 def split_corrected(df: DataFrame, label: str, keys: Sequence[str], val: float, test: float, seed: int = 42,
                     name: str = "split") -> DataFrame:
-    """Validation is a fraction of the total: val / (1 - test) of the remainder."""
-    first = split_stratified(df, label, keys, test, seed, name)
-    return _second_cut(first, label, keys, val / (1.0 - test), seed, name)
+    """Validation is a fraction of the total: val / (1 - test) of the remainder.
+
+    Both cuts use one seed, so the remainder keeps its order and the validation
+    rows are simply the next ranks: one search serves both cuts.
+    """
+    first, second = at_least_one(test), at_least_one(val / (1.0 - test))
+
+    def upto_val(n: Column) -> Column:
+        return first(n) + second(n - first(n))
+
+    out = rank_bounds(df, [label], keys, seed, [first, upto_val])
+    return out.withColumn(name, F.when(F.col("_step") == 0, "test").when(F.col("_step") == 1, "val")
+                          .otherwise("train")).drop("_step")
 
 
 def split_ceil(df: DataFrame, label: str, keys: Sequence[str], train: float, val: float, seed: int = 42,

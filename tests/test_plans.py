@@ -59,6 +59,21 @@ def test_rank_bounds_without_small_table(spark, monkeypatch):
     assert a == b
 
 
+@pytest.mark.parametrize("strata", [[], ["g"]])
+def test_rank_bounds_refines_large_prefixes(spark, monkeypatch, strata):
+    """Prefixes with too many rows are counted again by longer ones."""
+    monkeypatch.setattr(R, "SORTED_ROWS", 1)
+    monkeypatch.setattr(R, "FIRST_DIGITS", 1)
+    monkeypatch.setattr(R, "MORE_DIGITS", 1)
+    monkeypatch.setattr(R, "RANKED_ROWS", 10)
+    df = plain_rank(frame(spark), strata or [F.lit(1)])
+    out = R.rank_bounds(df, strata, ["id"], 42, [lambda n: F.floor(n * 0.2), lambda n: F.floor(n * 0.5)])
+    n = F.count(F.lit(1)).over(Window.partitionBy(*(strata or [F.lit(1)])))
+    want = sum((F.when(F.col("want") > F.floor(n * q), 1).otherwise(0) for q in (0.2, 0.5)), F.lit(0))
+    assert out.withColumn("w", want).filter("w <> _step").count() == 0
+    assert R.hash_rank(df, strata, ["id"], 42, "got").filter("got <> want").count() == 0
+
+
 def test_number_rows_is_dense(spark):
     out = R.number_rows(frame(spark, 100).repartition(5))
     assert sorted(r["row_no"] for r in out.collect()) == list(range(1, 101))
