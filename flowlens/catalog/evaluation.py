@@ -232,8 +232,7 @@ def _runs(spark, sf):
     SELECT metric, {r('avg(value)')} AS mean, {r('coalesce(stddev_samp(value), 0)')} AS std, count(*) AS n_runs,
     min(value) FILTER (run = 0) AS first_run FROM m GROUP BY metric""", ("scored",))
 def repeat_summary(spark, sf):
-    out = M.summarise_runs(_runs(spark, sf), ["metric"], "value", "run")
-    return out.select("metric", "mean", "std", "n_runs", F.element_at("runs", 1).alias("first_run"))
+    return M.summarise_runs(_runs(spark, sf), ["metric"], "value", "run")
 
 
 @query("importance_summary", f"""
@@ -246,7 +245,7 @@ def repeat_summary(spark, sf):
 def importance_summary(spark, sf):
     nodes = V.grove(spark, sf).withColumn("run", F.col("tree_id") % 5)
     per_run = T.importance_split_count(nodes, 4, ["run"])
-    return M.summarise_runs(per_run, ["feature"], "importance", "run").drop("runs").orderBy(F.desc("mean"), "feature")
+    return M.summarise_runs(per_run, ["feature"], "importance", "run").drop("first_run").orderBy(F.desc("mean"), "feature")
 
 
 @query("metric_delta", eval_sql("scored", "split", "s") + ", " + f"""

@@ -236,13 +236,15 @@ def leaf_replace(spark, sf):
 
 # --- second-order boosting -------------------------------------------------------------
 
-_PRIOR = "pr AS (SELECT avg(y) AS p0 FROM flows), gh AS (SELECT flows.*, p0 - y AS g, greatest(p0 * (1.0::DOUBLE - p0), 1e-7) AS h FROM flows, pr)"
+# The first round's gradients at a positive rate cut to 1/1024ths: their sums are exact in doubles, in any order.
+_PRIOR = ("pr AS (SELECT floor(avg(y) * 1024) / 1024.0::DOUBLE AS p0 FROM flows), "
+          "gh AS (SELECT flows.*, p0 - y AS g, p0 * (1.0::DOUBLE - p0) AS h FROM flows, pr)")
 
 
 def _prior(spark, sf):
     df = V.flows(spark, sf)
-    base = G.base_score(df, F.col("y")).first()["base_score"]
-    return G.with_gradients(df, F.col("y"), F.lit(base))
+    rate = df.agg(F.floor(F.avg("y") * 1024) / 1024.0).first()[0]
+    return df.withColumns({"g": F.lit(rate) - F.col("y"), "h": F.lit(rate * (1.0 - rate))})
 
 
 @query("grad_hess", f"""

@@ -7,7 +7,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import expr as X
-from ..plans.small import attach
+from ..plans.ranking import number_rows
+from ..plans.small import attach, settle
 
 # Identifier columns, with spaces or underscores. Fixed values.
 IDENTIFIERS = ("Flow ID", "Source IP", "Source Port", "Destination IP", "Destination Port", "Timestamp")
@@ -51,10 +52,17 @@ def encode_labels(df: DataFrame, col: str, out: str = "code") -> DataFrame:
 
 
 def label_classes(df: DataFrame, col: str, out: str = "code") -> DataFrame:
-    """Class table; one row per distinct class."""
-    classes = df.select(col).distinct()
-    order = Window.orderBy(F.col(col).cast("string"))
-    return classes.withColumn(out, F.row_number().over(order) - 1)
+    """Class table: one row per distinct class, numbered 0.. in text order.
+
+    A short class list is numbered in one task; a long one is sorted by ranges,
+    stored, and numbered from the row counts of its partitions.
+    """
+    classes, small = settle(df.select(col).distinct())
+    text = F.col(col).cast("string")
+    if small:
+        return classes.withColumn(out, F.row_number().over(Window.orderBy(text)) - 1)
+    ordered = classes.orderBy(text).checkpoint()
+    return number_rows(ordered, "_no").select(col, (F.col("_no") - 1).alias(out))
 
 
 def decode_labels(df: DataFrame, classes: DataFrame, code: str) -> DataFrame:
@@ -64,8 +72,7 @@ def decode_labels(df: DataFrame, classes: DataFrame, code: str) -> DataFrame:
 def class_distribution(df: DataFrame, label: str) -> DataFrame:
     """Rows and percent per class, most frequent first."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy())  # over the class counts only
-    return counts.withColumn("pct", F.col("n") * 100.0 / total).orderBy(F.desc("n"), label)
+    return counts.withColumn("pct", F.col("n") * 100.0 / F.lit(float(df.count()))).orderBy(F.desc("n"), label)
 
 
 def clean_summary(df: DataFrame, y: Column, n_features: int) -> DataFrame:

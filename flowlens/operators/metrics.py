@@ -226,12 +226,21 @@ def report(metrics: DataFrame, names: Sequence[str] = ("accuracy", "precision",
     return metrics.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.metric", "p.value")
 
 
-def summarise_runs(runs: DataFrame, keys: Sequence[str], value: str, order: str) -> DataFrame:
-    """Mean, sample deviation (0 for one run) and number of runs per key."""
-    return runs.groupBy(*keys).agg(
-        F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"),
-        F.count(value).alias("n_runs"),
-        F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda s: s[value]).alias("runs"))
+def summarise_runs(runs: DataFrame, keys: Sequence[str], value: str, order: str, keep_runs: bool = False,
+                   max_runs: int = 10_000) -> DataFrame:
+    """Mean, sample deviation (0 for one run), number of runs and first run per key.
+
+    ``keep_runs`` adds the ordered list of run values; the number of runs per key
+    is checked before a list is built.
+    """
+    aggs = [F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"),
+            F.count(value).alias("n_runs"), F.min_by(value, order).alias("first_run")]
+    if keep_runs:
+        most = runs.groupBy(*keys).count().agg(F.max("count").alias("m")).first()["m"] or 0
+        if most > max_runs:
+            raise ValueError(f"{most} runs of one key are too many for a list")
+        aggs.append(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda s: s[value]).alias("runs"))
+    return runs.groupBy(*keys).agg(*aggs)
 
 
 def metric_delta(a: DataFrame, b: DataFrame, on: Sequence[str], value: str, limit: float) -> DataFrame:

@@ -10,7 +10,7 @@ import math
 import random
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..plans.ranking import hash_pick, hash_rank, hash_text, rank_bounds
 from ..plans.small import attach, lookup
@@ -177,7 +177,12 @@ def class_weights(df: DataFrame, label: str, weights="balanced", name: str = "we
     else:
         raise ValueError(f"unknown class weights {weights!r}")
     total = sum(raw[c] * sizes[c] for c in sizes)
-    return df.withColumn(name, lookup(F.col(label), {c: w / total for c, w in raw.items()}))
+    share = {c: w / total for c, w in raw.items()}
+    if len(share) <= 64 or None in share:
+        return df.withColumn(name, lookup(F.col(label), share))
+    table = df.sparkSession.createDataFrame(list(share.items()), T.StructType([
+        df.schema[label], T.StructField(name, T.DoubleType())]))
+    return df.join(F.broadcast(table), label, "left")  # at most 10000 classes, see _class_sizes
 
 
 def _join_draws(df: DataFrame, draws: DataFrame, strata: Sequence[str], keys: Sequence[str], seed) -> DataFrame:

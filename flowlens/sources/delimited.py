@@ -52,25 +52,30 @@ def strict_records(lines: DataFrame, line: str, n_features: int, keep: Sequence[
     Too few fields, an unreadable number or an unknown label reject a row; an
     empty feature is 0.0; the label is the last field.
     """
-    cells = F.split(F.col(line), sep, -1)
-    # Staged projections: split once, trim once, cast once per cell.
-    base = lines.select(*keep, cells.alias("_c"))
-    base = base.select(*keep, "_c", *[F.trim(F.get("_c", F.lit(i))).alias(f"_t{i}") for i in range(n_features)])
-    base = base.select(*keep, "_c", *[
-        F.when(F.col(f"_t{i}") == "", F.lit(0.0)).otherwise(X.to_double(F.col(f"_t{i}"))).alias(f"_n{i}")
-        for i in range(n_features)])
-    nums = [F.col(f"_n{i}") for i in range(n_features)]
-    # NaN sorts above every number here, so it is excluded before the range check.
-    bad = F.lit(False)
-    for v in nums:
-        too_big = ~F.isnan(v) & (F.abs(v) != F.lit(X.INF)) & (F.abs(v) >= F.lit(FLOAT_MAX))
-        bad = bad | v.isNull() | F.coalesce(too_big, F.lit(False))
-    label = F.upper(F.trim(F.element_at("_c", -1)))
-    reason = (F.when(F.size("_c") < n_features + 1, "short").when(bad, "number")
-              .when(~label.isin("ATTACK", "BENIGN"), "label"))
-    return base.select(
-        *keep, *[v.cast("float").alias(f"f{i}") for i, v in enumerate(nums)],
-        F.when(label == "ATTACK", 1).otherwise(0).cast("tinyint").alias("label"), reason.alias("reject_reason"))
+    def number(cell):
+        t = F.trim(cell)
+        return F.when(t == "", F.lit(0.0)).otherwise(X.to_double(t))
+
+    def unusable(v):
+        # NaN sorts above every number, so it is excluded before the range check.
+        return v.isNull() | (~F.isnan(v) & (F.abs(v) != F.lit(X.INF)) & (F.abs(v) >= F.lit(FLOAT_MAX)))
+
+    def judge(cells):
+        label = F.upper(F.trim(F.element_at(cells, -1)))
+
+        def record(values):
+            reason = (F.when(F.size(cells) < n_features + 1, "short").when(F.exists(values, unusable), "number")
+                      .when(~label.isin("ATTACK", "BENIGN"), "label"))
+            return F.struct(values.alias("x"), F.when(label == "ATTACK", 1).otherwise(0).cast("tinyint").alias("label"),
+                            reason.alias("reason"))
+
+        return X.let(F.transform(F.slice(cells, 1, n_features), number), record)
+
+    # The line is split once and each cell read once; a filter on the reason that is
+    # pushed below the projection repeats this expression once, not once per use.
+    judged = lines.select(*keep, X.let(F.split(F.col(line), sep, -1), judge).alias("_r"))
+    return judged.select(*keep, *[F.get("_r.x", F.lit(i)).cast("float").alias(f"f{i}") for i in range(n_features)],
+                         F.col("_r.label").alias("label"), F.col("_r.reason").alias("reject_reason"))
 
 
 def accepted(records: DataFrame) -> DataFrame:

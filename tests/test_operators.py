@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowlens.functions import expr as X
 from flowlens.operators import (averaging as A, boosting as G, clean as C, compress as Q, labels as L, metrics as M,
                                 sample as S, scale as K, trees as T, vectors as W)
+from flowlens.plans import small as P
 from flowlens.sources import delimited as D
 
 NAN, INF = float("nan"), float("inf")
@@ -52,6 +53,21 @@ def test_label_column_by_trimmed_name(spark):
         L.find_label(df, "Nope")
 
 
+def test_long_class_lists_are_numbered_in_text_order(spark, monkeypatch):
+    df = spark.createDataFrame([(f"c{i * 7 % 50}",) for i in range(200)], "c string")
+    read = lambda: {r["c"]: r["code"] for r in L.label_classes(df, "c").collect()}
+    want = {c: i for i, c in enumerate(sorted({f"c{i}" for i in range(50)}))}
+    assert read() == want
+    monkeypatch.setattr(P, "fetch_small", lambda *_: None)
+    assert read() == want
+
+
+def test_many_class_weights(spark):
+    df = spark.createDataFrame([(i % 100,) for i in range(1000)], "y int")
+    out = S.class_weights(df, "y")
+    assert out.count() == 1000 and out.agg(F.sum("weight")).first()[0] == pytest.approx(1.0)
+
+
 def test_clean_chain_and_empty_column(spark):
     df = spark.createDataFrame([(1.0, None), (NAN, None), (INF, None), (3.0, None)], "a double, b double")
     got = C.impute(df, C.fit_medians(df, ["a", "b"]))
@@ -200,7 +216,7 @@ def test_best_threshold_takes_the_lowest(spark):
 
 def test_run_summary_of_one_run(spark):
     df = spark.createDataFrame([("acc", 1, 0.5)], "metric string, run int, value double")
-    row = M.summarise_runs(df, ["metric"], "value", "run").first()
+    row = M.summarise_runs(df, ["metric"], "value", "run", keep_runs=True).first()
     assert (row["mean"], row["std"], row["runs"]) == (0.5, 0.0, [0.5])
 
 
