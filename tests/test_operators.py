@@ -449,4 +449,8 @@ def test_binary_records_roundtrip(spark, tmp_path):
     df = spark.createDataFrame([(float(i), i / 3, i % 2) for i in range(50)], "a float, b float, y tinyint").repartition(3)
     B.write_records(df, ["a", "b"], "y", str(tmp_path / "r"))
     assert B.record_size(24) == 97
-    assert sorted(tuple(r) for r in B.read_records(spark, str(tmp_path / "r"), 2).collect()) == sorted(tuple(r) for r in df.collect())
+    want = sorted(tuple(r) for r in df.collect())
+    for block in (1_000_000, 7):
+        assert sorted(tuple(r) for r in B.read_records(spark, str(tmp_path / "r"), 2, block_rows=block).collect()) == want
+    plain = B.read_records(spark, str(tmp_path / "r" / "attempts"), 2, written=False)
+    assert sorted(tuple(r) for r in plain.collect()) == want
