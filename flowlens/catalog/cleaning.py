@@ -61,7 +61,7 @@ def clip_outliers(spark, sf):
 
 @query("clean_chain", f"{_MED}, {_IMPUTED}, {_clip_sql('i')}", ("dnum",))
 def clean_chain(spark, sf):
-    return C.clean_chain(V.dnum(spark, sf), COLS).select("row_key", "y", *COLS)
+    return C.clean_chain(V.dnum(spark, sf).select("row_key", "y", *COLS), COLS)
 
 
 @query("nan_to_num", "SELECT row_key, " + ", ".join(f"coalesce({c}, 0.0::DOUBLE) AS {c}" for c in COLS) + " FROM dnum",

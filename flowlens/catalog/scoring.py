@@ -48,7 +48,7 @@ def calibrated_scoring(spark, sf):
     """Metrics per split at the threshold that is best on the validation rows."""
     # Two stages are written out because several jobs read each of them.
     parsed = materialise(V.dnum(spark, sf).select("row_key", "y", *FEATS), "parsed")
-    cleaned = C.clean_chain(parsed, FEATS)
+    cleaned = C.clean_chain(parsed, FEATS, staged=False)
     split = materialise(S.split_corrected(cleaned, "y", ["row_key"], 0.15, 0.15), "split")
     scaled = K.transform(split, K.robust_fit(split.filter("split = 'train'"), FEATS))
     z = F.lit(BIAS)

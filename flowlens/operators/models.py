@@ -9,7 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from ..plans.small import scratch_path
+from ..plans.small import scratch_path, spread
 from .sample import class_weights, resolve_max_features
 
 
@@ -25,7 +25,7 @@ def forest_train(df: DataFrame, features: Sequence[str], y: str, trees: int = 10
     stage = RandomForestClassifier(
         featuresCol="_features", labelCol=y, weightCol="_w", numTrees=trees, maxDepth=max_depth,
         minInstancesPerNode=min_leaf, featureSubsetStrategy=str(k), seed=seed, maxBins=64)
-    return stage.fit(assemble(ready.withColumn(y, F.col(y).cast("double")), features))
+    return stage.fit(assemble(spread(ready.select(*features, F.col(y).cast("double").alias(y), "_w")), features))
 
 
 def score(model, df: DataFrame, features: Sequence[str], name: str = "score") -> DataFrame:
@@ -58,4 +58,4 @@ def perceptron_train(df: DataFrame, features: Sequence[str], y: str, hidden: Seq
     """Feed-forward classifier on scaled features."""
     stage = MultilayerPerceptronClassifier(
         featuresCol="_features", labelCol=y, layers=[len(features), *hidden, 2], maxIter=epochs, seed=seed)
-    return stage.fit(assemble(df.withColumn(y, F.col(y).cast("double")), features))
+    return stage.fit(assemble(spread(df.select(*features, F.col(y).cast("double").alias(y))), features))

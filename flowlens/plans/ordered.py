@@ -9,13 +9,11 @@ one value holding a third of all rows costs one row after the map side.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .small import fetch_small
-
 # Largest number of cells (rows x columns) one aggregation buffer may hold.
 DIRECT_CELLS = 1_000_000
 ROWS_PER_BUCKET = 1_000_000
@@ -99,58 +97,66 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         arr = F.array(*[F.lit(float(p)) for p in probs])
         row = df.agg(*[F.percentile(F.col(c).cast("double"), arr).alias(c) for c in cols]).first()
         return {c: (list(row[c]) if row[c] is not None else [None] * len(probs)) for c in cols}
+    def ranks(_: str, n: int) -> set[int]:
+        return {k for p in probs for k in neighbours(p, n)[1:]} if n else set()
+
+    found = order_statistics(df, cols, ranks, buckets)
+    out: dict[str, list[float | None]] = {}
+    for c in cols:
+        n, at = found[c]
+        out[c] = [interpolate(*neighbours(p, n), at) if n else None for p in probs]
+    return out
+
+
+def neighbours(p: float, n: int) -> tuple[float, int, int]:
+    """Position p*(n-1) and the two ranks around it."""
+    pos = p * (n - 1)
+    lo = int(pos)
+    return pos, lo, min(lo + 1, n - 1)
+
+
+def interpolate(pos: float, lo: int, hi: int, at: Mapping[int, float]) -> float:
+    a, b = at[lo], at[hi]
+    return a if a == b else a + (pos - lo) * (b - a)
+
+
+def order_statistics(df: DataFrame, cols: Sequence[str], ranks: Callable[[str, int], set[int]],
+                     buckets: int | None = None) -> dict[str, tuple[int, dict[int, float]]]:
+    """Values at 0-based ranks of every column: (number of values, {rank: value}).
+
+    ``ranks`` chooses them from the column's name and number of values. Bucket
+    counts (at most buckets x columns rows) tell which buckets hold a wanted
+    rank; only those are counted by value.
+    """
+    cols = list(cols)
     edges = bucket_edges(df, cols, buckets)
     bucketed = add_buckets(df.select(*[F.col(c).cast("double").alias(c) for c in cols]), cols, edges)
     long = bucketed.select(F.explode(F.array(*[
         F.struct(F.lit(i).alias("col"), F.col(f"_b_{c}").alias("b"), F.col(c).alias("v"))
         for i, c in enumerate(cols)])).alias("s")).select("s.*").filter("v IS NOT NULL")
-    counts = long.groupBy("col", "b").agg(F.count(F.lit(1)).alias("n")).collect()  # cols x buckets rows
-    wanted: dict[int, list[tuple[float, int, int]]] = {}
-    need: set[tuple[int, int]] = set()
-    offset: dict[tuple[int, int], int] = {}
-    for i in range(len(cols)):
+    counts = long.groupBy("col", "b").agg(F.count(F.lit(1)).alias("n")).collect()
+    targets, totals = [], {}
+    for i, c in enumerate(cols):
         mine = sorted((r["b"], r["n"]) for r in counts if r["col"] == i)
-        total = sum(n for _, n in mine)
+        totals[c] = sum(n for _, n in mine)
+        wanted = sorted(ranks(c, totals[c]))
         run = 0
-        spans = []
         for b, n in mine:
-            offset[(i, b)] = run
-            spans.append((run, run + n, b))
+            targets += [(i, b, run, k) for k in wanted if run <= k < run + n]
             run += n
-        wanted[i] = []
-        for p in probs:
-            pos = p * (total - 1) if total else 0.0
-            lo = int(pos)
-            hi = min(lo + 1, total - 1)
-            wanted[i].append((pos, lo, hi))
-            for rank in (lo, hi):
-                need.update((i, b) for a, z, b in spans if a <= rank < z)
-    if not need:
-        return {c: [None] * len(probs) for c in cols}
-    spark = df.sparkSession
-    pick = spark.createDataFrame(sorted(need), "col int, b int")
-    ranks = spark.createDataFrame(
-        [(i, b, r) for i, b in sorted(need) for _, lo, hi in wanted[i] for r in {lo, hi}],
-        "col int, b int, rank bigint").distinct()
-    values = (long.join(F.broadcast(pick), ["col", "b"]).groupBy("col", "b", "v")
-              .agg(F.count(F.lit(1)).alias("n")))
-    run_n = F.sum("n").over(Window.partitionBy("col", "b").orderBy("v"))
-    offs = spark.createDataFrame([(i, b, offset[(i, b)]) for i, b in sorted(need)], "col int, b int, off bigint")
-    spans = (values.withColumn("run", run_n).join(F.broadcast(offs), ["col", "b"])
-             .withColumn("z", F.col("off") + F.col("run")).withColumn("a", F.col("z") - F.col("n")))
-    found = spans.join(F.broadcast(ranks), ["col", "b"]).filter("a <= rank AND rank < z")
-    at = {(r["col"], r["rank"]): r["v"] for r in found.select("col", "rank", "v").collect()}
-    out: dict[str, list[float | None]] = {}
-    for i, c in enumerate(cols):
-        vals: list[float | None] = []
-        for pos, lo, hi in wanted[i]:
-            if (i, lo) not in at:
-                vals.append(None)
-                continue
-            a, b = at[(i, lo)], at[(i, hi)]
-            vals.append(a if lo == hi or a == b else a + (pos - lo) * (b - a))
-        out[c] = vals
-    return out
+    if not targets:
+        return {c: (totals[c], {}) for c in cols}
+    want = df.sparkSession.createDataFrame(targets, "col int, b int, off bigint, rank bigint")
+    # One row per wanted rank: a few per column.
+    values = (long.join(F.broadcast(want.select("col", "b", "off").distinct()), ["col", "b"])
+              .groupBy("col", "b", "off", "v").agg(F.count(F.lit(1)).alias("n")))
+    upto = F.col("off") + F.sum("n").over(Window.partitionBy("col", "b").orderBy("v"))
+    hit = (values.withColumn("z", upto).join(F.broadcast(want.drop("off")), ["col", "b"])
+           .filter("z - n <= rank AND rank < z"))
+    at: dict[int, dict[int, float]] = {}
+    for r in hit.select("col", "rank", "v").collect():
+        at.setdefault(r["col"], {})[r["rank"]] = r["v"]
+    return {c: (totals[c], at.get(i, {})) for i, c in enumerate(cols)}
 
 
 def approximate_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
@@ -181,6 +187,3 @@ def value_at_rank(df: DataFrame, keys: Sequence[str], value: Column, index_of) -
     out = hit.select(*own, F.col("_v").alias("value"), F.col("tot_n").alias("n"))
     return out if keys else out.drop("_all")
 
-
-__all__ = ["bucket_edges", "add_buckets", "running_sums", "exact_quantiles",
-           "approximate_quantiles", "value_at_rank", "fetch_small"]

@@ -72,6 +72,21 @@ def ensure_checkpoint_dir(spark) -> str:
     return own
 
 
+# Input below this many bytes per core is too small to fill the cores by its own splits.
+SPREAD_BYTES = 128 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a small table over the cores before repeated work on it.
+
+    A small file is one split, and every job on it would run in one task. Large
+    tables, judged by the optimizer's size estimate, are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SPREAD_BYTES * cores else df
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
@@ -79,7 +94,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     instead of repeating the work; losing an executor loses nothing.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    spread(df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -77,6 +77,20 @@ def test_clean_chain_and_empty_column(spark):
     assert C.drop_all_missing(spark.createDataFrame([(NAN, None), (1.0, NAN)], "a double, b double"), ["a", "b"]).count() == 1
 
 
+@pytest.mark.parametrize("missing", [0, 3, 150])
+def test_chain_fit_in_one_search_equals_two_fits(spark, missing):
+    import random
+
+    rng = random.Random(missing)
+    rows = [(rng.gauss(0, 5), float(rng.randrange(4)), None) for _ in range(120)] + [(None, NAN, None)] * missing
+    df = spark.createDataFrame(rows, "a double, b double, e double").repartition(3)
+    one_m, one_b = C.fit_chain(df, ["a", "b", "e"], direct_cells=0)
+    two_m, two_b = C.fit_chain(df, ["a", "b", "e"])
+    assert one_m == pytest.approx(two_m)
+    for c in "abe":
+        assert one_b[c] == pytest.approx(two_b[c])
+
+
 def test_scaler_floors(spark):
     df = spark.createDataFrame([(5.0, 1.0)], "a double, b double")
     assert K.robust_fit(df, ["a"])["a"] == (5.0, 1e-8)
