@@ -319,7 +319,7 @@ def gbt_train(spark, sf):
 def gbt_early_stopping(spark, sf):
     df = _keyed(spark, sf)
     hold = F.pmod(F.xxhash64("row_key"), F.lit(5)) == 0
-    model = G.boost(df.filter(~hold), FEATS, "y", ["row_key"], rounds=4, rate=0.5, max_depth=2, valid=df.filter(hold),
+    model = G.boost(df.filter(~hold), FEATS, "y", ["row_key"], rounds=3, rate=0.5, max_depth=2, valid=df.filter(hold),
                     patience=2, binned=True)
     return model.round_log(spark)
 

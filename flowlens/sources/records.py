@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Iterable, Iterator
 
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+# Task code travels with its helpers, so executors need no copy of this package.
+register_pickle_by_value(sys.modules[__name__])
+
+
 def record_dtype(n_features: int):
     import numpy as np
 
