@@ -102,6 +102,12 @@ def cart_tree_binned(spark, sf):
     return T.node_table(spark, [tree])
 
 
+@query("cart_forest")
+def cart_forest(spark, sf):
+    trees = T.cart_forest(V.flows(spark, sf), FEATS, "y", ["row_key"], trees=2, max_depth=3, min_split=20, min_leaf=10)
+    return T.node_table(spark, trees)
+
+
 # --- scoring ------------------------------------------------------------------------
 
 _X = "(CASE {f} WHEN 0 THEN f0 WHEN 1 THEN f1 WHEN 2 THEN f2 ELSE f3 END)"

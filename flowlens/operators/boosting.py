@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -36,11 +35,7 @@ def leaf_weight(df: DataFrame, keys: Sequence[str], lam: float = 1.0) -> DataFra
 def column_subset(features: Sequence[str], frac: float, seed) -> list[int]:
     """ceil(frac*m) feature positions, first in hash order."""
     m = len(features)
-    if frac >= 1.0:
-        return list(range(m))
-    k = max(1, math.ceil(frac * m))
-    order = sorted(range(m), key=lambda i: hashlib.md5(f"{seed}|{features[i]}".encode()).hexdigest())
-    return sorted(order[:k])
+    return list(range(m)) if frac >= 1.0 else T.feature_subset(features, max(1, math.ceil(frac * m)), seed)
 
 
 def newton_tree(df: DataFrame, features: Sequence[str], max_depth: int = 6, lam: float = 1.0, gamma: float = 0.0,

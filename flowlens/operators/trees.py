@@ -7,13 +7,15 @@ Rows go left when x <= threshold.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..plans.ordered import add_buckets, bucket_edges, running_sums
-from ..plans.small import attach, ensure_checkpoint_dir, fetch_small
+from ..plans.small import attach, ensure_checkpoint_dir, fetch_small, materialise
+from .sample import bootstrap, bootstrap_weighted, resolve_max_features
 
 NODE_SCHEMA = ("tree_id bigint, node_id int, feature int, threshold double, left_id int, right_id int, "
                "value int, prob double, leaf_value double, gain double, n bigint, sum_h double")
@@ -193,6 +195,33 @@ def cart_tree(df: DataFrame, features: Sequence[str], y: str, max_depth: int = 5
         edges=edges, binned=binned, columns=columns)
 
 
+def feature_subset(features: Sequence[str], k: int, seed) -> list[int]:
+    """k feature positions, first in hash order of (seed, name); a short list, so it is made on the driver."""
+    order = sorted(range(len(features)), key=lambda i: hashlib.md5(f"{seed}|{features[i]}".encode()).hexdigest())
+    return sorted(order[:k])
+
+
+def cart_forest(df: DataFrame, features: Sequence[str], y: str, keys: Sequence[str], trees: int, max_depth: int,
+                min_split: int = 2, min_leaf: int = 1, max_features="sqrt", weights="balanced", seed: int = 42,
+                binned: bool = False) -> list[Tree]:
+    """Exact Gini trees on weighted bootstraps, with a feature subset per node.
+
+    A drawn row is kept once with its number of draws, which serve as counts in
+    the search. MLlib's forest is the quicker trainer; this one has the exact
+    thresholds and draws.
+    """
+    k = resolve_max_features(max_features, len(features))
+    edges = split_edges(df, features)
+    narrow = with_buckets(df.select(*keys, *features, F.col(y)), features, edges)
+    drawn = (bootstrap(narrow, keys, trees, seed) if weights is None
+             else bootstrap_weighted(narrow, y, keys, trees, weights, seed))
+    drawn = materialise(drawn.drop(*keys), "bags")
+    return [cart_tree(drawn.filter(F.col("tree") == t), features, y, max_depth, min_split, min_leaf, edges=edges,
+                      binned=binned, weight=F.col("times"),
+                      columns=lambda node, t=t: feature_subset(features, k, f"{seed}|{t}|{node}"))
+            for t in range(trees)]
+
+
 def tree_rows(tree: Tree, tree_id: int, newton_lambda: float | None = None) -> list[tuple]:
     out = []
     for v in sorted(tree.nodes.values(), key=lambda v: v.node_id):

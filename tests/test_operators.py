@@ -285,6 +285,22 @@ def test_cart_tree_against_brute_force(spark):
     assert max(v.depth for v in tree.nodes.values()) == 3
 
 
+def test_forest_uses_draw_counts_and_feature_subsets(spark):
+    rows = [(i, *r) for i, r in enumerate(tree_rows(150, 11))]
+    df = spark.createDataFrame(rows, "k bigint, a double, b double, y int")
+    trees = T.cart_forest(df, ["a", "b"], "y", ["k"], trees=2, max_depth=2, max_features=1, weights=None)
+    draws = {(r["tree"], r["k"]): r["times"] for r in S.bootstrap(df, ["k"], 2).collect()}
+    for t, tree in enumerate(trees):
+        bag = [r[1:] for r in rows for _ in range(draws.get((t, r[0]), 0))]
+        root = tree.nodes[0]
+        assert root.n == 150 == len(bag)
+        f = T.feature_subset(["a", "b"], 1, f"42|{t}|0")[0]
+        gain, _, cut = brute_cart([(r[f], r[2]) for r in bag], 1)
+        assert (root.feature, root.threshold) == (f, pytest.approx(cut)) and root.gain == pytest.approx(gain)
+    weighted = T.cart_forest(df, ["a", "b"], "y", ["k"], trees=1, max_depth=1)
+    assert weighted[0].nodes[0].n == 150
+
+
 def test_binned_equals_exact_on_few_values(spark):
     df = spark.createDataFrame([(float(i % 9), int(i % 9 in (2, 3, 7))) for i in range(90)], "a double, y int")
     edges = {"a": [float(i) for i in range(1, 9)]}

@@ -11,7 +11,7 @@ QUERIES = entry.queries()
 SQL = entry.oracle_sql()
 # Trained models: fewer rows do not make these quick, so they run once in test_training.
 TRAINED = {"gbt_early_stopping", "gbt_train", "mlp_train", "random_forest_nodes", "random_forest_train", "cart_tree",
-           "cart_tree_binned", "newton_tree", "fed_train", "round_log"}
+           "cart_tree_binned", "cart_forest", "newton_tree", "fed_train", "round_log"}
 
 
 @pytest.fixture(scope="module")

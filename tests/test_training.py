@@ -22,12 +22,13 @@ def test_forest_nodes_give_importances(spark, sf):
     assert sum(r["importance"] for r in got) == pytest.approx(1.0, abs=1e-4)
 
 
-@pytest.mark.parametrize("name", ["cart_tree", "cart_tree_binned", "newton_tree"])
+@pytest.mark.parametrize("name", ["cart_tree", "cart_tree_binned", "newton_tree", "cart_forest"])
 def test_grown_trees_are_consistent(spark, sf, name):
-    nodes = {r["node_id"]: r for r in rows(spark, sf, name)}
+    nodes = {(r["tree_id"], r["node_id"]): r for r in rows(spark, sf, name)}
     for v in nodes.values():
         if v["feature"] >= 0:
-            assert nodes[v["left_id"]]["n"] + nodes[v["right_id"]]["n"] == v["n"]
+            left, right = nodes[(v["tree_id"], v["left_id"])], nodes[(v["tree_id"], v["right_id"])]
+            assert left["n"] + right["n"] == v["n"]
 
 
 @pytest.mark.parametrize("name", ["gbt_train", "gbt_early_stopping"])
