@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, line_runs, packing, token_files, url_filter
+from . import bpe, exact_dedup, line_runs, near_dedup, packing, token_files, url_filter
 from ..plans.small import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,16 @@ def register(name: str, sql: str | None = None):
     return wrap
 
 
+@register("op1_near_dedup")
+def op1_near_dedup(spark, sf_dir):
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), width=4)
+
+
+@register("op2_bpe_stream")
+def op2_bpe_stream(spark, sf_dir):
+    return bpe.round_trips(table(spark, sf_dir, "documents"), tokenizer())
+
+
 @register("op5_token_files")
 def op5_token_files(spark, sf_dir):
     path = scratch_path(spark, "tokens")
