@@ -136,8 +136,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, group_pieces: int = GRO
     bins of partitions above their bound are exchanged in at most ``rounds`` turns, and a turn that saves
     nothing is dropped. A null doc_id stays null. Ties go by document and piece, so the result does not depend on partitioning.
     """
-    # Python tasks would turn a column with null ids into doubles.
-    pieces = pieces.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
+    # Python tasks would turn a column with null ids into doubles. Written once: counting must not encode again.
+    pieces = staged(pieces.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))), "pieces")
     total = pieces.count()
     now = staged(_packed(pieces, capacity, 0, max(1, -(-total // group_pieces))), "packed")
     done, columns = [], pieces.columns

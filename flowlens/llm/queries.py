@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, line_runs, near_dedup, packing, token_files, url_filter
+from . import bpe, exact_dedup, line_runs, near_dedup, packing, pii, token_files, toxicity, url_filter
 from ..plans.small import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,15 @@ def op2_bpe_stream(spark, sf_dir):
     return bpe.round_trips(table(spark, sf_dir, "documents"), tokenizer())
 
 
+# Production keys come from a secret store; a fixed one makes this query repeatable.
+PSEUDONYM_KEY = "flowlens-demo-key"
+
+
+@register("op3_pii_pseudonyms")
+def op3_pii_pseudonyms(spark, sf_dir):
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+
+
 @register("op5_token_files")
 def op5_token_files(spark, sf_dir):
     path = scratch_path(spark, "tokens")
@@ -55,6 +64,12 @@ def op6_best_fit_packing(spark, sf_dir):
     return packing.pack_pieces(packing.token_pieces(table(spark, sf_dir, "documents"), tokenizer()))
 
 
+@register("op7_toxicity")
+def op7_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_texts(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 @register("op8_line_runs", r"""
     WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
     l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),

@@ -20,7 +20,8 @@ register_pickle_by_value(sys.modules[__name__])
 
 # A space between two white spaces, or after one at the end: the only spaces that may lie inside a token.
 INSIDE = re.compile(r"\s (?:\s|\Z)")
-MEMO_WORDS, MEMO_CHARS, JOINED_WORDS = 250_000, 40, 1000
+MARKS = (".", ",")
+MEMO_WORDS, MEMO_CHARS, JOINED_WORDS = 500_000, 40, 1000
 
 
 class LibraryEncoder:
@@ -40,6 +41,9 @@ class LibraryEncoder:
         vocab = self.tok.get_vocab()
         self.spaced = np.zeros(max(vocab.values()) + 1, bool)
         self.spaced[[i for w, i in vocab.items() if w.startswith("Ġ")]] = True
+        self.line = self.whole("\n")
+        self.newline = int.from_bytes(self.line, "little")
+        self.marks = {c: self.whole(c) for c in MARKS}
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
@@ -48,29 +52,59 @@ class LibraryEncoder:
         ids = self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
         return self.np.array(ids, "<u4").tobytes()
 
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of ' ' + word for new words; those too long to keep are returned."""
+    def _encode_apart(self, words: list[str], mark: str) -> list[bytes]:
+        """Ids of each word; ``mark`` (a space or a newline) stands before it and, if a space, belongs to it.
+
+        Words must not begin or end with white space, nor hold the mark: then each mark starts a token.
+        """
+        out = []
+        for i in range(0, len(words), JOINED_WORDS):
+            group = words[i:i + JOINED_WORDS]
+            raw = self.whole(mark + mark.join(group))
+            ids = self.np.frombuffer(raw, "<u4")
+            at = (self.np.flatnonzero(self.spaced[ids] if mark == " " else ids == self.newline) * 4).tolist()
+            if len(at) != len(group):
+                raise AssertionError("a token spans words")
+            skip = 0 if mark == " " else 4
+            out += [raw[a + skip:b] for a, b in zip(at, [*at[1:], len(raw)])]
+        return out
+
+    def _learn(self, words: set[str]) -> list[str]:
+        """Put ' ' + word of each word in the memo; returns those that should not stay there.
+
+        A full stop or comma after a plain letter, and a newline between two words, always start a token, so
+        words with such a tail are put together from parts that are met more often.
+        """
         if len(self.memo) + len(words) > MEMO_WORDS:
             self.old, self.memo = self.memo, {}
-        kept = words & self.old.keys()
-        for w in kept:
-            self.memo[w] = self.old[w]
-        once, plain = {}, []
-        for w in words - kept:
-            if w and not w[0].isspace() and not w[-1].isspace():
-                plain.append(w)
+        memo, old = self.memo, self.old
+        memo.update([(w, old[w]) for w in words & old.keys()])
+        words = words - memo.keys()
+        plain = {w for w in words if w.isalpha()}
+        marked, lined, other, odd = [], [], [], []
+        for w in words - plain:
+            if w[-1:] in MARKS and w[:-1].isalpha() and w[-2] < "ɐ":
+                marked.append(w)
+                continue
+            head, _, tail = w.partition("\n")
+            if tail.isalpha() and (head.isalpha() or head[-1:] in MARKS and head[:-1].isalpha()) and head[-2:] < "ɐ":
+                lined.append((w, head, tail))
+            elif w and not w[0].isspace() and not w[-1].isspace():
+                other.append(w)
             else:
-                once[w] = self.whole(" " + w)
-        for i in range(0, len(plain), JOINED_WORDS):
-            group = plain[i:i + JOINED_WORDS]
-            raw = self.whole(" " + " ".join(group))
-            # Each word has one space, at its start, and that space starts a token.
-            at = (self.np.flatnonzero(self.spaced[self.np.frombuffer(raw, "<u4")]) * 4).tolist()
-            if len(at) != len(group):
-                raise AssertionError("a token spans words")
-            for w, a, b in zip(group, at, [*at[1:], len(raw)]):
-                (self.memo if len(w) <= MEMO_CHARS else once)[w] = raw[a:b]
-        return once
+                odd.append(w)
+        plain.update([w[:-1] for w in marked], [h if h.isalpha() else h[:-1] for _, h, _ in lined])
+        spaced = [*(plain - memo.keys()), *other]
+        memo.update(zip(spaced, self._encode_apart(spaced, " ")))
+        starts = list({t for _, _, t in lined} - self.first.keys())
+        if len(self.first) > MEMO_WORDS // 5:
+            self.first, starts = {}, list({t for _, _, t in lined})
+        first, marks = self.first, self.marks
+        first.update(zip(starts, self._encode_apart(starts, "\n")))
+        memo.update([(w, memo[w[:-1]] + marks[w[-1]]) for w in marked])
+        memo.update([(w, (memo[h] if h.isalpha() else memo[h[:-1]] + marks[h[-1]]) + self.line + first[t]) for w, h, t in lined])
+        memo.update([(w, self.whole(" " + w)) for w in odd])
+        return [*[w for w, _, _ in lined], *odd, *[w for w in (*spaced, *marked) if len(w) > MEMO_CHARS]]
 
     def _start(self, word: str) -> bytes:
         got = self.first.get(word)
@@ -86,18 +120,17 @@ class LibraryEncoder:
         cut = [None if INSIDE.search(t) or any(s in t for s in self.special) else t.split(" ") for t in texts]
         heads = [self._start(c.pop(0)) if c else b"" for c in cut]
         words = set(chain.from_iterable(c for c in cut if c))
-        once = {}
+        passing = []
         if new := words - self.memo.keys():
-            old = self.memo
-            once = self._learn(new)
-            if old is not self.memo and (again := words - self.memo.keys() - once.keys()):
-                once |= {w: old[w] for w in again}
-        if not once:
-            get = self.memo.__getitem__
-        else:
-            def get(w, memo=self.memo, once=once):
-                return once[w] if w in once else memo[w]
-        return [self.whole(t) if c is None else h + b"".join(map(get, c)) for t, h, c in zip(texts, heads, cut)]
+            known = self.memo
+            passing = self._learn(new)
+            if known is not self.memo:  # a new generation has begun
+                self.memo.update([(w, known[w]) for w in words - self.memo.keys()])
+        get = self.memo.__getitem__
+        out = [self.whole(t) if c is None else h + b"".join(map(get, c)) for t, h, c in zip(texts, heads, cut)]
+        for w in passing:
+            self.memo.pop(w, None)
+        return out
 
 
 def library_encoder(path: str) -> LibraryEncoder:
