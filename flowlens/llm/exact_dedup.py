@@ -62,6 +62,9 @@ def exact_groups(docs: DataFrame, salts: int = SALTS, digest: Callable[[Column],
 
 
 def drop_exact(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """``docs`` without the rows that exact_groups drops, all columns kept; documents are told apart by doc_id."""
-    gone = exact_groups(docs, salts).filter("NOT kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    """``docs`` without the rows that exact_groups drops, all columns kept.
+
+    Documents are told apart by doc_id: rows without one cannot be named and stay.
+    """
+    gone = exact_groups(docs, salts).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

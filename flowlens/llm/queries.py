@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, line_runs, near_dedup, packing, pii, token_files, toxicity, url_filter
+from . import bpe, exact_dedup, hnsw, line_runs, near_dedup, packing, pii, token_files, toxicity, url_filter
 from ..plans.small import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,11 @@ def op3_pii_pseudonyms(spark, sf_dir):
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
 
 
+@register("op4_hnsw")
+def op4_hnsw(spark, sf_dir):
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @register("op5_token_files")
 def op5_token_files(spark, sf_dir):
     path = scratch_path(spark, "tokens")
