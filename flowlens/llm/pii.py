@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 # In this order of preference where several could start at one place.
 KINDS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}(?![A-Za-z0-9-])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}+\.){1,20}[A-Za-z]{2,}(?![A-Za-z0-9-])",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\w)",
     "date": r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![./-]?\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?!-?\w)",
