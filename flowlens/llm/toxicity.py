@@ -150,7 +150,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, fairness
         identities: Sequence[Sequence[str]] = IDENTITIES, steps: int = 300) -> Model:
     """Fit on labelled texts; ``fairness`` weighs the penalty on score changes under swapped names.
 
-    Without labelled texts, or with one label only, the model has no features and scores that label's side.
+    Without labelled texts or repeated features the model has no features and scores on the harmless side; with
+    one label only, on that label's side.
     """
     import numpy as np
 
@@ -166,6 +167,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, fairness
     if pairs:
         names = np.union1d(names, np.unique(np.concatenate([x for p in pairs for x in p])))
     m = len(names)
+    if not m:
+        return Model({}, -3.0)
 
     def sparse(sets):
         """(row, column) of the known features of each set."""
