@@ -7,9 +7,10 @@ the Jaccard similarity. Bands of coordinates bring candidates together; a link c
 sets have shown it.
 
 Documents with one set form a class, which is compared once. The members of a bucket are not paired with each
-other: each meets the bucket's leaders first. What these links have joined needs no more comparison; only
-classes of a bucket that still lie in different components are compared with one another, all of them, so that
-no link which the bands suggest is lost.
+other: each meets the bucket's leaders first. What these links have joined needs no more comparison. Of classes
+that still lie in different components, those with too many shingles of their own to be near any other are
+certified alone; the others of a bucket are compared with one another, all of them, so that no link which the
+bands suggest is lost.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from .components import components
 register_pickle_by_value(sys.modules[__name__])
 
 # 32 bands of 5: a pair of similarity 0.8 stays unseen with a chance of 3 in a million, 0.9 of 1 in 10^13.
-BANDS, ROWS, LEADERS, SEED = 32, 5, 4, 20
+BANDS, ROWS, LEADERS, SEED = 32, 5, 3, 20
+BLOCK_ROWS = 1000
 NO_ID = -(1 << 63)
 
 
@@ -175,42 +177,126 @@ def near_groups(docs: DataFrame, width: int = 5, share: int = 80, whole: int = 1
                       (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
+def _private(sets: DataFrame) -> DataFrame:
+    """(node, p): how many items of each set no other of these sets holds."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            for node, items in zip(b.column(0), b.column(1)):
+                x = np.frombuffer(items.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array([node.as_py()] * len(x), pa.binary())], ["item", "node"])
+
+    held = sets.select("node", "items").mapInArrow(run, "item bigint, node binary")
+    alone = held.groupBy("item").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).filter("c = 1")
+    return alone.groupBy("node").agg(F.count(F.lit(1)).alias("p"))
+
+
+def _split(members: DataFrame) -> DataFrame:
+    """The members of buckets that lie in several components, with the largest of these as ``main``."""
+    parts = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    main = parts.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("parts"))
+    return members.join(main.filter("parts > 1").select("key", "main"), "key")
+
+
 def _links(ids: DataFrame, classes: DataFrame, members: DataFrame, width: int, share: int, whole: int, leaders: int) -> DataFrame:
     """Verified links (a, b) that join every two classes which a path of candidate links joins."""
     wanted = members.select("node").distinct().join(classes, "node").select(F.col("first_id").alias("doc_id")).distinct()
     sets = staged(full_sets(ids.join(wanted, "doc_id", "left_semi"), width), "sets")
-    heads = staged(members.groupBy("key").agg(*[
-        F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(i))).alias(f"lead{i}") for i in range(leaders)]), "leaders")
 
-    def fits(n: str, m: str):
-        return F.expr(f"{whole} * least({n}, {m}) >= {share} * greatest({n}, {m})")
+    def fits(most: str, n: str, m: str):
+        """Whether sets of n and m items of which at most ``most`` are common can reach the threshold."""
+        return F.expr(f"{whole} * ({most}) >= {share} * ({n} + {m} - ({most}))")
 
     def pair(x: str, y: str):
         return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
+    def labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+        return rows.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
     # First one leader for each class: most classes of a group are joined after this.
-    met = members.join(heads, "key")
-    first = (met.select("node", "n", F.col("lead0.node").alias("m"), F.col("lead0.n").alias("k")).filter("node <> m").filter(fits("n", "k"))
-             .groupBy("node").agg(F.min("m").alias("m")))
+    heads = members.groupBy("key").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node")).alias("lead"))
+    first = (members.join(heads, "key").select("node", "n", F.col("lead.node").alias("m"), F.col("lead.n").alias("k"))
+             .filter("node <> m").filter(fits("least(n, k)", "n", "k")).groupBy("node").agg(F.min("m").alias("m")))
     links = staged(verified(first.select(*pair("node", "m")).distinct(), sets, share, whole), "links")
+    # In what is left, items that a set shares with no other bound what it can have in common with any: most
+    # classes that are alike to many but near to none go here, without a comparison.
+    left = staged(_split(labelled(members, links)).drop("main"), "open")
+    own = _private(sets.join(left.select("node").distinct(), "node", "left_semi"))
+    least = left.groupBy("key").agg(F.min("n").alias("least"))
+    common = (left.join(own, "node", "left").withColumn("c", F.col("n") - F.coalesce("p", F.lit(0))).drop("p").join(least, "key")
+              .withColumn("least", F.greatest("least", F.ceil(F.col("n") * share / whole)).cast("long")).filter(fits("c", "n", "least")).drop("least"))
+    left = staged(_split(common).drop("main"), "open")
+    # Then leaders for each bucket: the set with the smallest share of items of its own, and others by hash.
+    body = F.struct("node", "n", "c", "root")
+    heads = left.groupBy("key").agg(F.max_by(body, F.struct(F.col("c") / F.col("n"), F.xxhash64("node"))).alias("lead0"), *[
+        F.min_by(body, F.xxhash64("node", F.lit(i))).alias(f"lead{i}") for i in range(1, leaders)])
+    met = left.join(heads, "key").select("node", "n", "c", "root", F.explode(F.array(*[f"lead{i}" for i in range(leaders)])).alias("l"))
+    near = met.filter("root <> l.root").filter(fits("least(c, l.c)", "n", "l.n")).select("node", F.col("l.node").alias("m"))
+    links = links.unionByName(staged(verified(near.select(*pair("node", "m")).distinct(), sets, share, whole), "links"))
+    # Last, classes outside the largest component of a bucket meet all others of that bucket that could be near.
+    known = staged(_split(labelled(left.drop("root"), links)), "known")
+    return links.unionByName(staged(verified(_could_be_near(known, sets, share, whole), sets, share, whole), "links"))
+
+
+def _could_be_near(known: DataFrame, sets: DataFrame, share: int, whole: int) -> DataFrame:
+    """Pairs (a, b) of a bucket's classes in different components, without those that a bound rules out.
+
+    Every member of a bucket is compared with one leader and keeps a bit for each of its items. Two members then
+    have at most so many items in common as they share bits, and as many more as either has outside the leader
+    that are not its own alone. Buckets are worked off in blocks of bounded size; only the pairs that pass the
+    bound leave a task.
+    """
+    heads = known.groupBy("key").agg(F.max_by("node", F.struct(F.col("c") / F.col("n"), F.xxhash64("node"))).alias("lead"))
+    rows = known.join(heads, "key")
 
-    def labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
-        return rows.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    def bits(batches):
+        import numpy as np
+        import pyarrow as pa
 
-    # Then all leaders of its buckets that lie in other components.
-    roots = staged(labelled(members.select("node").distinct(), links), "roots")
-    leads = met.select("node", "n", F.explode(F.array(*[f"lead{i}" for i in range(leaders)])).alias("l"))
-    leads = (leads.select("node", "n", F.col("l.node").alias("m"), F.col("l.n").alias("k")).filter("node <> m").filter(fits("n", "k"))
-             .select(*pair("node", "m")).distinct())
-    open_ = (leads.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a")
-             .join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b").filter("ra <> rb").select("a", "b"))
-    links = links.unionByName(staged(verified(open_, sets, share, whole), "links"))
-    # Last, classes outside the largest component of a bucket meet all others of that bucket.
-    known = staged(labelled(members, links), "known")
-    parts = known.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-    main = parts.groupBy("key").agg(F.max_by("root", "c").alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("key", "main")
-    open_ = known.join(main, "key")
-    rest = open_.filter("root <> main").select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-    cross = (rest.join(open_.select("key", "node", "n", "root"), "key").filter("rx <> root").filter(fits("nx", "n"))
-             .select(*pair("x", "node")).distinct())
-    return links.unionByName(staged(verified(cross, sets, share, whole), "links"))
+        for b in batches:
+            out = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                out.append(np.packbits(x[at] == y).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["node", "lead", "bits"])
+
+    one, two = sets.select("node", F.col("items").alias("x")), sets.select(F.col("node").alias("lead"), F.col("items").alias("y"))
+    held = (rows.select("node", "lead").distinct().join(one, "node").join(two, "lead").select("node", "lead", "x", "y")
+            .mapInArrow(bits, "node binary, lead binary, bits binary"))
+    rows = staged(rows.join(held, ["node", "lead"]).withColumn("rest", F.col("root") != F.col("main")).drop("main", "lead"), "bits")
+    size = rows.groupBy("key").agg(F.ceil(F.count_if("rest") / BLOCK_ROWS).cast("int").alias("us"), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("them"))
+    rows = rows.join(size, "key")
+    us = rows.filter("rest").withColumns({"i": F.pmod(F.hash("node"), F.col("us")), "j": F.explode(F.sequence(F.lit(0), F.col("them") - 1))})
+    them = rows.withColumns({"j": F.pmod(F.hash("node"), F.col("them")), "i": F.explode(F.sequence(F.lit(0), F.col("us") - 1))}).withColumn("rest", F.lit(False))
+
+    def bound(pdf):
+        import numpy as np
+        import pandas as pd
+
+        mine, other = pdf[pdf["rest"]], pdf[~pdf["rest"]]
+        if mine.empty or other.empty:
+            return pd.DataFrame({"a": [], "b": []}, dtype=object)
+        root = pd.factorize(pdf["root"])[0]
+
+        def table(part):
+            raw = np.frombuffer(b"".join(part["bits"]), np.uint8).reshape(len(part), -1)
+            ones = np.bitwise_count(raw).sum(axis=1, dtype=np.int64)
+            n, c = part["n"].to_numpy(), part["c"].to_numpy()
+            return raw, n, c, np.maximum(c - ones, 0), root[pdf["rest"] if part is mine else ~pdf["rest"]]
+
+        (a, na, ca, oa, ra), (b, nb, cb, ob, rb) = table(mine), table(other)
+        both = np.zeros((len(mine), len(other)), np.float32)
+        for i in range(0, a.shape[1], 512):
+            both += np.unpackbits(a[:, i:i + 512], axis=1).astype(np.float32) @ np.unpackbits(b[:, i:i + 512], axis=1).astype(np.float32).T
+        most = both.astype(np.int64) + np.minimum.outer(oa, ob)
+        most = np.minimum(most, np.minimum.outer(ca, cb))
+        r, s = np.nonzero((whole * most >= share * (na[:, None] + nb[None, :] - most)) & (ra[:, None] != rb[None, :]))
+        x, y = mine["node"].to_numpy()[r], other["node"].to_numpy()[s]
+        return pd.DataFrame({"a": [min(p) for p in zip(x, y)], "b": [max(p) for p in zip(x, y)]}, dtype=object)
+
+    columns = ["key", "i", "j", "node", "n", "c", "root", "rest", "bits"]
+    return us.select(columns).unionByName(them.select(columns)).groupBy("key", "i", "j").applyInPandas(bound, "a binary, b binary").distinct()
