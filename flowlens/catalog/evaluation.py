@@ -139,10 +139,10 @@ def loss_gradients(spark, sf):
         X.focal_slope(F.col("y"), mid, n).alias("focal"))
 
 
-def _sweep_sql(grid: str) -> str:
+def _sweep_sql(grid: str, source: str = "scored") -> str:
     return f"""
     t AS ({grid}),
-    c AS (SELECT t.t, {_counts('t.t')} FROM t, scored GROUP BY t.t), q AS (SELECT *, {_PR} FROM c),
+    c AS (SELECT t.t, {_counts('t.t')} FROM t, {source} GROUP BY t.t), q AS (SELECT *, {_PR} FROM c),
     sw AS (SELECT t AS threshold, {_F1} AS f1, pr AS precision, rc AS recall, ac AS accuracy FROM q)"""
 
 
@@ -199,6 +199,28 @@ def evaluate_splits(spark, sf):
     return M.evaluate(V.scored(spark, sf), F.col("y"), F.col("s"), ["split"])
 
 
+# Scores that are missing in two ways: such a row counts, and is negative at every threshold.
+_GAPS = "CASE WHEN event_id % 11 = 3 OR event_id % 13 = 5 THEN '-inf'::DOUBLE ELSE s END"
+_GAPPY = f"gappy AS (SELECT event_id, y, split, {_GAPS} AS s FROM scored)"
+
+
+def _gappy(spark, sf):
+    gap = F.when(F.col("event_id") % 11 == 3, F.lit(None).cast("double")).when(F.col("event_id") % 13 == 5, F.lit(float("nan")))
+    return V.scored(spark, sf).withColumn("s", F.when((F.col("event_id") % 11 == 3) | (F.col("event_id") % 13 == 5), gap).otherwise(F.col("s")))
+
+
+@query("sweep_missing_scores", _GAPPY + "," + _sweep_sql(_FINE, "gappy") + f"""
+    SELECT threshold, {r('f1')} AS f1, {r('precision')} AS precision, {r('recall')} AS recall, {r('accuracy')} AS accuracy FROM sw""",
+       ("scored",))
+def sweep_missing_scores(spark, sf):
+    return M.threshold_sweep(_gappy(spark, sf), F.col("y"), F.col("s"), M.GRID_FINE)
+
+
+@query("evaluate_missing_scores", _GAPPY + "," + eval_sql("gappy", "split", "s") + " SELECT * FROM ev_out", ("scored",))
+def evaluate_missing_scores(spark, sf):
+    return M.evaluate(_gappy(spark, sf), F.col("y"), F.col("s"), ["split"])
+
+
 _DOCS = ("dl AS (SELECT d.source AS grp, l.quality AS y, least(d.n_chars / 5000.0::DOUBLE, 1.0::DOUBLE) AS s "
          "FROM documents d JOIN labels l ON d.doc_id = l.doc_id)")
 

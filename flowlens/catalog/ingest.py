@@ -38,6 +38,15 @@ def csv_rows_numbered(spark, sf):
                         F.max("row_no").alias("last_no"), F.countDistinct("row_no").alias("n_distinct"))
 
 
+@query("rows_numbered_shuffled", "SELECT count(*) AS n, 1::BIGINT AS first_no, count(*) AS last_no, count(*) AS n_distinct, "
+       "count(DISTINCT event_id) AS n_events FROM events", ())
+def rows_numbered_shuffled(spark, sf):
+    """Numbers stay dense when a shuffle, whose partitions are merged by size, stands before them."""
+    numbered = number_rows(V.table(spark, sf, "events").repartition("event_id"))
+    return numbered.agg(F.count(F.lit(1)).alias("n"), F.min("row_no").alias("first_no"), F.max("row_no").alias("last_no"),
+                        F.countDistinct("row_no").alias("n_distinct"), F.countDistinct("event_id").alias("n_events"))
+
+
 _RECORD = ("case when l_linenumber = 3 then concat_ws(',', f0, f1, f2) "
            "else concat_ws(',', f0, f1, f2, f3, label) end")
 

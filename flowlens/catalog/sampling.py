@@ -103,7 +103,7 @@ def batch_assign(spark, sf):
 
 def _pick(n: str, *parts: str) -> str:
     text = ", ".join([p for p in parts])
-    return f"(('0x' || substr(md5(concat_ws('|', {text})), 1, 8))::BIGINT % ({n})) + 1"
+    return f"(('0x' || substr(md5(concat_ws('|', {text})), 1, 15))::BIGINT % ({n})) + 1"
 
 
 def _oversample_sql(source: str, extra: str) -> str:

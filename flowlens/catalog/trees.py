@@ -36,7 +36,7 @@ def cart_sql(source: str, node: str, tag: str = "", min_leaf: int = 1) -> str:
     cu{tag} AS (SELECT node, feature, v, sum(c) OVER w AS ln, sum(s) OVER w AS lp, lead(v) OVER (PARTITION BY node, feature ORDER BY v) AS nv,
       sum(c) OVER (PARTITION BY node, feature) AS n, sum(s) OVER (PARTITION BY node, feature) AS p FROM vl{tag}
       WINDOW w AS (PARTITION BY node, feature ORDER BY v ROWS UNBOUNDED PRECEDING)),
-    gn{tag} AS (SELECT node, feature, v, (v + nv) / 2.0{d} AS threshold, ln, lp, n, p,
+    gn{tag} AS (SELECT node, feature, v, nv, (v + nv) / 2.0{d} AS threshold, ln, lp, n, p,
       {parent} - (ln{d} / n{d} * {left} + (n - ln){d} / n{d} * {right}) AS gain FROM cu{tag}
       WHERE nv IS NOT NULL AND ln >= {min_leaf} AND n - ln >= {min_leaf})"""
 
@@ -50,12 +50,12 @@ def _root(df):
 
 
 @query("cart_split_scan", cart_sql("flows", "0", min_leaf=20) + f"""
-    SELECT feature, {r('threshold')} AS threshold, ln::BIGINT AS left_n, lp::BIGINT AS left_pos, {r('gain', 9)} AS gain FROM gn""",
+    SELECT feature, {r('v')} AS below, {r('nv')} AS above, ln::BIGINT AS left_n, lp::BIGINT AS left_pos, {r('gain', 9)} AS gain FROM gn""",
        ("flows",), digits=9)
 def cart_split_scan(spark, sf):
     df = _root(V.flows(spark, sf))
     gains = T.gini_gain(T.running_splits(df, "node", FEATS, T.split_edges(df, FEATS), _stats()), 20)
-    return gains.select("feature", F.round("threshold", 6).alias("threshold"), F.col("cum_n").alias("left_n"),
+    return gains.select("feature", F.round("lo", 6).alias("below"), F.round("next_value", 6).alias("above"), F.col("cum_n").alias("left_n"),
                         F.col("cum_pos").alias("left_pos"), "gain")
 
 
@@ -69,26 +69,46 @@ def cart_best_split(spark, sf):
     return T.best_split(T.gini_gain(splits, 5), "node", ["cum_n", "cum_pos"])
 
 
-_DEPTH2 = cart_sql("flows", "0", "0") + """,
+def _depth2(source: str) -> str:
+    return cart_sql(source, "0", "0") + f""",
     b0 AS (SELECT * FROM gn0 ORDER BY gain DESC, feature, v LIMIT 1),
-    f1v AS (SELECT flows.*, CASE WHEN (CASE b0.feature WHEN 0 THEN f0 WHEN 1 THEN f1 WHEN 2 THEN f2 ELSE f3 END) <= b0.threshold
-            THEN 1 ELSE 2 END AS side FROM flows, b0),
-    """ + cart_sql("f1v", "side", "1").strip() + """,
+    f1v AS (SELECT {source}.*, CASE WHEN (CASE b0.feature WHEN 0 THEN f0 WHEN 1 THEN f1 WHEN 2 THEN f2 ELSE f3 END) <= b0.threshold
+            THEN 1 ELSE 2 END AS side FROM {source}, b0),
+    """ + cart_sql("f1v", "side", "1").strip() + f""",
     k1 AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, feature, v) AS k FROM gn1),
     pure AS (SELECT side, count(*) AS n, sum(y) AS p FROM f1v GROUP BY side),
-    b1 AS (SELECT k1.* FROM k1 JOIN pure ON pure.side = k1.node WHERE k = 1 AND pure.p > 0 AND pure.p < pure.n)"""
+    b1 AS (SELECT k1.* FROM k1 JOIN pure ON pure.side = k1.node WHERE k = 1 AND pure.p > 0 AND pure.p < pure.n)
+    SELECT 0 AS slot, feature, {r('threshold')} AS threshold, {r('gain')} AS gain, n::BIGINT AS n, p::BIGINT AS pos FROM b0
+    UNION ALL SELECT node, feature, {r('threshold')}, {r('gain')}, n::BIGINT, p::BIGINT FROM b1"""
 
 
-@query("cart_depth2", _DEPTH2 + f"""
-    SELECT 0 AS slot, feature, {r('threshold')} AS threshold, {r('gain')} AS gain, n::BIGINT AS n, p::BIGINT AS pos FROM b0
-    UNION ALL SELECT node, feature, {r('threshold')}, {r('gain')}, n::BIGINT, p::BIGINT FROM b1""", ("flows",))
-def cart_depth2(spark, sf):
-    tree = T.cart_tree(V.flows(spark, sf), FEATS, "y", max_depth=2)
+def _splits_of(spark, tree):
     rows = [(v.node_id, v.feature, float(v.threshold), float(v.gain), v.n, int(v.stats["pos"]))
             for v in tree.nodes.values() if v.feature >= 0]
     return spark.createDataFrame(rows, "slot int, feature int, threshold double, gain double, n bigint, pos bigint")
 
 
+@query("cart_depth2", _depth2("flows"), ("flows",))
+def cart_depth2(spark, sf):
+    return _splits_of(spark, T.cart_tree(V.flows(spark, sf), FEATS, "y", max_depth=2))
+
+
+# A missing feature goes right: its rows are in a node's totals and in the right child.
+@query("cart_depth2_missing", _depth2("dnum"), ("dnum",))
+def cart_depth2_missing(spark, sf):
+    return _splits_of(spark, T.cart_tree(V.dnum(spark, sf), FEATS, "y", max_depth=2))
+
+
+@query("cart_best_split_missing", cart_sql("dnum", "l_linenumber", min_leaf=5) + f""",
+    b AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, feature, v) AS k FROM gn)
+    SELECT node, feature, {r('threshold')} AS threshold, {r('gain')} AS gain, ln::BIGINT AS cum_n, lp::BIGINT AS cum_pos, n::BIGINT AS tot_n,
+    p::BIGINT AS tot_pos FROM b WHERE k = 1""", ("dnum",))
+def cart_best_split_missing(spark, sf):
+    df = V.dnum(spark, sf).withColumnRenamed("l_linenumber", "node")
+    splits = T.running_splits(df, "node", FEATS, T.split_edges(df, FEATS), _stats())
+    return T.best_split(T.gini_gain(splits, 5), "node", ["cum_n", "cum_pos", "tot_n", "tot_pos"])
+
+
 @query("cart_tree")
 def cart_tree(spark, sf):
     tree = T.cart_tree(V.flows(spark, sf), FEATS, "y", max_depth=4, min_split=20, min_leaf=10)
@@ -152,6 +172,22 @@ def forest_majority_vote(spark, sf):
     return T.majority_vote(V.flows(spark, sf), V.forest(spark, sf), FEATS).select("row_key", "pred")
 
 
+# Suppliers as inputs of the large forest.
+_SUPPLIED = ("s_suppkey AS row_key, 0 AS y, cast(s_suppkey % 50 as double) AS f0, s_acctbal * 5 AS f1, cast(0 as double) AS f2, cast(0 as double) AS f3")
+
+
+@query("grove_scores", f"sp AS (SELECT {_SUPPLIED} FROM supplier)," + ROUTE.format(source="sp").replace("forest", "grove") + f"""
+    SELECT row_key, {r('avg(prob)')} AS score, {r('0.5::DOUBLE + 0.01::DOUBLE * sum(leaf_value)')} AS raw,
+    CASE WHEN sum(value) > (SELECT count(DISTINCT tree_id) FROM grove) // 2 THEN 1 ELSE 0 END AS pred FROM lf GROUP BY row_key""", ("grove",))
+def grove_scores(spark, sf):
+    """All three votes of a forest of thousands of trees."""
+    nodes = V.grove(spark, sf)
+    df = V.table(spark, sf, "supplier").selectExpr(*[e.strip() for e in (
+        "s_suppkey AS row_key", "cast(s_suppkey % 50 as double) AS f0", "s_acctbal * 5 AS f1", "cast(0 as double) AS f2", "cast(0 as double) AS f3")])
+    df = T.boosted_score(T.soft_vote(df, nodes, FEATS), nodes, FEATS, 0.5, 0.01)
+    return T.majority_vote(df, nodes, FEATS).select("row_key", "score", "raw", "pred")
+
+
 _BASE = "bs AS (SELECT ln(avg(y) / (1.0::DOUBLE - avg(y))) AS f0b FROM flows)"
 
 
@@ -269,7 +305,7 @@ def newton_sql(source: str, node: str, min_child: float = 1.0) -> str:
       lead(v) OVER (PARTITION BY node, feature ORDER BY v) AS nv,
       sum(g) OVER (PARTITION BY node, feature) AS gt, sum(h) OVER (PARTITION BY node, feature) AS ht FROM vl
       WINDOW w AS (PARTITION BY node, feature ORDER BY v ROWS UNBOUNDED PRECEDING)),
-    gn AS (SELECT node, feature, v, (v + nv) / 2.0::DOUBLE AS threshold, cl,
+    gn AS (SELECT node, feature, v, nv, (v + nv) / 2.0::DOUBLE AS threshold, cl,
       0.5::DOUBLE * (gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1)) AS gain FROM cu
       WHERE nv IS NOT NULL AND hl >= {min_child} AND ht - hl >= {min_child})"""
 
@@ -280,12 +316,12 @@ def _newton_stats():
 
 # The hessian limit lies between two reachable sums, so rounding noise cannot move a split across it.
 @query("newton_split_scan", f"{_PRIOR}, {newton_sql('gh', '0', 5.013)}" + f"""
-    SELECT feature, {r('threshold')} AS threshold, cl::BIGINT AS left_n, {r('gain', 4)} AS gain FROM gn""", ("flows",))
+    SELECT feature, {r('v')} AS below, {r('nv')} AS above, cl::BIGINT AS left_n, {r('gain', 4)} AS gain FROM gn""", ("flows",))
 def newton_split_scan(spark, sf):
     df = _root(_prior(spark, sf))
     splits = T.running_splits(df, "node", FEATS, T.split_edges(df, FEATS), _newton_stats())
     return T.newton_gain(splits, min_child=5.013).select(
-        "feature", "threshold", F.col("cum_n").alias("left_n"), F.round("gain", 4).alias("gain"))
+        "feature", F.col("lo").alias("below"), F.col("next_value").alias("above"), F.col("cum_n").alias("left_n"), F.round("gain", 4).alias("gain"))
 
 
 @query("newton_best_split", f"{_PRIOR}, {newton_sql('gh', 'l_linenumber', 5.013)}" + f""",

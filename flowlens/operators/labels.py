@@ -72,7 +72,9 @@ def decode_labels(df: DataFrame, classes: DataFrame, code: str) -> DataFrame:
 def class_distribution(df: DataFrame, label: str) -> DataFrame:
     """Rows and percent per class, most frequent first."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("pct", F.col("n") * 100.0 / F.lit(float(df.count()))).orderBy(F.desc("n"), label)
+    counts, _ = settle(counts)  # one scan
+    total = float(counts.agg(F.sum("n")).first()[0] or 0)
+    return counts.withColumn("pct", F.col("n") * 100.0 / F.lit(total)).orderBy(F.desc("n"), label)
 
 
 def clean_summary(df: DataFrame, y: Column, n_features: int) -> DataFrame:

@@ -22,6 +22,12 @@ def f1_of(p: Column, r: Column) -> Column:
     return F.when(p + r > 0, F.try_divide(2.0 * p * r, p + r)).otherwise(0.0)
 
 
+def ranked(score: Column) -> Column:
+    """A missing score (NULL or NaN) ranks below every other: the row counts, and no threshold makes it positive."""
+    s = score.cast("double")
+    return F.when(s.isNull() | F.isnan(s), F.lit(float("-inf"))).otherwise(s)
+
+
 def _count(cond: Column) -> Column:
     return F.coalesce(F.sum(F.when(cond, 1).otherwise(0)), F.lit(0)).cast("bigint")
 
@@ -71,15 +77,15 @@ def error_rates(df: DataFrame, y: Column, p: Column) -> DataFrame:
 
 
 def logloss(df: DataFrame, y: Column, score: Column, eps: float = 1e-7) -> DataFrame:
-    return df.agg(F.avg(X.bce(y, score, False, eps)).alias("logloss"))
+    return df.agg(F.avg(X.bce(y, ranked(score), False, eps)).alias("logloss"))
 
 
 # --- ROC area ----------------------------------------------------------------
 
 def _score_slots(df: DataFrame, y: Column, score: Column, keys: Sequence[str]) -> DataFrame:
     """Positives and negatives per distinct score, with a score bucket."""
-    base = df.select(*keys, score.cast("double").alias("_s"), y.cast("int").alias("_y"))
-    edges = bucket_edges(base, ["_s"])
+    base = df.select(*keys, ranked(score).alias("_s"), y.cast("int").alias("_y"))
+    edges = bucket_edges(base.filter(F.col("_s") > float("-inf")), ["_s"])
     return (add_buckets(base, ["_s"], edges).groupBy(*keys, "_b__s", "_s")
             .agg(F.sum("_y").cast("bigint").alias("pos"),
                  F.sum(1 - F.col("_y")).cast("bigint").alias("neg")))
@@ -116,8 +122,8 @@ def roc_auc_ungrouped(df: DataFrame, y: Column, score: Column, key: str) -> Data
     positives ahead of a row are those at higher scores, those of the same score
     in earlier key ranges, and those earlier in its own range.
     """
-    base = df.select(score.cast("double").alias("_s"), y.cast("int").alias("_y"), F.col(key).alias("_key"))
-    edges = bucket_edges(base, ["_s", "_key"])
+    base = df.select(ranked(score).alias("_s"), y.cast("int").alias("_y"), F.col(key).alias("_key"))
+    edges = bucket_edges(base.filter(F.col("_s") > float("-inf")), ["_s", "_key"])
     marked = add_buckets(base.withColumn("_kd", F.col("_key").cast("double")), ["_s", "_kd"],
                          {"_s": edges["_s"], "_kd": edges["_key"]})
     ranges = (marked.groupBy("_b__s", "_s", "_b__kd")
@@ -141,6 +147,7 @@ def roc_auc_ungrouped(df: DataFrame, y: Column, score: Column, key: str) -> Data
 
 # --- thresholds --------------------------------------------------------------
 
+# The default grids.
 GRID_DEFAULT = [i / 100 for i in range(5, 96, 5)]
 GRID_MIDDLE = [i / 100 for i in range(10, 91)]
 GRID_FINE = [i / 100 for i in range(1, 100)]
@@ -157,7 +164,7 @@ def threshold_counts(df: DataFrame, y: Column, score: Column, grid: Sequence[flo
     own = keys or ["_all"]
     grid = sorted(set(float(t) for t in grid))
     base = df.select(*keys, *([] if keys else [F.lit(1).alias("_all")]),
-                     score.cast("double").alias("_s"), y.cast("int").alias("_y"))
+                     ranked(score).alias("_s"), y.cast("int").alias("_y"))
     cell = Bucketizer(inputCol="_s", outputCol="_cell", handleInvalid="keep",
                       splits=[float("-inf"), *grid, float("inf")])
     cells = (cell.transform(base).groupBy(*own, F.col("_cell").cast("int").alias("_cell"))
@@ -213,9 +220,9 @@ def evaluate(df: DataFrame, y: Column, score: Column, keys: Sequence[str], thres
     """All metrics per key group (for instance per split)."""
     keys = list(keys)
     t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    p = X.predict(score, t)
+    p = X.predict(ranked(score), t)
     counts = df.groupBy(*keys).agg(*confusion_counts(y, p), F.count(F.lit(1)).alias("n"),
-                                   F.avg(X.bce(y, score, False, eps)).alias("logloss"))
+                                   F.avg(X.bce(y, ranked(score), False, eps)).alias("logloss"))
     return with_rates(counts).join(roc_auc(df, y, score, keys), keys)
 
 

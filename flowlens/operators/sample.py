@@ -7,7 +7,7 @@ Counts and strata are exact; the random order is a keyed hash (see
 from __future__ import annotations
 
 import math
-import random
+import zlib
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -199,7 +199,7 @@ def bootstrap(df: DataFrame, keys: Sequence[str], trees: int, seed=42, method: s
     """
     if method == "poisson":
         fanned = df.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        u = hash_pick(seed, F.lit(1 << 32), "tree", *keys) / F.lit(float(1 << 32))
+        u = hash_pick(seed, F.lit(1 << 32), "tree", *keys, digits=8) / F.lit(float(1 << 32))
         times, mass, term = F.lit(0), 0.0, math.exp(-1.0)
         for k in range(16):  # P(X > 16) is below the resolution of a 32-bit hash
             mass += term
@@ -236,7 +236,7 @@ def bootstrap_weighted(df: DataFrame, label: str, keys: Sequence[str], trees: in
     draws = (df.sparkSession.range(n * trees)
              .select(F.floor(F.col("id") / F.lit(max(n, 1))).cast("int").alias("tree"),
                      (F.col("id") % F.lit(max(n, 1))).alias("_d"))
-             .withColumn("_u", hash_pick(f"{seed}c", F.lit(1 << 32), "tree", "_d") / F.lit(span)))
+             .withColumn("_u", hash_pick(f"{seed}c", F.lit(1 << 32), "tree", "_d", digits=8) / F.lit(span)))
     cls = F.lit(classes[-1])
     size = F.lit(sizes[classes[-1]])
     for c, e in reversed(list(zip(classes[:-1], edges[:-1]))):
@@ -255,12 +255,21 @@ def row_subsample(df: DataFrame, keys: Sequence[str], frac: float, seed, round_n
 
 
 def resolve_max_features(rule, m: int) -> int:
-    """Number of features tried per node: sqrt, log2, a number, or all."""
-    if rule == "sqrt":
-        return max(1, int(math.sqrt(m)))
-    if rule == "log2":
-        return max(1, int(math.log2(m)))
-    return rule if isinstance(rule, int) else m
+    """Features tried at a node of ``m``: "sqrt", "log2", a count, a share below 1, or None for all."""
+    if m < 1:
+        raise ValueError("no features")
+    named = {"sqrt": math.isqrt, "log2": lambda k: k.bit_length() - 1}
+    if rule in named:
+        wanted = named[rule](m)
+    elif rule is None:
+        wanted = m
+    elif isinstance(rule, int) and not isinstance(rule, bool) and rule >= 1:
+        wanted = rule
+    elif isinstance(rule, float) and 0 < rule <= 1:
+        wanted = math.ceil(rule * m)
+    else:
+        raise ValueError(f"unknown rule for the number of features: {rule!r}")
+    return min(m, max(1, wanted))
 
 
 def col_subsample(units: DataFrame, unit: str, features: Sequence[str], k: int, seed=42) -> DataFrame:
@@ -281,14 +290,13 @@ def partition_iid(df: DataFrame, label: str, keys: Sequence[str], clients: int,
 
 
 def dirichlet_shares(classes: Sequence, clients: int, alpha: float, seed: int = 42) -> dict:
-    """Seeded Dirichlet(alpha) shares per class; clients x classes numbers."""
-    rng = random.Random(seed)
-    out = {}
-    for c in classes:
-        draws = [rng.gammavariate(alpha, 1.0) for _ in range(clients)]
-        total = sum(draws) or 1e-9
-        out[c] = [d / total for d in draws]
-    return out
+    """One Dirichlet draw of client shares for each class. A class's draw depends on the seed and its name only."""
+    import numpy as np
+
+    if alpha <= 0 or clients < 1:
+        raise ValueError("alpha and the number of clients must be positive")
+    seeds = {c: [seed, zlib.crc32(str(c).encode())] for c in classes}
+    return {c: np.random.default_rng(s).dirichlet([alpha] * clients).tolist() for c, s in seeds.items()}
 
 
 def partition_dirichlet(df: DataFrame, label: str, keys: Sequence[str], shares: Mapping, seed=42) -> DataFrame:
@@ -297,6 +305,12 @@ def partition_dirichlet(df: DataFrame, label: str, keys: Sequence[str], shares:
     Every slice end is a rank bound, so rows are labelled in place without being moved.
     """
     clients = len(next(iter(shares.values())))
+    known = F.lit(False)
+    for c in shares:
+        known = known | F.col(label).eqNullSafe(F.lit(c))
+    other = df.filter(~known).select(label).first()
+    if other is not None:
+        raise ValueError(f"no shares for class {other[0]!r}")
 
     def slice_end(i: int):
         def end(n: Column) -> Column:

@@ -20,8 +20,12 @@ from .sample import bootstrap, bootstrap_weighted, resolve_max_features
 NODE_SCHEMA = ("tree_id bigint, node_id int, feature int, threshold double, left_id int, right_id int, "
                "value int, prob double, leaf_value double, gain double, n bigint, sum_h double")
 
-# Models up to this many nodes are compiled into the projection.
+# Models up to this many nodes become one expression, larger ones arrays that a vectorised task walks. Both give the
+# same scores, row by row, in batches and streams.
 COMPILED_NODES = 2_000
+MODEL_NODES = 20_000_000
+# The bucket of missing values, behind all others.
+MISSING = 1 << 30
 
 
 def gini(df: DataFrame, keys: Sequence[str], y: Column) -> DataFrame:
@@ -49,15 +53,20 @@ def running_splits(df: DataFrame, node: str, features: Sequence[str], edges: Map
     Statistics are added up per distinct value before the shuffle; with
     ``binned`` they are added up per bucket, which bounds the shuffle by
     nodes x features x buckets. Adds ``cum_*``, ``tot_*`` and ``threshold``, the
-    midpoint between neighbouring values.
+    midpoint between neighbouring values. Rows that miss the feature (NULL, NaN)
+    go right at every split, as in routing: they are in the totals only.
     """
     ready = with_buckets(df, features, edges).select(
         node, *features, *[f"_b_{f}" for f in features], *[c.alias(f"_s_{s}") for s, c in stats.items()])
-    cells = F.array(*[F.struct(F.lit(i).alias("feature"), F.col(f"_b_{f}").alias("b"),
-                               F.col(f).cast("double").alias("v")) for i, f in enumerate(features)])
+    def cell(i: int, f: str) -> Column:
+        v = F.col(f).cast("double")
+        gone = v.isNull() | F.isnan(v)
+        return F.struct(F.lit(i).alias("feature"), F.when(gone, MISSING).otherwise(F.col(f"_b_{f}")).alias("b"),
+                        F.when(~gone, v).alias("v"))
+
+    cells = F.array(*[cell(i, f) for i, f in enumerate(features)])
     long = (ready.select(node, *[f"_s_{s}" for s in stats], F.explode(cells).alias("c"))
-            .select(node, "c.feature", "c.b", "c.v", *[F.col(f"_s_{s}").alias(s) for s in stats])
-            .filter("v IS NOT NULL"))
+            .select(node, "c.feature", "c.b", "c.v", *[F.col(f"_s_{s}").alias(s) for s in stats]))
     sums = [F.sum(s).alias(s) for s in stats]
     if binned:
         slots = long.groupBy(node, "feature", "b").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), *sums)
@@ -316,43 +325,74 @@ def route(df: DataFrame, nodes: DataFrame, features: Sequence[str], keep: Sequen
     return df.select(*keep, F.explode(pairs).alias("p")).select(*keep, "p.*")
 
 
-def _per_row(df: DataFrame, nodes: DataFrame, features: Sequence[str], leaf: str, key: str | None) -> tuple[DataFrame, Column]:
-    """``df`` and the sum of one leaf attribute over all trees."""
-    model = model_rows(nodes)
-    if model is not None:
-        total = None
-        for c in leaf_columns(model, features, leaf):
-            total = c if total is None else total + c
-        return df, total
-    if key is None:
-        raise ValueError("a model this large needs a row key")
-    sums = route_join(df, nodes, features, [key]).groupBy(key).agg(F.sum(leaf).alias("_leaf_sum"))
-    return df.join(sums, key), F.col("_leaf_sum")
-
-
-def n_trees(nodes: DataFrame) -> int:
-    return nodes.filter("node_id = 0").count()
-
+def _leaf_sum(nodes: DataFrame, features: Sequence[str], leaf: str, limit: int) -> tuple[Column, int]:
+    """Sum of one leaf attribute over all trees, and their number; the model is fetched once.
 
-def soft_vote(df: DataFrame, nodes: DataFrame, features: Sequence[str], key: str | None = None,
-              name: str = "score") -> DataFrame:
+    A missing feature goes right. The column needs no key and no shuffle, so repeated rows score alike and a
+    stream scores like a table.
+    """
+    rows = fetch_small(nodes, limit)
+    if rows is None:
+        raise ValueError(f"more than {limit} nodes: raise the limit or score the trees in parts")
+    model: dict[int, dict[int, object]] = {}
+    for r in rows:
+        model.setdefault(r["tree_id"], {})[r["node_id"]] = r
+    model = dict(sorted(model.items()))
+    if len(rows) > COMPILED_NODES:
+        return _walker(model, features, leaf), len(model)
+    total = None
+    for c in leaf_columns(model, features, leaf):
+        total = c if total is None else total + c
+    return F.lit(0) if total is None else total, len(model)
+
+
+def _walker(model: Mapping, features: Sequence[str], leaf: str) -> Column:
+    """The same sum by flat node arrays: all rows of a batch go down one level of one tree at a time."""
+    import numpy as np
+
+    trees = []
+    for nodes in model.values():
+        at = {i: k for k, i in enumerate(sorted(nodes))}
+        rows = [nodes[i] for i in at]
+        feature = np.array([r["feature"] for r in rows])
+        trees.append((at[0], feature, np.array([r["threshold"] for r in rows]), np.array([at.get(r["left_id"], 0) for r in rows]),
+                      np.array([at.get(r["right_id"], 0) for r in rows]), np.array([r[leaf] for r in rows], float)))
+
+    def walk(x):
+        import numpy as np
+        import pandas as pd
+
+        cells = x.to_numpy(dtype=float, na_value=np.nan)
+        lines, total = np.arange(len(cells)), np.zeros(len(cells))
+        for root, feature, threshold, left, right, value in trees:
+            here = np.full(len(cells), root)
+            while (inner := feature[here] >= 0).any():
+                # Leaves look at feature 0 but stay where they are.
+                below = cells[lines, np.maximum(feature[here], 0)] <= threshold[here]
+                here = np.where(inner, np.where(below, left[here], right[here]), here)
+            total += value[here]
+        return pd.Series(total)
+
+    return F.pandas_udf(walk, "double", F.PandasUDFType.SCALAR)(F.struct(*[F.col(f).cast("double").alias(f) for f in features]))
+
+
+def soft_vote(df: DataFrame, nodes: DataFrame, features: Sequence[str], name: str = "score", limit: int = MODEL_NODES) -> DataFrame:
     """Mean leaf probability."""
-    out, total = _per_row(df, nodes, features, "prob", key)
-    return out.withColumn(name, total / F.lit(float(n_trees(nodes)))).drop("_leaf_sum")
+    total, trees = _leaf_sum(nodes, features, "prob", limit)
+    return df.withColumn(name, total / F.lit(float(trees)))
 
 
-def majority_vote(df: DataFrame, nodes: DataFrame, features: Sequence[str], key: str | None = None,
-                  name: str = "pred") -> DataFrame:
+def majority_vote(df: DataFrame, nodes: DataFrame, features: Sequence[str], name: str = "pred", limit: int = MODEL_NODES) -> DataFrame:
     """1 when more than half of the trees (rounded down) say 1."""
-    out, total = _per_row(df, nodes, features, "value", key)
-    return out.withColumn(name, F.when(total > n_trees(nodes) // 2, 1).otherwise(0)).drop("_leaf_sum")
+    total, trees = _leaf_sum(nodes, features, "value", limit)
+    return df.withColumn(name, F.when(total > trees // 2, 1).otherwise(0))
 
 
-def boosted_score(df: DataFrame, nodes: DataFrame, features: Sequence[str], base: float, rate: float,
-                  key: str | None = None, name: str = "raw") -> DataFrame:
+def boosted_score(df: DataFrame, nodes: DataFrame, features: Sequence[str], base: float, rate: float, name: str = "raw",
+                  limit: int = MODEL_NODES) -> DataFrame:
     """base + rate * sum of leaf values."""
-    out, total = _per_row(df, nodes, features, "leaf_value", key)
-    return out.withColumn(name, F.lit(float(base)) + F.lit(float(rate)) * total).drop("_leaf_sum")
+    total, _ = _leaf_sum(nodes, features, "leaf_value", limit)
+    return df.withColumn(name, F.lit(float(base)) + F.lit(float(rate)) * total)
 
 
 # --- inspection ----------------------------------------------------------------

@@ -9,6 +9,7 @@ one value holding a third of all rows costs one row after the map side.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -26,14 +27,15 @@ def bucket_edges(df: DataFrame, cols: Sequence[str], buckets: int | None = None)
         probs = F.array(*[F.lit(i / k) for i in range(1, k)])
         accuracy = F.lit(max(10_000, 8 * k))
         return df.agg(F.count(F.lit(1)).alias("_rows"), *[
-            F.percentile_approx(F.col(c).cast("double"), probs, accuracy).alias(c) for c in cols]).first()
+            F.percentile_approx(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), probs, accuracy).alias(c)
+            for c in cols]).first()
 
     k = buckets or MIN_BUCKETS
     row = fit(k)
     wanted = min(MAX_BUCKETS, row["_rows"] // ROWS_PER_BUCKET)
     if buckets is None and wanted > k:  # a large table: fit again with more edges
         row = fit(wanted)
-    return {c: sorted(set(row[c] or [])) for c in cols}
+    return {c: sorted({x for x in row[c] or [] if math.isfinite(x)}) for c in cols}
 
 
 def add_buckets(df: DataFrame, cols: Sequence[str], edges: Mapping[str, Sequence[float]],

@@ -21,7 +21,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .small import attach, settle
+from .small import attach, ensure_checkpoint_dir, settle
 
 # Hex digits of the first prefix and of every refinement (256 and 4096 groups).
 FIRST_DIGITS, MORE_DIGITS = 2, 3
@@ -38,9 +38,9 @@ def hash_text(seed, *keys) -> Column:
     return F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
 
 
-def hash_pick(seed, n: Column, *keys) -> Column:
-    """A pick in 0..n-1 from the first eight hex digits of the hash."""
-    h = F.conv(F.substring(hash_text(seed, *keys), 1, 8), 16, 10).cast("bigint")
+def hash_pick(seed, n: Column, *keys, digits: int = 15) -> Column:
+    """A pick in 0..n-1 from the first hex digits of the hash: 15 of them reach every row of any table."""
+    h = F.conv(F.substring(hash_text(seed, *keys), 1, digits), 16, 10).cast("bigint")
     return F.pmod(h, n.cast("bigint"))
 
 
@@ -148,17 +148,18 @@ def hash_rank(df: DataFrame, strata: Sequence[str], keys: Sequence[str], seed,
 
 
 def number_rows(df: DataFrame, name: str = "row_no") -> DataFrame:
-    """Dense 1..n numbers in file order, without moving rows.
+    """Dense 1..n numbers in the order of the table's partitions, without moving rows.
 
-    The position inside each scan partition is free; one counting pass gives the
-    partition offsets, one row per partition.
+    Positions inside the partitions are written once: a second run of the plan could be cut into other
+    partitions (adaptive execution merges them by size). One counting pass gives the partition offsets.
     """
-    mid = F.monotonically_increasing_id()
-    work = df.withColumn("_m", mid).withColumn("_part", F.shiftright("_m", 33).cast("int"))
+    ensure_checkpoint_dir(df.sparkSession)
+    work = df.withColumn("_m", F.monotonically_increasing_id()).checkpoint()
+    work = work.withColumn("_part", F.shiftright("_m", 33).cast("int"))
     counts = work.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
     # Bounded by the number of scan partitions, not by rows.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets, _ = settle(counts.select("_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off")))
-    joined = work.join(F.broadcast(offsets), "_part")
+    offsets, small = settle(counts.select("_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off")))
+    joined = work.join(F.broadcast(offsets) if small else offsets, "_part")
     local = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
     return joined.withColumn(name, F.col("_off") + local + 1).drop("_m", "_part", "_off")

@@ -236,23 +236,31 @@ def test_run_summary_of_one_run(spark):
 
 # --- trees ------------------------------------------------------------------------
 
+def impurity(ys):
+    return 1 - sum((ys.count(c) / len(ys)) ** 2 for c in set(ys)) if ys else 0.0
+
+
+def cuts(rows, f):
+    """Every threshold between two neighbouring values of feature f, with the rows on its two sides."""
+    values = sorted({r[f] for r in rows if r[f] is not None})
+    for low, high in zip(values, values[1:]):
+        t = (low + high) / 2
+        yield t, [r for r in rows if r[f] is not None and r[f] <= t], [r for r in rows if r[f] is None or r[f] > t]
+
+
+def best_cut(rows, m, worth, allowed):
+    """(gain, feature, threshold) of the best cut; the first feature and the lowest threshold of equal ones."""
+    found = [(worth(rows, left, right), f, t) for f in range(m) for t, left, right in cuts(rows, f) if allowed(left, right)]
+    top = max((g for g, _, _ in found), default=None)
+    return next((x for x in found if x[0] >= top - 1e-12), (0.0, None, None))
+
+
 def brute_cart(rows, m, min_leaf=1):
-    n = len(rows)
-    pos = sum(r[-1] for r in rows)
-    gini = lambda p, k: 1 - (p / k) ** 2 - ((k - p) / k) ** 2
-    best = (-1.0, None, None)
-    for f in range(m):
-        order = sorted(rows, key=lambda r: r[f])
-        left = 0
-        for j in range(n - 1):
-            left += order[j][-1]
-            k = j + 1
-            if order[j][f] == order[j + 1][f] or k < min_leaf or n - k < min_leaf:
-                continue
-            gain = gini(pos, n) - (k / n * gini(left, k) + (n - k) / n * gini(pos - left, n - k))
-            if gain > best[0] + 1e-15:
-                best = (gain, f, (order[j][f] + order[j + 1][f]) / 2)
-    return best
+    def worth(whole, left, right):
+        ys, a, b = ([r[-1] for r in part] for part in (whole, left, right))
+        return impurity(ys) - (len(a) * impurity(a) + len(b) * impurity(b)) / len(ys)
+
+    return best_cut(rows, m, worth, lambda a, b: min(len(a), len(b)) >= min_leaf)
 
 
 def tree_rows(n=200, seed=3):
@@ -285,6 +293,57 @@ def test_cart_tree_against_brute_force(spark):
     assert max(v.depth for v in tree.nodes.values()) == 3
 
 
+def test_missing_features_go_right(spark):
+    """Node totals are the rows that are routed there, whichever way a feature is missing."""
+    rows = [(None if i % 4 == 0 else a, NAN if i % 7 == 0 else b, y) for i, (a, b, y) in enumerate(tree_rows(150, 8))]
+    plain = [(a, None if b != b else b, y) for a, b, y in rows]
+    tree = T.cart_tree(spark.createDataFrame(rows, "a double, b double, y int"), ["a", "b"], "y", max_depth=3, min_leaf=3)
+
+    def check(node, part):
+        v = tree.nodes[node]
+        assert (v.n, v.stats["pos"]) == (len(part), sum(r[-1] for r in part))
+        if v.feature >= 0:
+            gain, f, t = brute_cart(part, 2, 3)
+            assert (v.feature, v.threshold) == (f, pytest.approx(t)) and v.gain == pytest.approx(gain)
+            check(v.left, [r for r in part if r[f] is not None and r[f] <= t])
+            check(v.right, [r for r in part if r[f] is None or r[f] > t])
+
+    check(0, plain)
+
+
+def cut_twice(spark, trees):
+    """Each tree cuts a, then b."""
+    rows = []
+    for t in range(trees):
+        rows += [(t, 0, 0, t % 13 - 6.0, 1, 2, 0, 0.0, 0.0), (t, 1, -1, 0.0, -1, -1, 0, 0.25, 0.5), (t, 2, 1, t % 5 - 2.0, 3, 4, 0, 0.0, 0.0),
+                 (t, 3, -1, 0.0, -1, -1, t % 2, 0.5, -1.0), (t, 4, -1, 0.0, -1, -1, 1, 1.0, 2.0)]
+    return spark.createDataFrame(rows, "tree_id bigint, node_id int, feature int, threshold double, left_id int, right_id int, value int, prob double, leaf_value double")
+
+
+def test_models_of_any_size_score_alike(spark, tmp_path, monkeypatch):
+    from flowlens.streaming import score as R
+
+    nodes = cut_twice(spark, 60)
+    points = [(1, 0.5, 1.0), (1, 0.5, 1.0), (2, None, 0.0), (3, NAN, NAN), (4, -9.0, None), (None, 3.0, -2.0)]
+    df = spark.createDataFrame(points, "id int, a double, b double")
+
+    def scores(table):
+        out = T.boosted_score(T.soft_vote(table, nodes, ["a", "b"]), nodes, ["a", "b"], 0.1, 0.3)
+        return T.majority_vote(out, nodes, ["a", "b"]).select("id", "score", "raw", "pred")
+
+    def rows(out):
+        return sorted((str(r["id"]), round(r["score"], 9), round(r["raw"], 6), r["pred"]) for r in out.collect())
+
+    compiled = rows(scores(df))
+    monkeypatch.setattr(T, "COMPILED_NODES", 10)
+    walked = rows(scores(df))
+    assert walked == compiled and len(walked) == 6 and walked[0] == walked[1]
+    df.write.parquet(str(tmp_path / "in"))
+    assert rows(R.drain(R.score_stream(R.open_stream(spark, str(tmp_path / "in"), df.schema), scores), "big")) == walked
+    with pytest.raises(ValueError, match="nodes"):
+        T.soft_vote(df, nodes, ["a", "b"], limit=100)
+
+
 def test_forest_uses_draw_counts_and_feature_subsets(spark):
     rows = [(i, *r) for i, r in enumerate(tree_rows(150, 11))]
     df = spark.createDataFrame(rows, "k bigint, a double, b double, y int")
@@ -320,18 +379,12 @@ def test_newton_tree_against_brute_force(spark):
     rows = [(a, b, 0.4 - y, 0.24) for a, b, y in tree_rows(120, 5)]
     df = spark.createDataFrame(rows, "a double, b double, g double, h double")
     tree = G.newton_tree(df, ["a", "b"], max_depth=1, lam=1.0, min_child=2.0)
-    best = (0.0, None, None)
-    gt, ht = sum(r[2] for r in rows), sum(r[3] for r in rows)
-    for f in range(2):
-        order = sorted(rows, key=lambda r: r[f])
-        gl = hl = 0.0
-        for j in range(len(order) - 1):
-            gl, hl = gl + order[j][2], hl + order[j][3]
-            if order[j][f] == order[j + 1][f] or hl < 2.0 or ht - hl < 2.0:
-                continue
-            gain = 0.5 * (gl * gl / (hl + 1) + (gt - gl) ** 2 / (ht - hl + 1) - gt * gt / (ht + 1))
-            if gain > best[0]:
-                best = (gain, f, (order[j][f] + order[j + 1][f]) / 2)
+
+    def quality(part):
+        return sum(r[2] for r in part) ** 2 / (sum(r[3] for r in part) + 1)
+
+    best = best_cut(rows, 2, lambda whole, a, b: 0.5 * (quality(a) + quality(b) - quality(whole)),
+                    lambda a, b: min(sum(r[3] for r in a), sum(r[3] for r in b)) >= 2.0)
     root = tree.nodes[0]
     assert (root.feature, root.threshold, root.gain) == (best[1], pytest.approx(best[2]), pytest.approx(best[0]))
 
@@ -484,3 +537,39 @@ def test_binary_records_roundtrip(spark, tmp_path):
         assert sorted(tuple(r) for r in B.read_records(spark, str(tmp_path / "r"), 2, block_rows=block).collect()) == want
     plain = B.read_records(spark, str(tmp_path / "r" / "attempts"), 2, written=False)
     assert sorted(tuple(r) for r in plain.collect()) == want
+
+
+# --- assignment -------------------------------------------------------------------
+
+def test_dirichlet_shares_and_unknown_classes(spark):
+    shares = S.dirichlet_shares([0, 1], 5, 0.5, seed=3)
+    assert all(sum(v) == pytest.approx(1) and len(v) == 5 and min(v) >= 0 for v in shares.values())
+    assert shares == S.dirichlet_shares([1, 0], 5, 0.5, seed=3) and shares != S.dirichlet_shares([0, 1], 5, 0.5, seed=4)
+    assert shares[0] != shares[1]
+    with pytest.raises(ValueError):
+        S.dirichlet_shares([0], 5, 0.0)
+    df = spark.createDataFrame([(i, i % 3) for i in range(90)], "k bigint, y int")
+    with pytest.raises(ValueError, match="class 2"):
+        S.partition_dirichlet(df, "y", ["k"], shares)
+    out = S.partition_dirichlet(df.filter("y < 2"), "y", ["k"], shares)
+    assert out.count() == 60 and out.filter("client NOT BETWEEN 0 AND 4").count() == 0
+
+
+@pytest.mark.parametrize("rule,want", [("sqrt", 4), ("log2", 4), (None, 24), (7, 7), (99, 24), (0.5, 12), (1.0, 24)])
+def test_number_of_features(rule, want):
+    assert S.resolve_max_features(rule, 24) == want
+
+
+@pytest.mark.parametrize("rule", ["all", 0, -1, 1.5, True])
+def test_unknown_number_of_features(rule):
+    with pytest.raises(ValueError):
+        S.resolve_max_features(rule, 24)
+
+
+def test_missing_scores_count_as_negative(spark):
+    df = spark.createDataFrame([("a", 1, 0.9), ("a", 1, NAN), ("a", 0, None), ("a", 0, NAN), ("a", 1, 0.1), ("a", 0, 0.6)], "k string, y int, s double")
+    row = M.evaluate(df, F.col("y"), F.col("s"), ["k"]).first()
+    assert (row["n"], row["tp"], row["fp"], row["fn"], row["tn"]) == (6, 1, 1, 2, 2)
+    for r in M.threshold_counts(df, F.col("y"), F.col("s"), [0.5], ["k"]).collect():
+        assert (r["tp"], r["fp"], r["fn"], r["tn"]) == (1, 1, 2, 2)
+    assert row["auc"] == M.roc_auc(df.fillna(-1.0, ["s"]).replace(NAN, -1.0), F.col("y"), F.col("s")).first()["auc"]

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Window, functions as F
 
@@ -79,12 +80,21 @@ def test_number_rows_is_dense(spark):
     assert sorted(r["row_no"] for r in out.collect()) == list(range(1, 101))
 
 
+def test_numbers_stay_dense_after_a_shuffle(spark):
+    """Adaptive execution merges the partitions of a shuffle by their size, which depends on the columns read."""
+    df = spark.range(150_000).withColumn("text", F.sha2(F.col("id").cast("string"), 256)).repartition("id")
+    out = R.number_rows(df).agg(F.count(F.lit(1)), F.countDistinct("row_no"), F.min("row_no"), F.max("row_no"), F.countDistinct("id")).first()
+    assert tuple(out) == (150_000, 150_000, 1, 150_000, 150_000)
+
+
+def test_picks_reach_every_row_of_a_large_table(spark):
+    n = 10**12
+    row = spark.range(20_000).select(R.hash_pick(1, F.lit(n), "id").alias("p")).agg(F.min("p"), F.max("p"), F.avg("p")).first()
+    assert row[0] < 0.001 * n and row[1] > 0.999 * n and abs(row[2] / n - 0.5) < 0.01
+
+
 def percentile(values, p):
-    s = sorted(values)
-    pos = p * (len(s) - 1)
-    lo = int(pos)
-    hi = min(lo + 1, len(s) - 1)
-    return s[lo] + (pos - lo) * (s[hi] - s[lo])
+    return float(np.quantile(values, p))
 
 
 @pytest.mark.parametrize("cells", [0, 10**9])

@@ -38,20 +38,7 @@ def test_same_rows(spark, sf, con, name):
     cols = [d[0] for d in rel.description]
     assert sorted(cols) == sorted(df.columns)
     want = rows_of(cols, rel.fetchall())
-    if name in NEAR:
-        assert_near(got, want)
-    else:
-        assert got == want
-
-
-# Midpoints of neighbouring prices can end on a rounding half.
-NEAR = {"newton_split_scan", "cart_split_scan"}
-
-
-def assert_near(got, want):
-    assert len(got) == len(want)
-    for a, b in zip(got, want):
-        assert a == pytest.approx(b, abs=1e-3)
+    assert got == want
 
 
 def test_only_known_queries_lack_sql():
