@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..operators import scale as S
+from ..operators import metrics as M, scale as S
 from ..plans.ranking import number_rows
 from ..plans.small import scratch_path
 from ..sources import delimited as D, records as B, results as R
 from . import views as V
+from .evaluation import _FINE, _sweep_sql
 from .registry import query, r, ratio
 
 # One text column holding a whole line; some lines are blank, short or long.
@@ -123,6 +124,21 @@ def params_roundtrip(spark, sf):
     return S.transform(df, S.params_from_table(R.load_table(spark, path))).select("row_key", *V.INPUTS)
 
 
+@query("threshold_roundtrip", _sweep_sql(_FINE) + f""",
+    b AS (SELECT threshold FROM sw ORDER BY f1 DESC, threshold LIMIT 1),
+    z AS (SELECT quantile_cont(s, 0.5) AS m, greatest(quantile_cont(s, 0.75) - quantile_cont(s, 0.25), 1e-8) AS d FROM scored)
+    SELECT event_id, {r('(s - m) / d')} AS s, CASE WHEN s >= threshold THEN 1 ELSE 0 END AS pred FROM scored, b, z""", ("scored",))
+def threshold_roundtrip(spark, sf):
+    """The scaler and its decision threshold, fitted, stored together, reloaded and applied."""
+    df = V.scored(spark, sf)
+    path = scratch_path(spark, "fitted")
+    best = M.best_threshold(df, F.col("y"), F.col("s")).first()["threshold"]
+    R.save_table(S.params_table(spark, S.robust_fit(df, ["s"]), best), path)
+    stored = R.load_table(spark, path)
+    called = df.select("event_id", "s", X.predict(F.col("s"), S.threshold_from_table(stored)).alias("pred"))
+    return S.transform(called, S.params_from_table(stored))
+
+
 @query("node_table_roundtrip", "SELECT tree_id, node_id, feature, " + r("threshold") + " AS threshold, left_id, right_id, value, "
        + r("prob") + " AS prob, " + r("leaf_value") + " AS leaf_value, gain, sum_h, n FROM grove", ("grove",))
 def node_table_roundtrip(spark, sf):

@@ -30,6 +30,13 @@ def stream_source(spark, sf):
     return R.drain(_stream(spark, sf).select("event_id", "user_id", "event_type", "value"), "source")
 
 
+@query("stream_limited", "SELECT least(count(*), 7000) AS n, least(count(*), 7000) AS n_events FROM events")
+def stream_limited(spark, sf):
+    """A stream that ends after a number of records."""
+    taken = R.take(_stream(spark, sf).select("event_id", "value"), "taken", 7000)
+    return taken.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("n_events"))
+
+
 _SQL = f"inp AS (SELECT {_INPUT.format(key='event_id')} FROM events), {ROUTE.format(source='inp').strip()}"
 
 

@@ -57,9 +57,15 @@ def fed_round(df: DataFrame, client: str, features: Sequence[str], y: str, w: Se
 
 def fed_train(df: DataFrame, client: str, features: Sequence[str], y: str, rounds: int, rate: float,
               evaluate: bool = False) -> tuple[list[float], list[tuple]]:
-    """Rounds of local steps and averaging; the driver holds the weight vector only."""
+    """Rounds of local steps and averaging; the driver holds the weight vector only.
+
+    With ``evaluate`` each round is logged, with the number of clients and their smallest, largest and total size.
+    """
     w = [0.0] * (len(features) + 1)
     log = []
+    if evaluate:
+        per = df.groupBy(client).agg(F.count(F.lit(1)).alias("n"))
+        size = per.agg(F.count(F.lit(1)), F.min("n"), F.max("n"), F.sum("n")).first()
     for r in range(1, rounds + 1):
         rows = fed_round(df, client, features, y, w, rate).collect()  # one row per weight
         w = [v for _, v in sorted((row["pos"], row["w"]) for row in rows)]
@@ -67,11 +73,11 @@ def fed_train(df: DataFrame, client: str, features: Sequence[str], y: str, round
             scored = df.select(F.col(y).alias("y"), X.sigmoid(linear_score(features, w)).alias("s"),
                                F.lit("all").alias("split"))
             m = M.evaluate(scored, F.col("y"), F.col("s"), ["split"]).first()
-            log.append((r, float(m["accuracy"]), float(m["f1"]), float(m["auc"]), float(m["logloss"])))
+            log.append((r, float(m["accuracy"]), float(m["f1"]), float(m["auc"]), float(m["logloss"]), *size))
     return w, log
 
 
-LOG_SCHEMA = "round int, accuracy double, f1 double, auc double, logloss double"
+LOG_SCHEMA = "round int, accuracy double, f1 double, auc double, logloss double, clients bigint, smallest bigint, largest bigint, rows bigint"
 
 
 def label_mix(df: DataFrame, client: str, label: str, values: Sequence) -> DataFrame:

@@ -40,13 +40,20 @@ def serve_transform(df: DataFrame, params: Mapping[str, tuple[float, float]]) ->
         c: ((F.col(c) - F.lit(m)) / F.lit(s)) if s != 0.0 else F.lit(0.0) for c, (m, s) in params.items()})
 
 
-def params_table(spark, params: Mapping[str, tuple[float, float]]) -> DataFrame:
-    """One row per column, for writing."""
-    return spark.createDataFrame([(c, float(m), float(s)) for c, (m, s) in params.items()],
-                                 "feature string, center double, spread double")
+def params_table(spark, params: Mapping[str, tuple[float, float]], threshold: float | None = None) -> DataFrame:
+    """One row per column, for writing; a decision threshold is the row without a feature."""
+    rows = [(c, float(m), float(s)) for c, (m, s) in params.items()]
+    if threshold is not None:
+        rows.append((None, float(threshold), None))
+    return spark.createDataFrame(rows, "feature string, center double, spread double")
 
 
 def params_from_table(table: DataFrame) -> dict[str, tuple[float, float]]:
     """Reload fitted parameters; the table has one row per feature column."""
-    return {r["feature"]: (r["center"], r["spread"]) for r in table.collect()}
+    return {r["feature"]: (r["center"], r["spread"]) for r in table.filter("feature IS NOT NULL").collect()}
+
+
+def threshold_from_table(table: DataFrame, default: float = 0.5) -> float:
+    row = table.filter("feature IS NULL").first()
+    return default if row is None else row["center"]
 

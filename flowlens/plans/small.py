@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Rows a fitted table may have before it is joined by shuffle instead of broadcast.
@@ -98,8 +100,27 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_WORKSPACES: list[str] = []
+
+
+@contextmanager
+def workspace(spark):
+    """Owns the intermediate tables made inside it: they are deleted at the end, so write results before."""
+    import uuid
+
+    root = f"{ensure_checkpoint_dir(spark)}/flowlens/workspace-{uuid.uuid4().hex}"
+    _WORKSPACES.append(root)
+    try:
+        yield root
+    finally:
+        _WORKSPACES.remove(root)
+        where = spark._jvm.org.apache.hadoop.fs.Path(root)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def scratch_path(spark, label: str) -> str:
-    """A fresh path in the shared folder; callers never reuse one."""
+    """A fresh path in the shared folder; callers never reuse one. A workspace, if one is open, deletes it."""
     import uuid
 
-    return f"{ensure_checkpoint_dir(spark)}/flowlens/{label}-{uuid.uuid4().hex}"
+    base = _WORKSPACES[-1] if _WORKSPACES else f"{ensure_checkpoint_dir(spark)}/flowlens"
+    return f"{base}/{label}-{uuid.uuid4().hex}"

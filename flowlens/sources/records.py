@@ -34,13 +34,19 @@ def _open(path: str):
     return pfs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system: one without a scheme lies in the cluster's default one, for every executor."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
+
 def write_records(df: DataFrame, features: list[str], label: str, path: str) -> None:
     """One file per task in a folder every executor can reach.
 
     A task writes a file of its own name; only files of attempts that Spark reports
     as successful are listed, so a retried task leaves no second copy in the data.
     """
-    m = len(features)
+    m, path = len(features), qualified(df.sparkSession, path)
 
     def put(batches: Iterable) -> Iterator:
         import numpy as np

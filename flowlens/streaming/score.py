@@ -25,6 +25,32 @@ def drain(stream: DataFrame, label: str, timeout: int = 600) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{out}/data")
 
 
+def take(stream: DataFrame, label: str, records: int, timeout: int = 600) -> DataFrame:
+    """Stop after ``records`` records, or at the end of what is available; rows as they arrived."""
+    spark = stream.sparkSession
+    out = scratch_path(spark, label)
+    seen: dict[int, int] = {}
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        left = records - sum(n for e, n in seen.items() if e != epoch)
+        if left > 0:
+            batch.limit(left).write.mode("overwrite").parquet(f"{out}/data/epoch={epoch}")
+            seen[epoch] = spark.read.schema(stream.schema).parquet(f"{out}/data/epoch={epoch}").count()
+
+    query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    try:
+        waited = 0
+        while not query.awaitTermination(1):
+            waited += 1
+            if sum(seen.values()) >= records:
+                break
+            if waited > timeout:
+                raise TimeoutError("stream did not drain in time")
+    finally:
+        query.stop()
+    return spark.read.schema(stream.schema).parquet(f"{out}/data/*")
+
+
 def _finish(query, timeout: int) -> None:
     try:
         if not query.awaitTermination(timeout):

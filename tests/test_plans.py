@@ -144,3 +144,13 @@ def test_no_row_shuffle_in_a_sample(spark, sf):
     df = spark.read.parquet(f"{sf}/events.parquet")
     plan = S.stratified_sample(df, ["event_type"], ["event_id"], 0.1)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_workspace_removes_its_tables(spark):
+    import os
+
+    with P.workspace(spark) as root:
+        table = P.materialise(spark.range(10).toDF("id"), "t")
+        assert table.count() == 10 and os.path.isdir(root.removeprefix("file:"))
+    assert not os.path.exists(root.removeprefix("file:"))
+    assert P.materialise(spark.range(3).toDF("id"), "t").count() == 3
