@@ -197,15 +197,25 @@ def usable(v: Column) -> Column:
     return v.isNotNull() & F.coalesce(fine, F.lit(False)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def build_index(nodes: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """One row per shard and dimension from (id, v, dim): dim, shard, shards, ids and the arrays of its graph."""
-    sizes = {r["dim"]: r["count"] for r in nodes.groupBy("dim").count().collect()}  # one row per dimension
-    if not sizes:
-        return nodes.sparkSession.createDataFrame([], "dim int, shard int, ids binary, vectors binary, place binary, links binary")
-    shards = None
-    for d, n in sizes.items():
-        s = F.pmod(F.xxhash64("id"), F.lit(-(-n // shard_rows))).cast("int")
-        shards = F.when(F.col("dim") == d, s) if shards is None else shards.when(F.col("dim") == d, s)
+INDEX = "dim int, shard int, ids binary, vectors binary, place binary, links binary"
+
+
+def shard_counts(nodes: DataFrame, shard_rows: int = SHARD_ROWS) -> dict[int, int]:
+    """Number of shards for each dimension that occurs."""
+    return {r["dim"]: -(-r["count"] // shard_rows) for r in nodes.groupBy("dim").count().collect()}
+
+
+def _by_dim(values: dict[int, int]) -> Column:
+    out = F.lit(None).cast("int")
+    for d, n in values.items():
+        out = F.when(F.col("dim") == d, n).otherwise(out)
+    return out
+
+
+def build_index(nodes: DataFrame, shards: dict[int, int]) -> DataFrame:
+    """One row per shard and dimension from (id, v, dim): dim, shard, ids and the arrays of its graph."""
+    if not shards:
+        return nodes.sparkSession.createDataFrame([], INDEX)
 
     def build(pdf):
         import numpy as np
@@ -217,14 +227,12 @@ def build_index(nodes: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
         return pd.DataFrame([(int(pdf["dim"][0]), int(pdf["shard"][0]), pdf["id"].to_numpy("<i8").tobytes(), vectors, place, links)],
                             columns=["dim", "shard", "ids", "vectors", "place", "links"])
 
-    total = sum(-(-n // shard_rows) for n in sizes.values())
-    dealt = nodes.withColumn("shard", shards)
+    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("id"), _by_dim(shards)).cast("int"))
     # An explicit number keeps shards from being merged into one task.
-    return (dealt.repartition(total, "dim", "shard").groupBy("dim", "shard")
-            .applyInPandas(build, "dim int, shard int, ids binary, vectors binary, place binary, links binary"))
+    return dealt.repartition(sum(shards.values()), "dim", "shard").groupBy("dim", "shard").applyInPandas(build, INDEX)
 
 
-def search_index(index: DataFrame, queries: DataFrame, count: int, width: int = SEARCH_WIDTH) -> DataFrame:
+def search_index(index: DataFrame, shards: dict[int, int], queries: DataFrame, count: int, width: int = SEARCH_WIDTH) -> DataFrame:
     """(query_id, id, score): each shard's best ``count`` for each row (query_id, v, dim) of ``queries``.
 
     Queries travel in blocks of bounded size. A task holds one shard's graph at a time and answers a bounded
@@ -265,10 +273,9 @@ def search_index(index: DataFrame, queries: DataFrame, count: int, width: int =
 
     blocks = staged(queries.select("query_id", "v", "dim").mapInArrow(block, "dim int, block bigint, ids binary, vectors binary"), "blocks")
     groups = max(1, -(-blocks.count() // GROUP_BLOCKS))
-    places = index.select("dim", "shard")
-    many = max(1, places.count())
+    many = max(1, sum(shards.values()))
     graphs = index.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    asked = (blocks.join(F.broadcast(places), "dim")  # one row per shard, without its graph
+    asked = (blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), _by_dim(shards) - 1)))
              .select("dim", "shard", "ids", "vectors", F.lit(None).cast("binary").alias("place"), F.lit(None).cast("binary").alias("links"),
                      F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int").alias("turn")))
     rows = graphs.unionByName(asked).repartition(min(many * groups, 100_000), "dim", "shard", "turn")
@@ -296,8 +303,10 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, shard_rows: int =
     first = (rows.select("id", "v", "dim", F.xxhash64("v").alias("h")).withColumn("n", F.row_number().over(same)).filter(F.col("n") <= k + 1)
              .withColumn("node", F.first("id").over(same)))
     known = staged(first.select("node", "id", "n", "dim", F.when(F.col("n") == 1, F.col("v")).alias("v")), "vectors")
-    index = staged(build_index(known.filter("n = 1").select("id", "v", "dim"), shard_rows), "index")
-    met = search_index(index, rows.filter("asked").select(F.col("id").alias("query_id"), "v", "dim"), k + 1, width)
+    nodes = known.filter("n = 1").select("id", "v", "dim")
+    shards = shard_counts(nodes, shard_rows)
+    index = staged(build_index(nodes, shards), "index")
+    met = search_index(index, shards, rows.filter("asked").select(F.col("id").alias("query_id"), "v", "dim"), k + 1, width)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     merged = met.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1)
     copies = known.filter("n > 1").select(F.col("node"), F.col("id").alias("copy"))
