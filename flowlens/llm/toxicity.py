@@ -24,7 +24,7 @@ register_pickle_by_value(sys.modules[__name__])
 
 WORD, SENTENCE = re.compile(r"\w+"), re.compile(r"[.!?\n]+")
 STARTS = (4, 5, 6)
-PER_LABEL, MIN_TEXTS = 4000, 5
+PER_LABEL, MIN_TEXTS = 3000, 5
 # Names of groups by kind; each kind has a neutral word.
 IDENTITIES = (
     ("women", "men", "girls", "boys", "transgender", "people"),
