@@ -14,12 +14,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}+\.){1,20}[A-Za-z]{2,}(?![A-Za-z0-9-])",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\w)",
-    "date": r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![./-]?\w)",
+    "date": r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}(?=T\d)|(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![./-]?\w))",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?!-?\w)",
     "card": r"(?<![\w+-])\d(?:[ -]?\d){12,18}(?![-]?\w)",
     "phone": r"(?<![\w+(])(?:(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+[1-9](?:[ .-]?\(?\d\)?){7,13})(?!\w)",
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
+# Cards are searched in whole runs of digit groups, which end before a word that looks like a date or an SSN.
+WORD = r"(?!(?:\d{4}-\d{2}-\d{2}|\d{3}-\d{2}-\d{4})(?!-?\w))\d++(?:-\d++)*+(?!-?\w)"
+RUN = rf"(?<![\w+-])(?=\d(?:[ -]?\d){{12}}){WORD}(?: {WORD})*+"
+FOUND = "|".join(f"(?:{RUN if k == 'card' else p})" for k, p in KINDS.items())
+# Groups that may be one card, best first: a single group, the printed forms, any 13 to 19 digits.
+CARD_FORMS = (r"\A\d{13,19}\z", r"\A(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5})\z", r"\A\d(?:[ -]?\d){12,18}\z")
 ROUNDS = 8
 # Dates live in 2^17 days from here (until 2158), so that two halves of 8 and 9 bits hold all of them.
 FIRST_DAY, DAY_BITS = "1800-01-01", (256, 512)
@@ -190,13 +196,74 @@ def email(token: Column, key: str, back: bool) -> Column:
 MAKERS = {"email": email, "ip": ip, "date": date, "ssn": ssn, "card": card, "phone": phone}
 
 
-def pseudonym(token: Column, key: str, back: bool = False) -> Column:
-    """What stands for a found token; null where the token is not valid."""
-    out = None
-    for kind, pattern in KINDS.items():
-        whole, new = token.rlike(rf"\A(?:{pattern})\z"), MAKERS[kind](token, key, back)
-        out = F.when(whole, new) if out is None else out.when(whole, new)
-    return out
+def replaced(token: Column, key: str, back: bool = False) -> Column:
+    """(text, n): what stands for a found token, itself where it is not valid, and the number of values replaced."""
+    out = F
+    for kind, maker in MAKERS.items():
+        if kind != "card":
+            out = out.when(token.rlike(rf"\A(?:{KINDS[kind]})\z"), counted(token, maker(token, key, back)))
+    return out.otherwise(run(token, key, back))
+
+
+def swapped(text: Column, pattern: str, new) -> Column:
+    """(text, n): every match of ``pattern`` goes through ``new``, which gives its own (text, n)."""
+    def joined(s: Column, made: Column) -> Column:
+        parts = F.transform(s["between"], lambda p, i: F.concat(p, F.coalesce(F.get(made, i)["text"], F.lit(""))))
+        return F.struct(F.array_join(parts, "").alias("text"), F.aggregate(made, F.lit(0).cast("bigint"), lambda n, m: n + m["n"]).alias("n"))
+
+    both = F.struct(F.regexp_extract_all(text, F.lit(f"({pattern})"), 1).alias("found"), F.split(text, pattern, -1).alias("between"))
+    return let(both, lambda s: F.when(F.size(s["found"]) > 0, let(F.transform(s["found"], new), lambda made: joined(s, made)))
+               .otherwise(F.struct(text.alias("text"), F.lit(0).cast("bigint").alias("n"))))
+
+
+def counted(token: Column, new: Column) -> Column:
+    return let(new, lambda x: F.struct(F.coalesce(x, token).alias("text"), x.isNotNull().cast("bigint").alias("n")))
+
+
+def cut_cards(groups: Column, form: str) -> Column:
+    """Digit groups, each with the separator behind it, cut into stretches that are one card or hold none.
+
+    From the left, the longest stretch of the form that passes the check digit.
+    """
+    def stretch(card: bool, part: Column) -> Column:
+        return F.struct(F.lit(card).alias("card"), part.alias("groups"))
+
+    def size(i: Column) -> Column:
+        def fits(k: Column) -> Column:
+            token = F.regexp_replace(F.array_join(F.slice(groups, i + 1, k), ""), "[ -]$", "")
+            return let(token, lambda t: F.when(t.rlike(form), luhn_sum(digits(t)) % 10 == 0).otherwise(False))
+
+        return F.get(F.filter(F.sequence(F.least(F.lit(19), F.size(groups) - i), F.lit(1), F.lit(-1)), fits), F.lit(0))
+
+    def open_part(acc: Column, end: Column) -> Column:
+        return F.filter(F.array(stretch(False, F.slice(groups, acc["free"] + 1, end - acc["free"]))), lambda x: F.size(x["groups"]) > 0)
+
+    def step(acc: Column, i: Column) -> Column:
+        def taken(k: Column) -> Column:
+            return F.when(k.isNull(), acc).otherwise(F.struct(
+                (i + k).alias("free"), F.concat(acc["out"], open_part(acc, i), F.array(stretch(True, F.slice(groups, i + 1, k)))).alias("out")))
+
+        return F.when(i < acc["free"], acc).otherwise(let(size(i), taken))
+
+    start = F.struct(F.lit(0).alias("free"), F.slice(F.array(stretch(False, groups)), 1, 0).alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), start, step, lambda acc: F.concat(acc["out"], open_part(acc, F.size(groups))))
+
+
+def run(token: Column, key: str, back: bool) -> Column:
+    """(text, n) of a run of digit groups: its cards, and the phones in what is left between them."""
+    stretches = F.array(F.struct(F.lit(False).alias("card"), F.regexp_extract_all(token, F.lit("([0-9]+[ -]?)"), 1).alias("groups")))
+    for form in CARD_FORMS:
+        stretches = F.flatten(F.transform(stretches, lambda s: F.when(s["card"], F.array(s)).otherwise(cut_cards(s["groups"], form))))
+
+    def new(s: Column) -> Column:
+        def made(t: Column) -> Column:
+            return F.when(s["card"], counted(t, card(t, key, back))).otherwise(
+                swapped(t, KINDS["phone"], lambda p: counted(p, phone(p, key, back))))
+
+        return let(F.array_join(s["groups"], ""), made)
+
+    return let(F.transform(stretches, new), lambda out: F.struct(
+        F.array_join(F.transform(out, lambda x: x["text"]), "").alias("text"), F.aggregate(out, F.lit(0).cast("bigint"), lambda n, x: n + x["n"]).alias("n")))
 
 
 def pseudonymise(docs: DataFrame, key: str, back: bool = False, text_col: str = "text", count_col: str = "n_pii") -> DataFrame:
@@ -205,18 +272,17 @@ def pseudonymise(docs: DataFrame, key: str, back: bool = False, text_col: str =
     Null texts stay null with a count of 0; empty ones stay empty. Tokens that fail validation stay as they
     are. All other columns and rows pass through, repeated ones alike. Nothing is shuffled. ``back`` restores
     the values that the same key replaced.
+
+    Among digit groups beside each other, a single group is preferred as a card to a printed form, and that to
+    any other stretch of groups, so a card has one pseudonym beside whatever number. Stretches pass the check
+    digit by chance one time in ten, and then count as cards. Where an invalid stretch overlaps a card of the
+    same or a lower preference, the pseudonym may make it valid, and ``back`` takes it for the card.
     """
     text = F.col(f"`{text_col}`")
     hint = text.rlike("[0-9][ .)/-]?[0-9]|@")  # most texts hold nothing that could be found
     columns = [c for c in docs.columns if c not in (text_col, count_col)]
 
-    def joined(s: Column, made: Column) -> Column:
-        parts = F.transform(s["between"], lambda p, i: F.concat(p, F.coalesce(F.get(made, i), F.get(s["found"], i), F.lit(""))))
-        return F.struct(F.array_join(parts, "").alias("text"), F.size(F.filter(made, lambda m: m.isNotNull())).cast("long").alias("n"))
-
-    both = F.struct(F.regexp_extract_all(text, F.lit(f"({ANY})"), 1).alias("found"), F.split(text, ANY, -1).alias("between"))
-    new = F.when(hint, let(both, lambda s: F.when(F.size(s["found"]) > 0, let(
-        F.transform(s["found"], lambda t: pseudonym(t, key, back)), lambda made: joined(s, made)))))
+    new = F.when(hint, swapped(text, FOUND, lambda t: replaced(t, key, back)))
     done = docs.select(*[F.col(f"`{c}`") for c in columns], F.struct(text.alias("old"), new.alias("new")).alias(text_col))
     return done.select(*[
         F.coalesce(F.col(f"`{text_col}`.new.text"), F.col(f"`{text_col}`.old")).alias(c) if c == text_col

@@ -152,3 +152,31 @@ def test_odd_rows_and_plan(odd, none):
     assert "Python" not in plan and "Pandas" not in plan and "Exchange" not in plan.replace("RoundRobinPartitioning", "").split("Project")[1]
     clash = odd.withColumnRenamed("node", "n_pii")
     assert P.pseudonymise(clash, KEY).columns == clash.columns
+
+
+CARD, OTHER = "4111111111111111", "4041894974608795"
+
+
+@pytest.mark.parametrize("text, cards", [
+    ("card {} 123 ok", [CARD]), ("{} 12/26", ["4111 1111 1111 1111"]), ("pay 50 {} now", [CARD]), ("{} 123 {} 7", [CARD, "4041 8949 7460 8795"]),
+    ("1 22 333 {} 4444 55", ["4111-1111-1111-1111"]), ("{} 12-34x", [CARD]), ("12 34 56 78 90 12 34 {} 9", ["4111 1111 1111 1111"]),
+    ("50-{}-7", [CARD]), ("{}, 2 3 {}", [CARD, OTHER]), ("8 4111 111111111111 8", [])])
+def test_cards_beside_numbers(spark, text, cards):
+    # Patterns and order are written out here, apart from those of the module.
+    old = text.format(*cards)
+    row = P.pseudonymise(spark.createDataFrame([(old,)], "text string"), KEY).first()
+    if not cards:  # no printed form, but the whole of it is found
+        assert "4111 111111111111" not in row["text"] and row["n_pii"] == 1
+        return
+    shown = [expected("card", c, KEY) for c in cards]
+    assert (row["text"], row["n_pii"]) == (text.format(*shown), len(cards))
+    assert P.pseudonymise(spark.createDataFrame([(row["text"],)], "text string"), KEY, back=True).first()["text"] == old
+
+
+def test_other_kinds_beside_numbers_and_iso_times(spark):
+    cases = [("50 {} 4112", "ssn", "123-45-6789"), ("50 {} 41121", "date", "2020-02-29"), ("at {}T10:20:30Z", "date", "2020-02-29"),
+             ("4111111111111112 {} 7", "phone", "988-555-2485"), ("12 {} 41111111", "phone", "988 555 2485")]
+    df = spark.createDataFrame([(i, t.format(v)) for i, (t, _, v) in enumerate(cases)], "doc_id int, text string")
+    for r in P.pseudonymise(df, KEY).collect():
+        text, kind, value = cases[r["doc_id"]]
+        assert (r["text"], r["n_pii"]) == (text.format(expected(kind, value, KEY)), 1)
