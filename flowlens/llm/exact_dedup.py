@@ -62,9 +62,11 @@ def exact_groups(docs: DataFrame, salts: int = SALTS, digest: Callable[[Column],
 
 
 def drop_exact(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """``docs`` without the rows that exact_groups drops, all columns kept.
+    """``docs`` without the rows whose text a row with a larger doc_id has too, all columns kept.
 
-    Documents are told apart by doc_id: rows without one cannot be named and stay.
+    A row goes by its doc_id and its text, so other texts of the same doc_id stay. Rows without a doc_id go where
+    a row with one has their text. Rows equal in doc_id and text all stay or all go.
     """
-    gone = exact_groups(docs, salts).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = exact_groups(docs, salts).filter("NOT doc_id <=> keep_id").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_gone_text")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]) & (F.sha2(normalised(docs["text"]), 256) == gone["_gone_text"])
+    return docs.join(gone, same, "left_anti")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import exact_dedup, near_dedup, packing, pii, toxicity as tox
+from .common import staged
 from .queries import PSEUDONYM_KEY, table, tokenizer
 
 
@@ -14,15 +15,31 @@ def toxicity(spark, docs, sf_dir):
     return docs.filter(tox.toxicity(model)(F.col("text")) < 0.5)
 
 
+def _by_row(docs, drop):
+    """``drop`` on a table whose doc_id names one row each.
+
+    Where an id is null or repeated, the rows are numbered in the order of doc_id, null ones first, then text, and
+    the numbers stand for the ids. They are written once, so a task that runs again meets the same ones.
+    """
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR doc_id IS NULL").isEmpty():
+        return drop(docs)
+    ordered = docs.orderBy(F.col("doc_id").asc_nulls_first(), F.sha2("text", 256))
+    rows = staged(ordered.withColumn("_own_id", F.col("doc_id")).withColumn("doc_id", F.monotonically_increasing_id()), "rows")
+    return drop(rows).withColumn("doc_id", F.col("_own_id")).drop("_own_id")
+
+
 def exact(spark, docs, sf_dir):
-    """One document of each group of equal texts stays."""
-    return exact_dedup.drop_exact(docs)
+    """One row of each group of equal texts stays, the one with the largest doc_id."""
+    return _by_row(docs, exact_dedup.drop_exact)
 
 
 def near(spark, docs, sf_dir):
-    """One document of each group of near duplicates stays: five-word shingles, similarity 0.8 or more."""
-    gone = near_dedup.near_groups(docs).filter("NOT kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """One row of each group of near duplicates stays: five-word shingles, similarity 0.8 or more."""
+    def drop(rows):
+        gone = near_dedup.near_groups(rows).filter("NOT kept").select(F.col("doc_id").alias("_gone"))
+        return rows.join(gone, rows["doc_id"] == gone["_gone"], "left_anti")
+
+    return _by_row(docs, drop)
 
 
 def private(spark, docs, sf_dir):

@@ -116,3 +116,23 @@ def test_url_cases(spark):
     assert got[8][2:] == ("org/fr/", "allow") and got[9][3] == "block" and got[10][3] == "allow" and got[11][3] == "allow" and got[12][3] == "block"
     assert got[13] == ("", "", None, "block") and got[14][:2] == ("b:", "//c/d") and got[15][:2] == ("h\n", "/p\nq") and got[16][3] == "block"
     assert U.judge_urls(df.limit(0), rules).count() == 0
+
+
+def test_stages_tell_rows_of_one_id_apart(spark):
+    from flowlens.llm import stages
+
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "a copied text"), (1, "a text of its own"), (2, "a copied text"), (2, "a copied text"), (None, "a copied text"),
+            (None, "without id"), (None, "without id"), (3, words), (3, words + " more"), (3, "far from it"), (None, words + " more still"), (4, "last")]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, k int").repartition(3)
+    dropped = sorted(((r["doc_id"], r["text"]) for r in E.drop_exact(df).collect()), key=repr)
+    assert dropped == sorted([r for r in rows if r not in ((1, "a copied text"), (None, "a copied text"))], key=repr)
+    exact = stages.exact(spark, df, None)
+    assert exact.columns == df.columns
+    left = [(1, "a text of its own"), (2, "a copied text"), (None, "without id"), (3, words), (3, words + " more"), (3, "far from it"),
+            (None, words + " more still"), (4, "last")]
+    assert sorted(((r["doc_id"], r["text"]) for r in exact.collect()), key=repr) == sorted(left, key=repr)
+    near = stages.near(spark, exact, None)
+    assert near.columns == df.columns and near.schema["doc_id"].dataType == df.schema["doc_id"].dataType
+    left = [r for r in left if r not in ((3, words), (3, words + " more"))]
+    assert sorted(((r["doc_id"], r["text"]) for r in near.collect()), key=repr) == sorted(left, key=repr)
