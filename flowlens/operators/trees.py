@@ -20,10 +20,12 @@ from .sample import bootstrap, bootstrap_weighted, resolve_max_features
 NODE_SCHEMA = ("tree_id bigint, node_id int, feature int, threshold double, left_id int, right_id int, "
                "value int, prob double, leaf_value double, gain double, n bigint, sum_h double")
 
-# Models up to this many nodes become one expression, larger ones arrays that a vectorised task walks. Both give the
-# same scores, row by row, in batches and streams.
+# Models up to this many nodes become one expression. Larger ones stay in Spark for tables: blocks of rows meet blocks of
+# trees. A stream cannot add up over blocks: there a larger model is fetched whole, up to MODEL_NODES. The scores are the same.
 COMPILED_NODES = 2_000
 MODEL_NODES = 20_000_000
+# Trees of about so many nodes, and 2^16 rows, meet in one task.
+BLOCK_NODES = 100_000
 # The bucket of missing values, behind all others.
 MISSING = 1 << 30
 
@@ -325,25 +327,74 @@ def route(df: DataFrame, nodes: DataFrame, features: Sequence[str], keep: Sequen
     return df.select(*keep, F.explode(pairs).alias("p")).select(*keep, "p.*")
 
 
-def _leaf_sum(nodes: DataFrame, features: Sequence[str], leaf: str, limit: int) -> tuple[Column, int]:
-    """Sum of one leaf attribute over all trees, and their number; the model is fetched once.
+def _leaf_sum(df: DataFrame, nodes: DataFrame, features: Sequence[str], leaf: str, limit: int | None) -> tuple[DataFrame, Column, int]:
+    """The table, with a scratch column where the model is large; the sum of one leaf attribute over all trees; their number.
 
-    A missing feature goes right. The column needs no key and no shuffle, so repeated rows score alike and a
-    stream scores like a table.
+    A missing feature goes right. Repeated rows score alike and a stream scores like a table. A model of more
+    than ``limit`` nodes is refused, if one is given.
     """
-    rows = fetch_small(nodes, limit)
-    if rows is None:
+    if limit is not None and fetch_small(nodes.select("tree_id"), min(limit, COMPILED_NODES)) is None and nodes.count() > limit:
         raise ValueError(f"more than {limit} nodes: raise the limit or score the trees in parts")
+    rows = fetch_small(nodes, COMPILED_NODES)
+    if rows is None and not df.isStreaming:
+        return _block_sums(df, nodes, features, leaf)
+    if rows is None:
+        rows = fetch_small(nodes, MODEL_NODES)
+    if rows is None:
+        raise ValueError(f"more than {MODEL_NODES} nodes: score the stream's batches as tables")
     model: dict[int, dict[int, object]] = {}
     for r in rows:
         model.setdefault(r["tree_id"], {})[r["node_id"]] = r
     model = dict(sorted(model.items()))
     if len(rows) > COMPILED_NODES:
-        return _walker(model, features, leaf), len(model)
+        return df, _walker(model, features, leaf), len(model)
     total = None
     for c in leaf_columns(model, features, leaf):
         total = c if total is None else total + c
-    return F.lit(0) if total is None else total, len(model)
+    return df, F.lit(0) if total is None else total, len(model)
+
+
+def _block_sums(df: DataFrame, nodes: DataFrame, features: Sequence[str], leaf: str) -> tuple[DataFrame, Column, int]:
+    """The same sum with neither the model nor the rows in one place; only two counts reach the driver.
+
+    Each block of rows meets each block of whole trees in one task, and the
+    sums are added per row number.
+    """
+    model = materialise(nodes.select("tree_id", "node_id", "feature", F.col("threshold").cast("double").alias("threshold"), "left_id", "right_id",
+                                     F.col(leaf).cast("double").alias("leaf")), "model")
+    size, trees = model.agg(F.count(F.lit(1)), F.count_if(F.col("node_id") == 0)).first()
+    # Numbered from written rows: a task that runs again gives the same numbers.
+    rows = materialise(materialise(df, "rows").withColumn("_row", F.monotonically_increasing_id()), "rows")
+    blocks = -(-size // BLOCK_NODES)
+    every = rows.select(F.shiftright("_row", 16).alias("_rows")).distinct()
+    points = rows.select("_row", F.shiftright("_row", 16).alias("_rows"), F.array(*[F.col(f).cast("double") for f in features]).alias("x"),
+                         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_trees"))
+    parts = model.withColumn("_trees", F.pmod(F.xxhash64("tree_id"), F.lit(blocks)).cast("int")).crossJoin(every)
+
+    def walk(points, parts):
+        import numpy as np
+        import pandas as pd
+
+        if points.empty or parts.empty:
+            return pd.DataFrame({"_row": np.empty(0, np.int64), "_sum": np.empty(0)})
+        cells = np.array([[np.nan if v is None else v for v in x] for x in points["x"]], dtype=float)
+        lines, total = np.arange(len(cells)), np.zeros(len(cells))
+        parts = parts.sort_values(["tree_id", "node_id"])
+        cuts = np.flatnonzero(np.diff(parts["tree_id"].to_numpy())) + 1
+        columns = [np.split(parts[c].to_numpy(), cuts) for c in ("node_id", "feature", "threshold", "left_id", "right_id", "leaf")]
+        for ids, feature, threshold, left, right, value in zip(*columns):
+            left, right = np.searchsorted(ids, left), np.searchsorted(ids, right)
+            here = np.zeros(len(cells), np.int64)
+            while (inner := feature[here] >= 0).any():
+                below = cells[lines, np.maximum(feature[here], 0)] <= threshold[here]
+                here = np.where(inner, np.where(below, left[here], right[here]), here)
+            total += value[here]
+        return pd.DataFrame({"_row": points["_row"], "_sum": total})
+
+    keys = ["_rows", "_trees"]
+    sums = (points.groupBy(*keys).cogroup(parts.groupBy(*keys)).applyInPandas(walk, "_row bigint, _sum double")
+            .groupBy("_row").agg(F.sum("_sum").alias("_sum")))
+    return rows.join(sums, "_row", "left").drop("_row"), F.col("_sum"), trees
 
 
 def _walker(model: Mapping, features: Sequence[str], leaf: str) -> Column:
@@ -376,23 +427,23 @@ def _walker(model: Mapping, features: Sequence[str], leaf: str) -> Column:
     return F.pandas_udf(walk, "double", F.PandasUDFType.SCALAR)(F.struct(*[F.col(f).cast("double").alias(f) for f in features]))
 
 
-def soft_vote(df: DataFrame, nodes: DataFrame, features: Sequence[str], name: str = "score", limit: int = MODEL_NODES) -> DataFrame:
+def soft_vote(df: DataFrame, nodes: DataFrame, features: Sequence[str], name: str = "score", limit: int | None = None) -> DataFrame:
     """Mean leaf probability."""
-    total, trees = _leaf_sum(nodes, features, "prob", limit)
-    return df.withColumn(name, total / F.lit(float(trees)))
+    df, total, trees = _leaf_sum(df, nodes, features, "prob", limit)
+    return df.withColumn(name, total / F.lit(float(trees))).drop("_sum")
 
 
-def majority_vote(df: DataFrame, nodes: DataFrame, features: Sequence[str], name: str = "pred", limit: int = MODEL_NODES) -> DataFrame:
+def majority_vote(df: DataFrame, nodes: DataFrame, features: Sequence[str], name: str = "pred", limit: int | None = None) -> DataFrame:
     """1 when more than half of the trees (rounded down) say 1."""
-    total, trees = _leaf_sum(nodes, features, "value", limit)
-    return df.withColumn(name, F.when(total > trees // 2, 1).otherwise(0))
+    df, total, trees = _leaf_sum(df, nodes, features, "value", limit)
+    return df.withColumn(name, F.when(total > trees // 2, 1).otherwise(0)).drop("_sum")
 
 
 def boosted_score(df: DataFrame, nodes: DataFrame, features: Sequence[str], base: float, rate: float, name: str = "raw",
-                  limit: int = MODEL_NODES) -> DataFrame:
+                  limit: int | None = None) -> DataFrame:
     """base + rate * sum of leaf values."""
-    total, _ = _leaf_sum(nodes, features, "leaf_value", limit)
-    return df.withColumn(name, F.lit(float(base)) + F.lit(float(rate)) * total)
+    df, total, _ = _leaf_sum(df, nodes, features, "leaf_value", limit)
+    return df.withColumn(name, F.lit(float(base)) + F.lit(float(rate)) * total).drop("_sum")
 
 
 # --- inspection ----------------------------------------------------------------

@@ -344,6 +344,24 @@ def test_models_of_any_size_score_alike(spark, tmp_path, monkeypatch):
         T.soft_vote(df, nodes, ["a", "b"], limit=100)
 
 
+def test_large_model_never_reaches_the_driver(spark, monkeypatch):
+    nodes = cut_twice(spark, 60)
+    points = [(1, 0.5, 1.0), (1, 0.5, 1.0), (2, None, 0.0), (3, NAN, NAN), (4, -9.0, None), (None, 3.0, -2.0)]
+    df = spark.createDataFrame(points, "id int, a double, b double")
+
+    def rows():
+        out = T.majority_vote(T.soft_vote(df, nodes, ["a", "b"]), nodes, ["a", "b"])
+        return out.columns, sorted((str(r["id"]), round(r["score"], 9), r["pred"]) for r in out.collect())
+
+    compiled, fetched = rows(), []
+    monkeypatch.setattr(T, "COMPILED_NODES", 10)
+    monkeypatch.setattr(T, "MODEL_NODES", 20)
+    monkeypatch.setattr(T, "BLOCK_NODES", 70)
+    small = T.fetch_small
+    monkeypatch.setattr(T, "fetch_small", lambda table, limit: fetched.append(limit) or small(table, limit))
+    assert rows() == compiled and fetched and max(fetched) == 10
+
+
 def test_forest_uses_draw_counts_and_feature_subsets(spark):
     rows = [(i, *r) for i, r in enumerate(tree_rows(150, 11))]
     df = spark.createDataFrame(rows, "k bigint, a double, b double, y int")
