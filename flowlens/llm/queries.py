@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, hnsw, line_runs, near_dedup, packing, pii, token_files, toxicity, url_filter
+from . import bpe, exact_dedup, external_shuffle, hnsw, line_runs, near_dedup, packing, periodic_runs, pii, prefix_trie, token_files, toxicity, url_filter
 from ..plans.small import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,46 @@ def _terms(words) -> str:
         strict_hits::INT AS strict_hits, soft_hits::INT AS soft_hits FROM t LEFT JOIN f USING (page_id)""")
 def op10_url_filter(spark, sf_dir):
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), RULES)
+
+
+SHARDS = 40
+
+
+@register("op11_external_shuffle")
+def op11_external_shuffle(spark, sf_dir):
+    path = scratch_path(spark, "shards")
+    external_shuffle.write_shards(table(spark, sf_dir, "documents"), path, SHARDS)
+    text = F.coalesce("text", F.lit(""))
+    return external_shuffle.read_shards(spark, path).select(
+        "doc_id", (F.octet_length(text) + external_shuffle.ROW_BYTES).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@register("op12_periodic_runs")
+def op12_periodic_runs(spark, sf_dir):
+    return periodic_runs.run_digests(periodic_runs.find_periodic(table(spark, sf_dir, "documents"), periodic_runs.planted))
+
+
+# crc32 of the decimal number, bit by bit: each character is mixed in, then eight shifts.
+_CRC = """xor(list_reduce(flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda s: [ascii(s)::UBIGINT, 0, 0, 0, 0, 0, 0, 0])),
+    lambda c, x: xor(xor(c, x) >> 1, (xor(c, x) & 1) * 3988292384), 4294967295::UBIGINT), 4294967295)"""
+
+
+@register("op13_prefix_trie", rf"""
+    WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+    t AS (SELECT conv_id, list({{'r': r, 'x': x}} ORDER BY turn NULLS FIRST, md5(r || chr(31) || x), r, x) AS turns FROM r GROUP BY conv_id),
+    h AS (SELECT *, ({_CRC} % 4)::BIGINT AS h FROM t),
+    b AS (SELECT h.conv_id, list_concat(coalesce(o.turns[1:h.h], []), h.turns[h.h + 1:]) AS seq FROM h LEFT JOIN t o ON o.conv_id = h.conv_id - h.conv_id % 20),
+    u AS (SELECT conv_id, unnest(range(0, len(seq) + 1)) AS d, seq FROM b),
+    p AS (SELECT conv_id, d, seq, seq[1:d] AS node, CASE WHEN d = 0 THEN '' ELSE seq[d].x END AS last FROM u),
+    n AS (SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = len(seq)), '')) AS ends_sha256,
+        (count(*) - 1) * len(regexp_extract_all(last, '[^\x20\x09-\x0D]+')) AS saved FROM p GROUP BY node, d, last),
+    k AS (SELECT node[1:d - 1] AS node, count(*) AS n_children FROM n WHERE d > 0 GROUP BY node[1:d - 1]),
+    f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (node)),
+    e AS (SELECT node, unnest(range(0, d + 1)) AS up, saved, n_children = 0 AS leaf FROM f),
+    s AS (SELECT node[1:up] AS node, sum(saved)::BIGINT AS saved_tokens, (count(*) FILTER (leaf))::BIGINT AS n_leaves FROM e GROUP BY node[1:up])
+    SELECT f.conv_id, f.d AS depth, o.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, f.ends_sha256
+    FROM f JOIN s USING (node) LEFT JOIN n o ON f.d > 0 AND o.d = f.d - 1 AND o.node = f.node[1:f.d - 1]""")
+def op13_prefix_trie(spark, sf_dir):
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
