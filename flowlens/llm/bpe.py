@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import sys
 from collections.abc import Iterable, Iterator
 
@@ -18,10 +19,14 @@ from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, functions as F
 
 from .common import worker_store
-from .tokens import INSIDE, MEMO_CHARS, MEMO_WORDS, slices
+from .tokens import slices
 
 register_pickle_by_value(sys.modules[__name__])
 
+# A space between two white spaces, or after one at the end: the only spaces that may lie inside a token.
+INSIDE = re.compile(r"\s (?:\s|\Z)")
+MEMO_WORDS, MEMO_CHARS = 500_000, 40
+
 # Fixed value: the published pattern by which byte-level BPE cuts a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 RUNS = {"letter": r"\p{L}*", "number": r"\p{N}*", "other": r"[^\s\p{L}\p{N}]*", "space": r"\s*"}

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .tokens import library_encoder, slices
+from .tokens import library_encoder, sliced
 
 register_pickle_by_value(sys.modules[__name__])
 
@@ -39,17 +39,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, pa
         import pyarrow as pa
 
         encoder, part, run = library_encoder(tokenizer), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            ids = batch.column(0)
-            for at, texts in slices(batch.column(1).to_pylist()):
-                raw = [x + end for x in encoder.encode(texts)]
-                n = np.array([len(x) // 4 for x in raw], np.int64)
-                offsets = np.concatenate([[0], np.cumsum(n)])
-                values = np.frombuffer(b"".join(raw), "<u4").astype(np.int32)
+            for rows, texts in sliced(batch):
+                ids, offsets = encoder.encode_ended(texts, end_id)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(raw), part, np.int32)), ids.slice(at, len(raw)), pa.array(run + offsets[:-1]),
-                    pa.array(n), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))],
+                    pa.array(np.full(len(texts), part, np.int32)), rows.column(0), pa.array(run + offsets[:-1]), pa.array(np.diff(offsets)),
+                    pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view("<i4")))],
                     ["part", "doc_id", "part_start", "n_tokens", "tokens"])
                 run += int(offsets[-1])
 
