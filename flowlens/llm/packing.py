@@ -12,22 +12,30 @@ import sys
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, functions as F
 
+from ..plans.small import attach
 from .common import staged
-from .tokens import library_encoder, slices
+from .tokens import library_encoder, sliced
 
 register_pickle_by_value(sys.modules[__name__])
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 GROUP_PIECES, ROUNDS = 50_000, 3
+# A group with more than so many times its pieces is dealt by their places. Bits of a sequence number for the bin of a group.
+OVERFLOW, BIN_BITS = 2, 24
 NO_ID = -(1 << 63)
 
 
-def cut(n: int, capacity: int) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of ``n`` ids; only the first may be shorter than the capacity."""
-    if n <= capacity:
-        return [(0, n)]
-    first = n % capacity
-    return ([(0, first)] if first else []) + [(i, capacity) for i in range(first, n, capacity)]
+def cuts(sizes, capacity: int):
+    """(text, piece, start, length) of the pieces of texts of so many ids; only a first piece may be shorter than the capacity
+    where a text is longer than that."""
+    import numpy as np
+
+    pieces = np.maximum(-(-sizes // capacity), 1)
+    row = np.repeat(np.arange(len(sizes)), pieces)
+    piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    end = sizes[row] - (pieces[row] - 1 - piece) * capacity
+    start = np.maximum(end - capacity, 0)
+    return row, piece, start, end - start
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False,
@@ -44,21 +52,18 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
         import numpy as np
         import pyarrow as pa
 
-        encoder, end = library_encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder = library_encoder(tokenizer)
         names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
         for batch in batches:
-            for at, texts in slices(batch.column(1).to_pylist()):
-                own, out, ids = batch.column(0).slice(at, len(texts)), [], []
-                for i, raw in enumerate(encoder.encode(texts)):
-                    raw += end
-                    for k, (start, n) in enumerate(cut(len(raw) // 4, capacity)):
-                        part = raw[4 * start:4 * (start + n)]
-                        out.append((i, k, start, n, zlib.crc32(part)))
-                        if with_ids:
-                            ids.append(np.frombuffer(part, "<u4").astype(np.int32))
-                cols = np.array(out, np.int64).reshape(-1, 5)
-                arrays = [own.take(pa.array(cols[:, 0])), pa.array(cols[:, 1].astype(np.int32)), *[pa.array(cols[:, j].copy()) for j in (2, 3, 4)]]
-                yield pa.RecordBatch.from_arrays(arrays + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names)
+            for rows, texts in sliced(batch):
+                ids, offsets = encoder.encode_ended(texts, end_id)
+                row, piece, start, length = cuts(np.diff(offsets), capacity)
+                first = offsets[row] + start
+                sums = [zlib.crc32(ids[a:b]) for a, b in zip(first.tolist(), (first + length).tolist())]
+                arrays = [rows.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(np.array(sums, np.int64))]
+                if with_ids:  # the pieces of a text follow one another, and so do the texts
+                    arrays.append(pa.ListArray.from_arrays(pa.array(np.append(first, offsets[-1]).astype(np.int32)), pa.array(ids.view("<i4"))))
+                yield pa.RecordBatch.from_arrays(arrays, names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(pieces, PIECES + ", ids array<int>" * with_ids)
@@ -107,48 +112,68 @@ def best_fit(lengths, capacity: int):
     return bins, offsets
 
 
-def _packed(pieces: DataFrame, capacity: int, turn: int, groups: int) -> DataFrame:
+def dealt_pieces(pieces: DataFrame, turn: int, groups: int, group_pieces: int) -> tuple[DataFrame, int]:
+    """``pieces`` with a ``_group``, and the number of groups: by a hash of the piece, and where equal pieces overflow a group, by their place in the table.
+
+    The table must be a written one, so that a task that runs again meets the same places.
+    """
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "start", "length", "ids_crc32", F.lit(turn)), F.lit(groups)))
+    over = dealt.groupBy("_group").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > OVERFLOW * group_pieces)
+    most = over.agg(F.sum("_n")).first()[0]
+    if not most:
+        return dealt, groups
+    parts = -(-most // group_pieces)
+    own = F.lit(groups) + F.pmod(F.xxhash64("_place", F.lit(turn)), F.lit(parts))
+    placed = attach(dealt.withColumn("_place", F.monotonically_increasing_id()), over, ["_group"])
+    return placed.withColumn("_group", F.when(F.col("_n").isNull(), F.col("_group")).otherwise(own)).drop("_place", "_n"), groups + parts
+
+
+def _packed(pieces: DataFrame, capacity: int, turn: int, groups: int, group_pieces: int) -> DataFrame:
     """One turn: deal pieces to groups of bounded size, pack each, add its gap above the certified bound."""
 
     def pack(pdf):
         import numpy as np
 
-        pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
+        pdf = pdf.sort_values(["length", "doc_id", "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True], ignore_index=True)
         lengths = pdf["length"].to_numpy()
         bins, offsets = best_fit(lengths, capacity)
         n = int(bins.max()) + 1
+        if n > 1 << BIN_BITS:
+            raise ValueError("too many sequences in one group: use smaller groups")
         fill = np.bincount(bins, weights=lengths, minlength=n).astype(np.int64)
         gap = n - lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
         group = int(pdf["_group"].iloc[0])
         out = pdf.drop(columns=["_group"])
-        return out.assign(sequence_id=(turn << 58) | (group << 24) | bins, offset=offsets, _free=capacity - fill[bins], _gap=gap)
+        return out.assign(sequence_id=(turn << 58) | (group << BIN_BITS) | bins, offset=offsets, _free=capacity - fill[bins], _gap=gap)
 
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "start", F.lit(turn)), F.lit(groups)))
+    dealt, groups = dealt_pieces(pieces, turn, groups, group_pieces)
     schema = pieces.schema.simpleString()[7:-1] + ",sequence_id:bigint,offset:bigint,_free:bigint,_gap:bigint"
     # An explicit number keeps groups from being merged into one task.
     return dealt.repartition(groups, "_group").groupBy("_group").applyInPandas(pack, schema)
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = 2048, group_pieces: int = GROUP_PIECES, rounds: int = ROUNDS) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = 2048, group_pieces: int = GROUP_PIECES, rounds: int | None = ROUNDS) -> DataFrame:
     """Pieces (doc_id, piece, start, length, ids_crc32) with sequence_id and offset.
 
-    Every piece is packed once; lengths lie in 1..capacity. Pieces in full bins stay; those in the unfilled
-    bins of partitions above their bound are exchanged in at most ``rounds`` turns, and a turn that saves
-    nothing is dropped. A null doc_id stays null. Ties go by document and piece, so the result does not depend on partitioning.
+    Every piece is packed once; lengths lie in 1..capacity. Pieces in full bins stay; those in the unfilled bins of
+    partitions above their bound are exchanged in at most ``rounds`` turns (None: as long as a turn saves a bin), and a turn
+    that saves nothing is dropped. A null doc_id stays null. Ties go by document and piece, and pieces are dealt by
+    what they are, so the result does not depend on partitioning; pieces equal in all columns are interchangeable.
     """
     # Python tasks would turn a column with null ids into doubles. Written once: counting must not encode again.
     pieces = staged(pieces.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))), "pieces")
     total = pieces.count()
-    now = staged(_packed(pieces, capacity, 0, max(1, -(-total // group_pieces))), "packed")
-    done, columns = [], pieces.columns
-    for turn in range(1, rounds + 1):
+    now = staged(_packed(pieces, capacity, 0, max(1, -(-total // group_pieces)), group_pieces), "packed")
+    done, columns, turn = [], pieces.columns, 0
+    while rounds is None or turn < rounds:
+        turn += 1
         open_ = now.filter("_gap > 0 AND _free > 0")
-        n, used, gap = open_.agg(F.count(F.lit(1)), F.countDistinct("sequence_id"), F.max("_gap")).first()
+        n, used = open_.agg(F.count(F.lit(1)), F.countDistinct("sequence_id")).first()
         groups = max(1, -(-n // group_pieces))
-        # A lone group of the same pieces would be packed the same way again.
-        if not n or (groups == 1 and turn > 1):
+        # A lone group of the same pieces would be packed the same way again; sequence numbers have room for 31 turns.
+        if not n or (groups == 1 and turn > 1) or turn > 31:
             break
-        again = staged(_packed(open_.select(*columns), capacity, turn, groups), "packed")
+        again = staged(_packed(open_.select(*columns), capacity, turn, groups, group_pieces), "packed")
         if again.agg(F.countDistinct("sequence_id")).first()[0] >= used:
             break
         done.append(now.filter("NOT (_gap > 0 AND _free > 0)"))

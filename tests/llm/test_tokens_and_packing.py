@@ -125,6 +125,45 @@ def fewest(lengths, capacity):
     return best[0]
 
 
+def cut(n, capacity):
+    """(start, length) of the pieces of ``n`` ids; only the first may be shorter than the capacity."""
+    if n <= capacity:
+        return [(0, n)]
+    first = n % capacity
+    return ([(0, first)] if first else []) + [(i, capacity) for i in range(first, n, capacity)]
+
+
+def test_cuts():
+    sizes = np.array([5000, 4096, 1, 2048, 2049, 6144, 10_000])
+    row, piece, start, length = (x.tolist() for x in K.cuts(sizes, 2048))
+    want = [(i, k, *c) for i, n in enumerate(sizes.tolist()) for k, c in enumerate(cut(n, 2048))]
+    assert list(zip(row, piece, start, length)) == want
+    assert cut(5000, 2048) == [(0, 904), (904, 2048), (2952, 2048)] and cut(4096, 2048) == [(0, 2048), (2048, 2048)]
+
+
+def test_equal_rows_do_not_meet_in_one_group(spark):
+    # Two thirds of the pieces are equal in every column and have no id.
+    rows = spark.range(30_000).selectExpr("if(id % 3 = 0, id, null) AS doc_id", "0 AS piece", "0L AS start", "100L + if(id % 3 = 0, id % 900, 0) AS length",
+                                          "if(id % 3 = 0, id, 7L) AS ids_crc32").withColumn("piece", F.col("piece").cast("int"))
+    dealt, groups = K.dealt_pieces(rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(K.NO_ID))), 0, 30, 1000)
+    sizes = [r["count"] for r in dealt.groupBy("_group").count().collect()]
+    assert sum(sizes) == 30_000 and max(sizes) < 2000 and len(sizes) <= groups
+    out = K.pack_pieces(rows, group_pieces=1000, rounds=None).cache()
+    assert out.count() == 30_000
+    fill = out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    assert fill.filter("n > 2048 OR n <> end").isEmpty()
+    used, bound = K.certified(out)
+    assert used <= bound * 1.02 + 1
+
+
+def test_exchange_goes_on_while_it_saves(spark):
+    rng = np.random.default_rng(3)
+    pdf = [(int(i), 0, 0, int(n), int(i)) for i, n in enumerate(rng.integers(600, 1400, 4000))]
+    rows = spark.createDataFrame(pdf, K.PIECES)
+    used = {r: K.certified(K.pack_pieces(rows, group_pieces=150, rounds=r))[0] for r in (0, 2, None)}
+    assert used[None] <= used[2] <= used[0]
+
+
 def test_lower_bound_is_sound_and_best_fit_near():
     rng = np.random.default_rng(2)
     for _ in range(60):
@@ -134,13 +173,12 @@ def test_lower_bound_is_sound_and_best_fit_near():
         bins, offsets = K.best_fit(np.array(lengths), 20)
         assert bound <= best <= bins.max() + 1
     assert K.lower_bound(np.bincount([11] * 5, minlength=21), 20) == 5
-    assert K.cut(5000, 2048) == [(0, 904), (904, 2048), (2952, 2048)] and K.cut(4096, 2048) == [(0, 2048), (2048, 2048)] and K.cut(1, 2048) == [(0, 1)]
 
 
 def test_packing_odd_rows(odd, none, vocab, library):
     out = K.pack_pieces(K.token_pieces(odd, vocab, with_ids=True))
     rows = out.collect()
-    want = [len(K.cut(len(ids_of(library, t)), 2048)) for _, t in ODD]
+    want = [len(cut(len(ids_of(library, t)), 2048)) for _, t in ODD]
     assert len(rows) == sum(want) and sum(r["length"] for r in rows) == sum(len(ids_of(library, t)) for _, t in ODD)
     assert any(r["doc_id"] is None for r in rows)
     for r in K.sequences(out).collect():
