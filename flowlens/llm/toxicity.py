@@ -20,11 +20,13 @@ from dataclasses import dataclass
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .common import staged
+
 register_pickle_by_value(sys.modules[__name__])
 
 WORD, SENTENCE = re.compile(r"\w+"), re.compile(r"[.!?\n]+")
 STARTS = (4, 5, 6)
-PER_LABEL, MIN_TEXTS = 3000, 5
+PER_LABEL, MIN_TEXTS = 4000, 5
 # Names of groups by kind; each kind has a neutral word.
 IDENTITIES = (
     ("women", "men", "girls", "boys", "transgender", "people"),
@@ -96,36 +98,70 @@ def held_out(doc_id: Column) -> Column:
 def training_texts(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> DataFrame:
     """text, toxic of at most 2 * per_label labelled texts that are not held out, the same ones in every run.
 
-    Several labels of a doc_id count as toxic if one is; null labels and ids are left out.
+    Several labels of a doc_id count as toxic if one is; null labels and ids are left out. Of several rows with
+    one doc_id a single one is taken, chosen by the hash of its text.
     """
     known = (labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
              .filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     order = [F.xxhash64("doc_id"), "doc_id"]
     picks = [known.filter(F.col("toxic") == y).orderBy(*order).limit(per_label) for y in (0, 1)]
     # At most 2 * per_label rows.
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picks[0].unionByName(picks[1])), "doc_id").select("text", "toxic")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picks[0].unionByName(picks[1])), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
+
 
+def _hashes(fs):
+    import numpy as np
+    import xxhash
 
-def _rows(sample: DataFrame, identities) -> list:
-    """One row per text and per swap, with hashed features; bounded by the sample."""
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, fs), np.uint64, len(fs)))
+
+
+def _common_features(sample: DataFrame, min_texts: int):
+    """Sorted hashes of the features met in at least ``min_texts`` texts; counted in Spark, only those reach the driver."""
+    import numpy as np
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(_hashes(features(words_of(text))).view(np.int64))], ["f"])
+
+    counts = sample.select("text").mapInArrow(run, "f long").groupBy("f").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_texts)
+    return np.sort(np.array([r["f"] for r in counts.select("f").collect()], np.int64).view(np.uint64))
+
+
+def _texts(sample: DataFrame, names) -> list:
+    """(toxic, places of its features in ``names``) of each text of the sample."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        import xxhash
 
-        def pack(fs) -> bytes:
-            return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, fs), np.uint64, len(fs))).tobytes()
+        for b in batches:
+            out = [np.flatnonzero(np.isin(names, _hashes(features(words_of(t))), assume_unique=True)).astype(np.int32).tobytes() for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(out, pa.binary())], ["y", "at"])
+
+    return sample.mapInArrow(run, "y int, at binary").collect()
+
+
+def _swaps(sample: DataFrame, identities) -> list:
+    """(features gained, features lost, how often) of the swaps in all sentences. Gains and losses are parts of the features of two
+    names, so their number follows from the lists of names, however long the texts are."""
+
+    def run(batches):
+        from collections import Counter
+
+        import pyarrow as pa
 
         for b in batches:
-            out = []
-            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                out.append((y, pack(features(words_of(text or ""))), b""))
-                out += [(-1, pack(gain), pack(loss)) for gain, loss in swaps(text or "", identities)]
-            cols = list(zip(*out)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["y", "gain", "loss"])
+            met = Counter((_hashes(gain).tobytes(), _hashes(loss).tobytes()) for t in b.column(0).to_pylist() for gain, loss in swaps(t, identities))
+            cols = [pa.array([g for g, _ in met], pa.binary()), pa.array([x for _, x in met], pa.binary()), pa.array(list(met.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["gain", "loss", "n"])
 
-    return sample.mapInArrow(run, "y int, gain binary, loss binary").collect()
+    met = sample.select("text").mapInArrow(run, "gain binary, loss binary, n long").groupBy("gain", "loss").agg(F.sum("n").alias("n"))
+    return sorted(map(tuple, met.collect()))
 
 
 def _names(sample: DataFrame, wanted: set[int], identities) -> dict[int, str]:
@@ -136,7 +172,7 @@ def _names(sample: DataFrame, wanted: set[int], identities) -> dict[int, str]:
         import xxhash
 
         for b in batches:
-            found = {f for text in b.column(0).to_pylist() for f in features(words_of(text or "")) if xxhash.xxh3_64_intdigest(f) in wanted}
+            found = {f for text in b.column(0).to_pylist() for f in features(words_of(text)) if xxhash.xxh3_64_intdigest(f) in wanted}
             yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["f"])
 
     import xxhash
@@ -151,53 +187,48 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, fairness
     """Fit on labelled texts; ``fairness`` weighs the penalty on score changes under swapped names.
 
     Without labelled texts or repeated features the model has no features and scores on the harmless side; with
-    one label only, on that label's side.
+    one label only, on that label's side. The driver holds, of at most 2 * per_label texts, the features that at least
+    MIN_TEXTS of them share, and one row per kind of swap.
     """
     import numpy as np
 
-    sample = training_texts(docs, labels, per_label)
-    rows = _rows(sample, identities)
-    y = np.array([r["y"] for r in rows if r["y"] >= 0], float)
+    sample = staged(training_texts(docs, labels, per_label), "labelled")
+    pairs = [(np.frombuffer(g, np.uint64), np.frombuffer(x, np.uint64), n) for g, x, n in _swaps(sample, identities)]
+    names = np.union1d(_common_features(sample, MIN_TEXTS), np.concatenate([np.empty(0, np.uint64), *(x for p in pairs for x in p[:2])]))
+    texts = sorted((r["y"], r["at"]) for r in _texts(sample, names))
+    y = np.array([t[0] for t in texts], float)
     if not len(y) or y.min() == y.max():
         return Model({}, 3.0 if len(y) and y[0] == 1 else -3.0)
-    texts = [np.frombuffer(r["gain"], np.uint64) for r in rows if r["y"] >= 0]
-    pairs = [(np.frombuffer(r["gain"], np.uint64), np.frombuffer(r["loss"], np.uint64)) for r in rows if r["y"] < 0]
-    names, counts = np.unique(np.concatenate(texts), return_counts=True)
-    names = names[counts >= MIN_TEXTS]
-    if pairs:
-        names = np.union1d(names, np.unique(np.concatenate([x for p in pairs for x in p])))
     m = len(names)
     if not m:
         return Model({}, -3.0)
+    share = np.array([p[2] for p in pairs], float)
+    share /= share.sum() or 1.0
 
-    def sparse(sets):
-        """(row, column) of the known features of each set."""
-        row, col = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate([*sets, np.empty(0, np.uint64)])
-        at = np.minimum(np.searchsorted(names, col), m - 1)
-        known = names[at] == col
-        return row[known], at[known]
+    def flat(sets):
+        """(row, column) of sets of columns."""
+        return np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate([np.empty(0, np.int64), *sets]).astype(np.int64)
 
-    r0, c0 = sparse(texts)
-    (r1, c1), (r2, c2) = sparse([p[0] for p in pairs]), sparse([p[1] for p in pairs])
+    r0, c0 = flat([np.frombuffer(t[1], np.int32) for t in texts])
+    (r1, c1), (r2, c2) = (flat([np.searchsorted(names, p[k]) for p in pairs]) for k in (0, 1))
     rs, cs = np.concatenate([r1, r2]), np.concatenate([c1, c2])
     sign = np.concatenate([np.ones(len(r1)), -np.ones(len(r2))])
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())  # both labels count alike
 
+    def unfair(w):
+        """Half the gradient of the mean square of the score's change."""
+        change = np.bincount(rs, sign * w[cs], len(pairs)) * share
+        return fairness * np.bincount(cs, sign * change[rs], m) if len(pairs) else 0.0
+
     def gradient(w, b):
         z = b + np.bincount(r0, w[c0], len(y))
         g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        out = np.bincount(c0, g[r0], m)
-        if len(pairs):
-            change = np.bincount(rs, sign * w[cs], len(pairs))
-            out += 2 * fairness / len(pairs) * np.bincount(cs, sign * change[rs], m)
-        return out, g.sum()
+        return np.bincount(c0, g[r0], m) + 2 * unfair(w), g.sum()
 
     # Accelerated proximal steps. The step length follows from the largest curvature, found by power iteration.
     v = np.full(m, 1 / np.sqrt(m))
     for _ in range(20):
-        u = np.bincount(c0, (weight / 4 * np.bincount(r0, v[c0], len(y)))[r0], m)
-        if len(pairs):
-            u += 2 * fairness / len(pairs) * np.bincount(cs, sign * np.bincount(rs, sign * v[cs], len(pairs))[rs], m)
+        u = np.bincount(c0, (weight / 4 * np.bincount(r0, v[c0], len(y)))[r0], m) + 2 * unfair(v)
         size = float(np.linalg.norm(u)) or 1.0
         v = u / size
     rate = 0.9 / (size + 0.25)
