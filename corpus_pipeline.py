@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from flowlens.llm import stages
 from flowlens.llm.common import staged
+from flowlens.plans.small import scratch_path, workspace
 
 STAGES = [
     ("toxicity", stages.toxicity),
@@ -19,8 +20,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage works on what the one before kept, written to the shared folder as Parquet."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+    """Every stage works on what the one before kept, written to the shared folder as Parquet and deleted at the end."""
+    out = scratch_path(spark, "pipeline")
+    with workspace(spark):
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        for name, stage in STAGES:
+            docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs.write.parquet(out)
+    return spark.read.schema(docs.schema).parquet(out)

@@ -1,4 +1,4 @@
-"""Stages of the corpus pipeline: (spark, docs, sf_dir) to the documents that stay, with all their columns."""
+"""Stages of the corpus pipeline: (spark, docs, sf_dir) to the documents that stay, with all their columns; the last one packs them."""
 
 from __future__ import annotations
 
@@ -15,6 +15,13 @@ def toxicity(spark, docs, sf_dir):
     return docs.filter(tox.toxicity(model)(F.col("text")) < 0.5)
 
 
+def _fresh(docs, name):
+    """A column name that ``docs`` does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def _by_row(docs, drop):
     """``drop`` on a table whose doc_id names one row each.
 
@@ -24,8 +31,9 @@ def _by_row(docs, drop):
     if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR doc_id IS NULL").isEmpty():
         return drop(docs)
     ordered = docs.orderBy(F.col("doc_id").asc_nulls_first(), F.sha2("text", 256))
-    rows = staged(ordered.withColumn("_own_id", F.col("doc_id")).withColumn("doc_id", F.monotonically_increasing_id()), "rows")
-    return drop(rows).withColumn("doc_id", F.col("_own_id")).drop("_own_id")
+    own = _fresh(docs, "_own_id")
+    rows = staged(ordered.withColumn(own, F.col("doc_id")).withColumn("doc_id", F.monotonically_increasing_id()), "rows")
+    return drop(rows).withColumn("doc_id", F.col(own)).drop(own)
 
 
 def exact(spark, docs, sf_dir):
@@ -44,10 +52,11 @@ def near(spark, docs, sf_dir):
 
 def private(spark, docs, sf_dir):
     """Personal data become pseudonyms; n_chars follows the new text where the table has it."""
-    out = pii.pseudonymise(docs, PSEUDONYM_KEY, count_col="_pii").drop("_pii")
+    found = _fresh(docs, "_pii")
+    out = pii.pseudonymise(docs, PSEUDONYM_KEY, count_col=found).drop(found)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def packed(spark, docs, sf_dir):
-    """Pieces of the documents in token sequences."""
+    """Pieces of the documents in token sequences: the columns of ``packing.pack_pieces``, no other column is kept."""
     return packing.pack_pieces(packing.token_pieces(docs, tokenizer()))
