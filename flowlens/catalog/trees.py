@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..operators import boosting as G, models as Z, trees as T
+from ..operators import boosting as G, histograms as H, models as Z, trees as T
 from ..plans.small import ensure_checkpoint_dir
 from . import views as V
 from .registry import query, r, ratio
@@ -82,6 +82,34 @@ def _depth2(source: str) -> str:
     UNION ALL SELECT node, feature, {r('threshold')}, {r('gain')}, n::BIGINT, p::BIGINT FROM b1"""
 
 
+def _tree_sql(source: str, depth: int, gains, sums: str, may_split: str, accept: str, leaf: str) -> str:
+    """A whole tree, level by level: ``gains(rows, tag)`` scores the cuts of the open nodes, nodes are numbered by levels."""
+    parts, x = [f"r0 AS (SELECT *, 0 AS node FROM {source})", "c0 AS (SELECT 1 AS c)"], "CASE s.feature WHEN 0 THEN f0 WHEN 1 THEN f1 WHEN 2 THEN f2 ELSE f3 END"
+    for k in range(depth):
+        parts += [gains(f"r{k}", str(k)).strip(),
+                  f"t{k} AS (SELECT node, count(*) AS n, {sums} FROM r{k} GROUP BY node)",
+                  f"b{k} AS (SELECT * FROM (SELECT gn{k}.*, row_number() OVER (PARTITION BY gn{k}.node ORDER BY gain DESC, feature, v) AS k FROM gn{k} "
+                  f"JOIN t{k} ON t{k}.node = gn{k}.node AND {may_split.format(t=f't{k}')}) WHERE k = 1 AND {accept})",
+                  f"s{k} AS (SELECT *, (SELECT c FROM c{k}) + 2 * (row_number() OVER (ORDER BY node) - 1) AS left_id FROM b{k})",
+                  f"c{k + 1} AS (SELECT c + 2 * (SELECT count(*) FROM s{k}) AS c FROM c{k})",
+                  f"r{k + 1} AS (SELECT r.* EXCLUDE (node), CASE WHEN {x} <= s.threshold THEN s.left_id ELSE s.left_id + 1 END AS node "
+                  f"FROM r{k} r JOIN s{k} s ON s.node = r.node)"]
+    parts.append(f"t{depth} AS (SELECT node, count(*) AS n, {sums} FROM r{depth} GROUP BY node)")
+    rows = [f"SELECT t.*, s.feature, s.threshold, s.left_id, s.gain FROM t{k} t LEFT JOIN s{k} s ON s.node = t.node" for k in range(depth)]
+    rows.append(f"SELECT t.*, NULL, NULL, NULL, NULL FROM t{depth} t")
+    return ", ".join(parts) + f""", al AS ({" UNION ALL ".join(rows)})
+    SELECT 0::BIGINT AS tree_id, node::INT AS node_id, coalesce(feature, -1)::INT AS feature, {r('coalesce(threshold, 0.0::DOUBLE)')} AS threshold,
+    coalesce(left_id, -1)::INT AS left_id, coalesce(left_id + 1, -1)::INT AS right_id, {leaf}, {r('coalesce(gain, 0.0::DOUBLE)', 4)} AS gain, n::BIGINT AS n"""
+
+
+_CART_LEAF = f"CASE WHEN pos * 2 >= n THEN 1 ELSE 0 END AS value, {r('pos::DOUBLE / n')} AS prob, {r('pos::DOUBLE / n')} AS leaf_value, 0.0::DOUBLE AS sum_h"
+
+
+def _cart_tree_sql() -> str:
+    return _tree_sql("flows", 4, lambda rows, tag: cart_sql(rows, "node", tag, 10), "sum(y) AS pos", "{t}.n >= 20 AND {t}.pos > 0 AND {t}.pos < {t}.n",
+                     "gain IS NOT NULL", _CART_LEAF) + " FROM al"
+
+
 def _splits_of(spark, tree):
     rows = [(v.node_id, v.feature, float(v.threshold), float(v.gain), v.n, int(v.stats["pos"]))
             for v in tree.nodes.values() if v.feature >= 0]
@@ -109,10 +137,10 @@ def cart_best_split_missing(spark, sf):
     return T.best_split(T.gini_gain(splits, 5), "node", ["cum_n", "cum_pos", "tot_n", "tot_pos"])
 
 
-@query("cart_tree")
+@query("cart_tree", _cart_tree_sql(), ("flows",))
 def cart_tree(spark, sf):
     tree = T.cart_tree(V.flows(spark, sf), FEATS, "y", max_depth=4, min_split=20, min_leaf=10)
-    return T.node_table(spark, [tree])
+    return T.node_table(spark, [tree]).withColumn("gain", F.round("gain", 4))
 
 
 @query("cart_tree_binned")
@@ -124,8 +152,8 @@ def cart_tree_binned(spark, sf):
 
 @query("cart_forest")
 def cart_forest(spark, sf):
-    trees = T.cart_forest(V.flows(spark, sf), FEATS, "y", ["row_key"], trees=2, max_depth=3, min_split=20, min_leaf=10)
-    return T.node_table(spark, trees)
+    """Ten trees of depth 10 on balanced bootstraps of all rows."""
+    return T.node_table(spark, H.forest(V.flows(spark, sf), FEATS, "y", ["row_key"], trees=10, max_depth=10))
 
 
 # --- scoring ------------------------------------------------------------------------
@@ -296,17 +324,17 @@ def grad_hess(spark, sf):
     return G.with_gradients(V.scored(spark, sf), F.col("y"), 6 * F.col("s") - 3).select("event_id", "g", "h")
 
 
-def newton_sql(source: str, node: str, min_child: float = 1.0) -> str:
+def newton_sql(source: str, node: str, min_child: float = 1.0, tag: str = "") -> str:
     long = _UNPIVOT.format(node=node, cols="g, h", source=source)
     return f"""
-    lg AS ({long}),
-    vl AS (SELECT node, feature, v, sum(g) AS g, sum(h) AS h, count(*) AS c FROM lg GROUP BY node, feature, v),
-    cu AS (SELECT node, feature, v, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(c) OVER w AS cl,
+    lg{tag} AS ({long}),
+    vl{tag} AS (SELECT node, feature, v, sum(g) AS g, sum(h) AS h, count(*) AS c FROM lg{tag} GROUP BY node, feature, v),
+    cu{tag} AS (SELECT node, feature, v, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(c) OVER w AS cl,
       lead(v) OVER (PARTITION BY node, feature ORDER BY v) AS nv,
-      sum(g) OVER (PARTITION BY node, feature) AS gt, sum(h) OVER (PARTITION BY node, feature) AS ht FROM vl
+      sum(g) OVER (PARTITION BY node, feature) AS gt, sum(h) OVER (PARTITION BY node, feature) AS ht FROM vl{tag}
       WINDOW w AS (PARTITION BY node, feature ORDER BY v ROWS UNBOUNDED PRECEDING)),
-    gn AS (SELECT node, feature, v, nv, (v + nv) / 2.0::DOUBLE AS threshold, cl,
-      0.5::DOUBLE * (gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1)) AS gain FROM cu
+    gn{tag} AS (SELECT node, feature, v, nv, (v + nv) / 2.0::DOUBLE AS threshold, cl,
+      0.5::DOUBLE * (gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1)) AS gain FROM cu{tag}
       WHERE nv IS NOT NULL AND hl >= {min_child} AND ht - hl >= {min_child})"""
 
 
@@ -341,10 +369,14 @@ def newton_leaf_weight(spark, sf):
     return G.leaf_weight(_prior(spark, sf), ["l_linenumber"])
 
 
-@query("newton_tree")
+_NEWTON_LEAF = f"0 AS value, 0.0::DOUBLE AS prob, {r('-g / (h + 1)')} AS leaf_value, {r('h')} AS sum_h"
+
+
+@query("newton_tree", f"{_PRIOR}, " + _tree_sql("gh", 3, lambda rows, tag: newton_sql(rows, "node", 5.013, tag), "sum(g) AS g, sum(h) AS h", "{t}.n >= 2", "gain > 0",
+                                                _NEWTON_LEAF) + " FROM al", ("flows",))
 def newton_tree(spark, sf):
-    tree = G.newton_tree(_prior(spark, sf), FEATS, max_depth=3)
-    return T.node_table(spark, [tree], newton_lambda=1.0)
+    tree = G.newton_tree(_prior(spark, sf), FEATS, max_depth=3, min_child=5.013)
+    return T.node_table(spark, [tree], newton_lambda=1.0).withColumn("gain", F.round("gain", 4))
 
 
 def _keyed(spark, sf):
@@ -353,7 +385,7 @@ def _keyed(spark, sf):
 
 @query("gbt_train")
 def gbt_train(spark, sf):
-    model = G.boost(_keyed(spark, sf), FEATS, "y", ["row_key"], rounds=3, rate=0.3, max_depth=2)
+    model = H.boost(_keyed(spark, sf), FEATS, "y", ["row_key"], rounds=20, rate=0.1, max_depth=6)
     return model.round_log(spark).select("round", "train_loss")
 
 
@@ -361,8 +393,7 @@ def gbt_train(spark, sf):
 def gbt_early_stopping(spark, sf):
     df = _keyed(spark, sf)
     hold = F.pmod(F.xxhash64("row_key"), F.lit(5)) == 0
-    model = G.boost(df.filter(~hold), FEATS, "y", ["row_key"], rounds=3, rate=0.5, max_depth=2, valid=df.filter(hold),
-                    patience=2, binned=True)
+    model = H.boost(df.filter(~hold), FEATS, "y", ["row_key"], rounds=60, rate=0.5, max_depth=3, valid=df.filter(hold), patience=3)
     return model.round_log(spark)
 
 
