@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def load():
     """Import every query module and return the registry."""
-    from . import (averaging, cleaning, compression, evaluation, ingest, labelling, sampling, scoring, streams,  # noqa: F401
+    from . import (averaging, cleaning, compression, evaluation, gaps, ingest, labelling, sampling, scoring, streams,  # noqa: F401
                    trees, vectors)
     from .registry import ENTRIES
 

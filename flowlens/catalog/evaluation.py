@@ -59,7 +59,7 @@ def auc_sql(source: str, s: str, keys: str = "", name: str = "auc") -> str:
     part, cols = (f"PARTITION BY {keys}", f"{keys},") if keys else ("", "")
     group = f"GROUP BY {keys}" if keys else ""
     return f"""
-    g AS (SELECT {cols} {s} AS sc, sum(y) AS p, count(*) - sum(y) AS q FROM {source} GROUP BY {cols} {s}),
+    g AS (SELECT {cols} {s} AS sc, coalesce(sum(y), 0) AS p, count(y) - coalesce(sum(y), 0) AS q FROM {source} GROUP BY {cols} {s}),
     w AS (SELECT *, sum(p) OVER ({part} ORDER BY sc DESC ROWS UNBOUNDED PRECEDING) AS cp FROM g),
     au AS (SELECT {cols} CASE WHEN sum(p) = 0 OR sum(q) = 0 THEN 0.5::DOUBLE ELSE sum(q * (2 * cp - p))::DOUBLE
            / (sum(p)::DOUBLE * sum(q)::DOUBLE * 2.0::DOUBLE) END AS {name} FROM w {group})"""
@@ -187,11 +187,11 @@ def threshold_table(spark, sf):
 def eval_sql(source: str, key: str, s: str, t: str = "0.5") -> str:
     return f"""
     {auc_sql(source, s, key)},
-    c AS (SELECT {key}, {_counts(t, s)}, count(*) AS n, avg({_ll('1e-7', s)}) AS logloss FROM {source} GROUP BY {key}),
+    c AS (SELECT {key}, {_counts(t, s)}, count(y) AS n, count(*) - count(y) AS n_unlabelled, avg({_ll('1e-7', s)}) AS logloss FROM {source} GROUP BY {key}),
     q AS (SELECT *, {_PR}, {ratio('fp', 'fp + tn')} AS fpr, {ratio('fn', 'fn + tp')} AS fnr FROM c),
-    ev_raw AS (SELECT q.{key}, ac AS accuracy, pr AS precision, rc AS recall, {_F1} AS f1, auc FROM q JOIN au ON q.{key} = au.{key}),
-    ev_out AS (SELECT q.{key}, tp, fp, fn, tn, n, {r('logloss')} AS logloss, {r('pr')} AS precision, {r('rc')} AS recall,
-      {r('ac')} AS accuracy, {r('fpr')} AS fpr, {r('fnr')} AS fnr, {r(_F1)} AS f1, {r('auc')} AS auc FROM q JOIN au ON q.{key} = au.{key})"""
+    ev_raw AS (SELECT q.{key}, ac AS accuracy, pr AS precision, rc AS recall, {_F1} AS f1, auc FROM q JOIN au ON q.{key} IS NOT DISTINCT FROM au.{key}),
+    ev_out AS (SELECT q.{key}, tp, fp, fn, tn, n, n_unlabelled, {r('logloss')} AS logloss, {r('pr')} AS precision, {r('rc')} AS recall,
+      {r('ac')} AS accuracy, {r('fpr')} AS fpr, {r('fnr')} AS fnr, {r(_F1)} AS f1, {r('auc')} AS auc FROM q JOIN au ON q.{key} IS NOT DISTINCT FROM au.{key})"""
 
 
 @query("evaluate_splits", eval_sql("scored", "split", "s") + " SELECT * FROM ev_out", ("scored",))

@@ -83,6 +83,27 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
         _SPLIT_CASE.format(h=_SPLIT.format(s="string")) + " as split")
 
 
+# --- the same with gaps: NULL classes, labels and groups ------------------------------------
+
+def evn(spark: SparkSession, sf: str) -> DataFrame:
+    """A third of the rows has no class."""
+    return ev(spark, sf).selectExpr("event_id", "event_type", "value", _EVN)
+
+
+def scoredn(spark: SparkSession, sf: str) -> DataFrame:
+    """Some rows have no label, a quarter has no split."""
+    return scored(spark, sf).selectExpr("event_id", "s", *_SCOREDN)
+
+
+def vlongn(spark: SparkSession, sf: str) -> DataFrame:
+    """Weights of layer 3 belong to no layer."""
+    return vlong(spark, sf).selectExpr("vec_id", "dim", "v", "nullif(label, 3) as label")
+
+
+_EVN = "case when event_id % 3 = 0 then null else y end as y"
+_SCOREDN = ["case when event_id % 10 = 7 then null else y end as y", "case when event_id % 4 = 1 then null else split end as split"]
+
+
 # --- embeddings -------------------------------------------------------------------
 
 def multi(spark: SparkSession, sf: str) -> DataFrame:
@@ -183,6 +204,9 @@ SQL_VIEWS = {
     "scored": f"SELECT event_id, {_SCORED_Y} AS y, least(value / 100, cast(1 as double)) AS s, "
               "floor(least(value, cast(100 as double))) / cast(100 as double) AS s2, "
               + _SPLIT_CASE.format(h=_SPLIT.format(s="varchar")) + " AS split FROM events",
+    "evn": f"SELECT event_id, event_type, value, {_EVN} FROM ev",
+    "scoredn": f"SELECT event_id, s, {', '.join(_SCOREDN)} FROM scored",
+    "vlongn": "SELECT vec_id, dim, v, nullif(label, 3) AS label FROM vlong",
     "multi": "SELECT vec_id, label, cast((label + vec_id % 3) % 10 as int) AS predicted FROM embeddings",
     "vlong": "SELECT vec_id, label, (unnest(range(len(embedding))))::INT AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings",
     "forest": _nodes_sql("l_linenumber"),
@@ -190,4 +214,4 @@ SQL_VIEWS = {
     "losses": f"SELECT user_id AS run, cast(event_id % {ROUNDS} + 1 as int) AS round, {_LOSS} AS val_loss FROM events "
               f"GROUP BY user_id, event_id % {ROUNDS}",
 }
-VIEW_NEEDS = {"dnum": ("dirty",), "forest": ("flows",), "grove": ("flows",)}
+VIEW_NEEDS = {"evn": ("ev",), "scoredn": ("scored",), "vlongn": ("vlong",), "dnum": ("dirty",), "forest": ("flows",), "grove": ("flows",)}

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..plans.ordered import value_at_rank
-from ..plans.small import attach
+from ..plans.small import attach, keyed_join
 
 QMIN, QMAX = -128, 127
 
@@ -59,7 +59,7 @@ def calibrate(sample: DataFrame, keys: Sequence[str], w: str, scheme: str = "sym
     """Range and count per group of a calibration sample, with the resulting scale."""
     ranges = sample.groupBy(*keys).agg(F.min(w).alias("lo"), F.max(w).alias("hi"), F.count(w).alias("n"))
     fit = symmetric_params if scheme == "symmetric" else affine_params
-    return ranges.join(fit(sample, keys, w), list(keys))
+    return keyed_join(ranges, fit(sample, keys, w), list(keys))
 
 
 def prune(df: DataFrame, keys: Sequence[str], w: str, sparsity: float, inclusive: bool = True,

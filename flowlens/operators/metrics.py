@@ -1,4 +1,7 @@
-"""Evaluation and threshold calibration, each in one pass over the scored rows."""
+"""Evaluation and threshold calibration, each in one pass over the scored rows.
+
+A row without a label (NULL) is no part of any metric; reports count such rows apart. A NULL group is a group.
+"""
 
 from __future__ import annotations
 
@@ -6,9 +9,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.ml.feature import Bucketizer
+from pyspark.sql.types import StructField, StructType
 
 from ..functions import expr as X
 from ..plans.ordered import add_buckets, bucket_edges, running_sums
+from ..plans.small import attach, keyed_join, settle
+from .labels import label_classes
 
 WIDE = "decimal(38,0)"
 
@@ -37,26 +43,33 @@ def confusion_counts(y: Column, p: Column, pos=1) -> list[Column]:
             _count((p != pos) & (y == pos)).alias("fn"), _count((p != pos) & (y != pos)).alias("tn")]
 
 
-def confusion_matrix(df: DataFrame, y: str, p: str, labels: Sequence | None = None) -> DataFrame:
-    """Every (actual, predicted) cell of the label set, absent cells 0."""
+def confusion_matrix(df: DataFrame, y: str, p: str, labels: Sequence | None = None, absent: bool = True) -> DataFrame:
+    """(actual, predicted, n) for any number of labels; NULL is a label of its own where it occurs.
+
+    ``labels`` asks for a label set: rows with another label on either side are then left out. ``absent`` adds the cells without
+    rows, n = 0; they are made in Spark from ranges of label pairs, so their number is the square of the labels.
+    """
     counts = df.groupBy(F.col(y).alias("actual"), F.col(p).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
+    spark, kind = df.sparkSession, df.schema[y].dataType
     if labels is None:
-        seen = (counts.select(F.col("actual").alias("v")).union(counts.select("predicted")).distinct()
-                .limit(10_001).collect())
-        if len(seen) > 10_000:
-            raise ValueError("more than 10000 labels: pass the label set")
-        labels = sorted(r["v"] for r in seen if r["v"] is not None)
-    kind = df.schema[y].dataType
-    # The grid is made from the label list by two generators, not a join.
-    values = F.array(*[F.lit(v).cast(kind) for v in labels])
-    grid = (df.sparkSession.range(1).select(F.explode(values).alias("actual"))
-            .select("actual", F.explode(values).alias("predicted")))
-    return (grid.join(counts, ["actual", "predicted"], "left")
+        known = counts.select(F.col("actual").alias("v")).union(counts.select("predicted")).distinct()
+    else:
+        known = spark.createDataFrame([(v,) for v in dict.fromkeys(labels)], StructType([StructField("v", kind)]))
+        counts = attach(attach(counts, known.withColumnRenamed("v", "actual"), ["actual"], "left_semi"), known.withColumnRenamed("v", "predicted"), ["predicted"], "left_semi")
+    if not absent:
+        return counts.select("actual", "predicted", F.col("n").cast("bigint").alias("n"))
+    numbered, _ = settle(label_classes(known, "v", "code"))
+    k = numbered.count()
+    pairs = spark.range(k * k).select(F.floor(F.col("id") / F.lit(max(k, 1))).alias("_a"), (F.col("id") % F.lit(max(k, 1))).alias("_p"))
+    for code, name in (("_a", "actual"), ("_p", "predicted")):
+        pairs = attach(pairs, numbered.select(F.col("code").cast("long").alias(code), F.col("v").alias(name)), [code], "inner").drop(code)
+    return (keyed_join(pairs, counts, ["actual", "predicted"], "left")
             .select("actual", "predicted", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
 
 
 def accuracy(df: DataFrame, y: Column, p: Column) -> DataFrame:
-    return df.agg(_ratio(_count(y == p), F.count(F.lit(1))).alias("accuracy"))
+    """Share of labelled rows that are predicted right; a missing prediction is wrong."""
+    return df.agg(_ratio(_count(y == p), F.count(y)).alias("accuracy"))
 
 
 def with_rates(counts: DataFrame) -> DataFrame:
@@ -87,8 +100,8 @@ def _score_slots(df: DataFrame, y: Column, score: Column, keys: Sequence[str]) -
     base = df.select(*keys, ranked(score).alias("_s"), y.cast("int").alias("_y"))
     edges = bucket_edges(base.filter(F.col("_s") > float("-inf")), ["_s"])
     return (add_buckets(base, ["_s"], edges).groupBy(*keys, "_b__s", "_s")
-            .agg(F.sum("_y").cast("bigint").alias("pos"),
-                 F.sum(1 - F.col("_y")).cast("bigint").alias("neg")))
+            .agg(F.coalesce(F.sum("_y"), F.lit(0)).cast("bigint").alias("pos"),
+                 F.coalesce(F.sum(1 - F.col("_y")), F.lit(0)).cast("bigint").alias("neg")))
 
 
 def _area(run: DataFrame, keys: Sequence[str], area: Column, pos: str, neg: str) -> DataFrame:
@@ -109,7 +122,7 @@ def roc_auc(df: DataFrame, y: Column, score: Column, keys: Sequence[str] = ()) -
     own = keys or ["_all"]
     base = df if keys else df.withColumn("_all", F.lit(1))
     slots = _score_slots(base, y, score, own)
-    run = running_sums(slots, own, "_b__s", "_s", ["pos", "neg"], descending=True)
+    run = running_sums(slots, own, "_b__s", "_s", ["pos", "neg"], descending=True, nullable=bool(keys))
     area = F.col("neg").cast(WIDE) * (2 * F.col("cum_pos") - F.col("pos")).cast("decimal(20,0)")
     out = _area(run, own, area.cast(WIDE), "tot_pos", "tot_neg")
     return out if keys else out.drop("_all")
@@ -122,7 +135,7 @@ def roc_auc_ungrouped(df: DataFrame, y: Column, score: Column, key: str) -> Data
     positives ahead of a row are those at higher scores, those of the same score
     in earlier key ranges, and those earlier in its own range.
     """
-    base = df.select(ranked(score).alias("_s"), y.cast("int").alias("_y"), F.col(key).alias("_key"))
+    base = df.select(ranked(score).alias("_s"), y.cast("int").alias("_y"), F.col(key).alias("_key")).filter("_y IS NOT NULL")
     edges = bucket_edges(base.filter(F.col("_s") > float("-inf")), ["_s", "_key"])
     marked = add_buckets(base.withColumn("_kd", F.col("_key").cast("double")), ["_s", "_kd"],
                          {"_s": edges["_s"], "_kd": edges["_key"]})
@@ -130,7 +143,7 @@ def roc_auc_ungrouped(df: DataFrame, y: Column, score: Column, key: str) -> Data
               .agg(F.sum("_y").cast("bigint").alias("pos"), F.sum(1 - F.col("_y")).cast("bigint").alias("neg")))
     slots = (ranges.groupBy("_b__s", "_s").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
              .withColumn("_all", F.lit(1)))
-    run = running_sums(slots, ["_all"], "_b__s", "_s", ["pos", "neg"], descending=True)
+    run = running_sums(slots, ["_all"], "_b__s", "_s", ["pos", "neg"], descending=True, nullable=False)
     above = run.select("_s", (F.col("cum_pos") - F.col("pos")).alias("_above"), "tot_pos", "tot_neg")
     # Key ranges of one score: at most one row per key bucket.
     earlier = Window.partitionBy("_s").orderBy("_b__kd").rowsBetween(Window.unboundedPreceding, -1)
@@ -172,7 +185,7 @@ def threshold_counts(df: DataFrame, y: Column, score: Column, grid: Sequence[flo
     # Every threshold exists even when no score falls in its cell.
     empty = cells.select(*own).distinct().withColumn(
         "_cell", F.explode(F.sequence(F.lit(0), F.lit(len(grid)))))
-    full = (empty.join(cells, [*own, "_cell"], "left")
+    full = (keyed_join(empty, cells, [*own, "_cell"], "left")
             .select(*own, "_cell", F.coalesce("p", F.lit(0)).alias("p"), F.coalesce("q", F.lit(0)).alias("q")))
     # A window partition holds one row per grid cell.
     up = Window.partitionBy(*own).orderBy(F.desc("_cell"))
@@ -217,13 +230,13 @@ def threshold_table(df: DataFrame, y: Column, score: Column, candidates: Sequenc
 
 def evaluate(df: DataFrame, y: Column, score: Column, keys: Sequence[str], threshold=0.5,
              eps: float = 1e-7) -> DataFrame:
-    """All metrics per key group (for instance per split)."""
+    """All metrics per key group (for instance per split) over its ``n`` labelled rows; ``n_unlabelled`` counts the others."""
     keys = list(keys)
     t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
     p = X.predict(ranked(score), t)
-    counts = df.groupBy(*keys).agg(*confusion_counts(y, p), F.count(F.lit(1)).alias("n"),
+    counts = df.groupBy(*keys).agg(*confusion_counts(y, p), F.count(y).alias("n"), F.count_if(y.isNull()).alias("n_unlabelled"),
                                    F.avg(X.bce(y, ranked(score), False, eps)).alias("logloss"))
-    return with_rates(counts).join(roc_auc(df, y, score, keys), keys)
+    return keyed_join(with_rates(counts), roc_auc(df, y, score, keys), keys)
 
 
 def report(metrics: DataFrame, names: Sequence[str] = ("accuracy", "precision", "recall", "f1", "auc"),
@@ -254,7 +267,7 @@ def metric_delta(a: DataFrame, b: DataFrame, on: Sequence[str], value: str, limi
     """Change of a metric between two stages, and whether the second meets the limit."""
     left = a.select(*on, F.col(value).alias("before"))
     right = b.select(*on, F.col(value).alias("after"))
-    return (left.join(right, list(on)).withColumn("delta", F.col("after") - F.col("before"))
+    return (keyed_join(left, right, list(on)).withColumn("delta", F.col("after") - F.col("before"))
             .withColumn("verdict", F.when(F.col("after") >= limit, "pass").otherwise("warn")))
 
 

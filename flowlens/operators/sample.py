@@ -13,7 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..plans.ranking import hash_pick, hash_rank, hash_text, rank_bounds
-from ..plans.small import attach, lookup
+from ..plans.small import attach, check_free, keyed_join, lookup, settle
+from .labels import label_classes
 
 
 def at_least_one(frac: float):
@@ -118,77 +119,103 @@ def batch_assign(df: DataFrame, row_no: str, size: int, name: str = "batch") ->
 
 # --- oversampling ------------------------------------------------------------
 
-def _class_sizes(df: DataFrame, label: str) -> dict:
-    """Rows per class; a class list is a fitted parameter and has to be short."""
-    rows = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("more than 10000 classes: not a class label")
-    return {r[label]: r["n"] for r in rows}
+def class_sizes(df: DataFrame, label: str) -> DataFrame:
+    """(label, _n): rows per class, evaluated once; NULL is a class."""
+    check_free(df, ("_n", "_rank", "_times"))
+    return settle(df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")))[0]
 
 
-def _duplicate(df: DataFrame, label: str, keys: Sequence[str], extra: Mapping, sizes: Mapping, seed) -> DataFrame:
-    """Add ``extra[c]`` draws with replacement to every class c; ``copy`` counts the draws of a row.
+# Draws that one task makes at a time.
+DRAWS = 1 << 16
 
-    Draws are counted per picked rank before they meet the rows, and only the
-    classes that need copies are numbered.
+
+def _numbered_draws(classes: DataFrame, count: str) -> DataFrame:
+    """One row per draw 0..count-1 of every class, in chunks that are spread before they are unrolled."""
+    chunks = classes.filter(F.col(count) > 0).withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / DRAWS))))
+    first = F.col("_chunk") * DRAWS
+    last = F.least(first + DRAWS, F.col(count).cast("long")) - 1
+    # Spread by row number, not by class: one class may have all draws.
+    return chunks.repartition(F.xxhash64("_chunk", *[c for c in classes.columns])).withColumn("_d", F.explode(F.sequence(first, last))).drop("_chunk")
+
+
+def _duplicate(df: DataFrame, label: str, keys: Sequence[str], classes: DataFrame, seed) -> DataFrame:
+    """Add ``_extra`` draws with replacement to every class; ``copy`` counts the draws of a row.
+
+    ``classes`` has the columns label, _n, _extra. Draws are counted per picked rank before they meet the rows, and
+    only the classes that need copies are numbered.
     """
     base = df.withColumn("copy", F.lit(0))
-    need = {c: k for c, k in extra.items() if k > 0}
-    if not need:
-        return base
-    spark = df.sparkSession
-    draws = None
-    for c, k in need.items():
-        one = (spark.range(k).select(F.lit(c).alias(label), F.col("id").alias("_d"))
-               .withColumn("_rank", hash_pick(seed, F.lit(sizes[c]), F.lit(c), "_d") + 1))
-        draws = one if draws is None else draws.unionByName(one)
-    times = draws.groupBy(label, "_rank").agg(F.count(F.lit(1)).alias("_times"))
-    ranked = hash_rank(df.filter(F.col(label).isin(list(need))), [label], keys, seed, "_rank")
-    extra_rows = (ranked.join(times, [label, "_rank"])
+    need = classes.filter("_extra > 0")
+    picked = _numbered_draws(need, "_extra").withColumn("_rank", hash_pick(seed, F.col("_n"), label, "_d") + 1)
+    times = picked.groupBy(label, "_rank").agg(F.count(F.lit(1)).alias("_times"))
+    ranked = hash_rank(attach(df, need.select(label), [label], "left_semi"), [label], keys, seed, "_rank")
+    extra_rows = (keyed_join(ranked, times, [label, "_rank"])
                   .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))))
     return base.unionByName(extra_rows.select(*df.columns, "copy"))
 
 
 def oversample_balance(df: DataFrame, label: str, keys: Sequence[str], seed=42) -> DataFrame:
-    """Every class grows to the size of the largest."""
-    sizes = _class_sizes(df, label)
-    top = max(sizes.values(), default=0)
-    return _duplicate(df, label, keys, {c: top - n for c, n in sizes.items()}, sizes, seed)
+    """Every class grows to the size of the largest, whatever the number of classes; NULL is a class."""
+    sizes = class_sizes(df, label)
+    top = sizes.agg(F.max("_n")).first()[0] or 0
+    return _duplicate(df, label, keys, sizes.withColumn("_extra", F.lit(top) - F.col("_n")), seed)
 
 
 def oversample_ratio(df: DataFrame, label: str, keys: Sequence[str], ratio: float, seed=42) -> DataFrame:
-    """Positives grow to floor(negatives*ratio); nothing happens when they are already there."""
-    sizes = _class_sizes(df, label)
-    pos, neg = sizes.get(1, 0), sizes.get(0, 0)
-    extra = max(0, int(neg * ratio) - pos) if pos else 0
-    return _duplicate(df, label, keys, {1: extra}, sizes, seed)
+    """Positives grow to floor(negatives*ratio); nothing happens when they are already there. Other classes stay."""
+    sizes = class_sizes(df, label)
+    pos, neg = sizes.agg(F.sum(F.when(F.col(label) == 1, F.col("_n"))), F.sum(F.when(F.col(label) == 0, F.col("_n")))).first()
+    extra = max(0, int((neg or 0) * ratio) - pos) if pos else 0
+    return _duplicate(df, label, keys, sizes.withColumn("_extra", F.when(F.col(label) == 1, F.lit(extra)).otherwise(0)), seed)
 
 
 # --- weights and bootstrap ---------------------------------------------------
 
-def class_weights(df: DataFrame, label: str, weights="balanced", name: str = "weight") -> DataFrame:
-    """Row weights that sum to 1: balanced (n / (k * n_c)), or an explicit class map (default 1)."""
-    sizes = _class_sizes(df, label)
-    n, k = sum(sizes.values()), len(sizes)
+def _weighted(classes: DataFrame, df: DataFrame, label: str, weights) -> DataFrame:
+    """``classes`` with ``_w``, the weight of one row of a class before scaling."""
     if weights == "balanced":
-        raw = {c: n / (k * m) for c, m in sizes.items()}
-    elif isinstance(weights, Mapping):
-        raw = {c: float(weights.get(c, 1.0)) for c in sizes}
-    else:
+        n, k = classes.agg(F.sum("_n"), F.count(F.lit(1))).first()
+        return classes.withColumn("_w", F.lit(float(n or 0)) / (F.lit(k) * F.col("_n")))
+    if not isinstance(weights, Mapping):
         raise ValueError(f"unknown class weights {weights!r}")
-    total = sum(raw[c] * sizes[c] for c in sizes)
-    share = {c: w / total for c, w in raw.items()}
-    if len(share) <= 64 or None in share:
-        return df.withColumn(name, lookup(F.col(label), share))
-    table = df.sparkSession.createDataFrame(list(share.items()), T.StructType([
-        df.schema[label], T.StructField(name, T.DoubleType())]))
-    return df.join(F.broadcast(table), label, "left")  # at most 10000 classes, see _class_sizes
+    given = df.sparkSession.createDataFrame([(c, float(w)) for c, w in weights.items()], T.StructType([
+        T.StructField(label, df.schema[label].dataType), T.StructField("_w", T.DoubleType())]))
+    return attach(classes, given, [label]).withColumn("_w", F.coalesce("_w", F.lit(1.0)))
+
+
+def class_weights(df: DataFrame, label: str, weights="balanced", name: str = "weight") -> DataFrame:
+    """Row weights that sum to 1: balanced (n / (k * n_c)), or an explicit class map (default 1); NULL is a class."""
+    classes = _weighted(class_sizes(df, label), df, label, weights)
+    total = classes.agg(F.sum(F.col("_w") * F.col("_n"))).first()[0]
+    return attach(df, classes.select(F.col(label), (F.col("_w") / F.lit(total)).alias(name)), [label])
+
+
+# Classes whose masses are added up in one task, and cells of the unit interval in which draws meet classes.
+MASS_CHUNK, MASS_CELLS = 4096, 1 << 14
+
+
+def _mass_table(classes: DataFrame, label: str, mass: Column) -> DataFrame:
+    """(label, _n, _lo, _hi): the part of [0, 1) that falls to each class, classes in text order, NULL first.
+
+    Sums run over chunks of numbered classes and then over the chunks, so the order of classes decides alone.
+    """
+    numbered = attach(classes, label_classes(classes, label, "_code"), [label]).withColumn("_mass", mass).withColumn("_chunk", F.floor(F.col("_code") / MASS_CHUNK))
+    inside = Window.partitionBy("_chunk").orderBy("_code")
+    # One row per 4,096 classes.
+    along = Window.partitionBy(F.lit(0)).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = numbered.groupBy("_chunk").agg(F.sum("_mass").alias("_m")).withColumn("_off", F.coalesce(F.sum("_m").over(along), F.lit(0.0))).drop("_m")
+    summed, _ = settle(numbered.withColumn("_in", F.sum("_mass").over(inside)).join(offsets, "_chunk")
+                       .select(label, "_n", "_code", (F.col("_off") + F.col("_in")).alias("_upto")))
+    k, total = summed.agg(F.count(F.lit(1)), F.max("_upto")).first()
+    before = summed.select((F.col("_code") + 1).alias("_code"), (F.col("_upto") / F.lit(total)).alias("_lo"))
+    hi = F.when(F.col("_code") == F.lit((k or 0) - 1), F.lit(1.0)).otherwise(F.col("_upto") / F.lit(total))
+    return summed.join(before, "_code", "left").select(label, "_n", F.coalesce("_lo", F.lit(0.0)).alias("_lo"), hi.alias("_hi"))
 
 
 def _join_draws(df: DataFrame, draws: DataFrame, strata: Sequence[str], keys: Sequence[str], seed) -> DataFrame:
     times = draws.groupBy("tree", *strata, "_rank").agg(F.count(F.lit(1)).alias("times"))
     ranked = hash_rank(df, strata, keys, seed, "_rank")
-    return ranked.join(times, [*strata, "_rank"]).drop("_rank")
+    return keyed_join(ranked, times, [*strata, "_rank"]).drop("_rank")
 
 
 def bootstrap(df: DataFrame, keys: Sequence[str], trees: int, seed=42, method: str = "exact") -> DataFrame:
@@ -220,30 +247,25 @@ def bootstrap_weighted(df: DataFrame, label: str, keys: Sequence[str], trees: in
                        seed=42) -> DataFrame:
     """n draws per tree where a row's chance follows its class weight.
 
-    Weights depend on the class only, so a draw picks a class by its total mass
-    and then a row of that class uniformly.
+    Weights depend on the class only, so a draw picks a class by its total mass, from a table of cumulative masses, and then
+    a row of that class uniformly. Any number of classes; NULL is one.
     """
-    sizes = _class_sizes(df, label)
-    classes = sorted(sizes, key=str)
-    n = sum(sizes.values())
+    classes = class_sizes(df, label)
     if weights == "balanced":
-        edges = [(i + 1) / len(classes) for i in range(len(classes))]
+        table = _mass_table(classes, label, F.lit(1.0))
     else:
-        mass = [float(weights.get(c, 1.0)) * sizes[c] for c in classes]
-        edges = [sum(mass[: i + 1]) / sum(mass) for i in range(len(classes))]
-    edges[-1] = 1.0
-    span = float(1 << 32)
+        table = _mass_table(_weighted(classes, df, label, weights), label, F.col("_w") * F.col("_n"))
+    n = df.count()
     draws = (df.sparkSession.range(n * trees)
              .select(F.floor(F.col("id") / F.lit(max(n, 1))).cast("int").alias("tree"),
                      (F.col("id") % F.lit(max(n, 1))).alias("_d"))
-             .withColumn("_u", hash_pick(f"{seed}c", F.lit(1 << 32), "tree", "_d", digits=8) / F.lit(span)))
-    cls = F.lit(classes[-1])
-    size = F.lit(sizes[classes[-1]])
-    for c, e in reversed(list(zip(classes[:-1], edges[:-1]))):
-        cls = F.when(F.col("_u") < e, F.lit(c)).otherwise(cls)
-        size = F.when(F.col("_u") < e, F.lit(sizes[c])).otherwise(size)
-    draws = draws.withColumn(label, cls).withColumn("_rank", hash_pick(seed, size, "tree", "_d") + 1)
-    return _join_draws(df, draws, [label], keys, seed)
+             .withColumn("_u", hash_pick(f"{seed}c", F.lit(1 << 32), "tree", "_d", digits=8) / F.lit(float(1 << 32)))
+             .withColumn("_cell", F.floor(F.col("_u") * MASS_CELLS)))
+    # A class lies in the cells it covers: as many rows as classes and cells together. Draws are even over the cells.
+    cells = table.filter("_hi > _lo").withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_lo") * MASS_CELLS), F.least(F.floor(F.col("_hi") * MASS_CELLS), F.lit(MASS_CELLS - 1)))))
+    met = attach(draws, cells, ["_cell"], "inner").filter("_u >= _lo AND _u < _hi")
+    met = met.select("tree", "_d", label, (hash_pick(seed, F.col("_n"), "tree", "_d") + 1).alias("_rank"))
+    return _join_draws(df, met, [label], keys, seed)
 
 
 def row_subsample(df: DataFrame, keys: Sequence[str], frac: float, seed, round_no: int) -> DataFrame:

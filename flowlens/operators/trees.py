@@ -75,7 +75,7 @@ def running_splits(df: DataFrame, node: str, features: Sequence[str], edges: Map
     else:
         slots = (long.groupBy(node, "feature", "b", F.col("v").alias("lo")).agg(*sums)
                  .withColumn("hi", F.col("lo")))
-    run = running_sums(slots, [node, "feature"], "b", "lo", list(stats))
+    run = running_sums(slots, [node, "feature"], "b", "lo", list(stats), nullable=False)
     return (run.filter("next_value IS NOT NULL")
             .withColumn("threshold", (F.col("hi") + F.col("next_value")) / 2.0))
 

@@ -51,14 +51,18 @@ def add_buckets(df: DataFrame, cols: Sequence[str], edges: Mapping[str, Sequence
 
 
 def running_sums(slots: DataFrame, keys: Sequence[str], bucket: str, value: str,
-                 sums: Sequence[str], descending: bool = False) -> DataFrame:
+                 sums: Sequence[str], descending: bool = False, nullable: bool = True) -> DataFrame:
     """Inclusive running sums over distinct values, per key group.
 
     ``slots`` has one row per (keys, value) with the columns ``sums`` already
     added up, and ``bucket``, which must grow with ``value``. Adds ``cum_<s>``,
-    ``tot_<s>`` and ``next_value`` (the following value in scan order, or NULL).
+    ``tot_<s>`` and ``next_value`` (the following value in scan order, or NULL). ``nullable`` says that keys may be NULL.
     """
-    keys = list(keys)
+    # One struct for all keys: a struct is never NULL, so groups with a NULL key meet in the join as well, and
+    # equality on it still hashes.
+    names, keys = (list(keys), ["_keys"]) if nullable and keys else ([], list(keys))
+    if names:
+        slots = slots.withColumn("_keys", F.struct(*names)).drop(*names)
     sign = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     first = F.max(value) if descending else F.min(value)
     per = slots.groupBy(*keys, bucket).agg(
@@ -81,7 +85,11 @@ def running_sums(slots: DataFrame, keys: Sequence[str], bucket: str, value: str,
         "*",
         *[(F.col(f"_off_{s}") + F.sum(s).over(run)).alias(f"cum_{s}") for s in sums],
         F.coalesce(F.lead(value).over(inside), F.col("_next_first")).alias("next_value"))
-    return out.drop("_next_first", *[f"_off_{s}" for s in sums])
+    out = out.drop("_next_first", *[f"_off_{s}" for s in sums])
+    if not names:
+        return out
+    rest = [c for c in out.columns if c not in keys]
+    return out.select(*[F.col("_keys")[c].alias(c) for c in names], *rest)
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
@@ -183,7 +191,7 @@ def value_at_rank(df: DataFrame, keys: Sequence[str], value: Column, index_of) -
     edges = bucket_edges(base, ["_v"])
     slots = (add_buckets(base.select(*own, "_v"), ["_v"], edges)
              .groupBy(*own, "_b__v", "_v").agg(F.count(F.lit(1)).alias("n")))
-    run = running_sums(slots, own, "_b__v", "_v", ["n"])
+    run = running_sums(slots, own, "_b__v", "_v", ["n"], nullable=bool(keys))
     idx = index_of(F.col("tot_n"))
     hit = run.filter((F.col("cum_n") - F.col("n") <= idx) & (idx < F.col("cum_n")))
     out = hit.select(*own, F.col("_v").alias("value"), F.col("tot_n").alias("n"))

@@ -21,7 +21,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .small import attach, ensure_checkpoint_dir, settle
+from .small import attach, check_free, ensure_checkpoint_dir, keyed_join, settle
 
 # Hex digits of the first prefix and of every refinement (256 and 4096 groups).
 FIRST_DIGITS, MORE_DIGITS = 2, 3
@@ -46,6 +46,7 @@ def hash_pick(seed, n: Column, *keys, digits: int = 15) -> Column:
 
 def _hashed(df: DataFrame, strata: Sequence[str], keys: Sequence[str], seed) -> tuple[DataFrame, list[str]]:
     """The table with its hash; a constant stratum serves the unstratified case."""
+    check_free(df, ("_h", "_all", "_p", "_n"))
     work = df.withColumn("_h", hash_text(seed, *keys))
     return (work, list(strata)) if strata else (work.withColumn("_all", F.lit(1)), ["_all"])
 
@@ -83,8 +84,8 @@ def _locate(work: DataFrame, own: list[str], counts: DataFrame, n_targets: int)
         .select(*own, "_t.*").filter("_p IS NOT NULL"))
     digits = FIRST_DIGITS
     while digits < 32 and _largest(wanted, "_c") > SORTED_ROWS:
-        inside = work.withColumn("_p", F.substring("_h", 1, digits)).join(
-            F.broadcast(wanted.drop("_c")) if small else wanted.drop("_c"), [*own, "_p"])
+        inside = keyed_join(work.withColumn("_p", F.substring("_h", 1, digits)),
+                            F.broadcast(wanted.drop("_c")) if small else wanted.drop("_c"), [*own, "_p"])
         digits = min(32, digits + MORE_DIGITS)
         finer = (inside.groupBy(*own, "_i", F.substring("_h", 1, digits).alias("_p"))
                  .agg(F.count(F.lit(1)).alias("_c"), F.max("_need").alias("_need")))
@@ -105,19 +106,22 @@ def rank_bounds(df: DataFrame, strata: Sequence[str], keys: Sequence[str], seed,
     """
     keys = list(keys)
     m = len(targets)
+    check_free(df, ["_c", "_before", "_need", "_i", "_r", "_step", *[f"_{a}{i}" for i in range(m) for a in ("k", "at", "bound")], *[f"_id{i}" for i in range(len(keys))]])
     work, own = _hashed(df, strata, keys, seed)
     counts = _prefix_counts(work, own, FIRST_DIGITS)
     counts = counts.withColumn("_n", F.sum("_c").over(Window.partitionBy(*own)))  # over counters
     counts = counts.withColumns({f"_k{i}": t(F.col("_n")).cast("bigint") for i, t in enumerate(targets)})
     sizes, wanted, small, digits = _locate(work, own, counts, m)
     # Only rows of a boundary prefix are numbered.
-    edge = (work.select(*own, F.substring("_h", 1, digits).alias("_p"), "_h", *keys)
-            .join(F.broadcast(wanted) if small else wanted, [*own, "_p"]))
-    order = Window.partitionBy(*own, "_p", "_i").orderBy("_h", *keys)
-    cut = F.struct("_h", *keys)
+    edge = keyed_join(work.select(*own, F.substring("_h", 1, digits).alias("_p"), "_h", *[F.col(k).alias(f"_id{i}") for i, k in enumerate(keys)]),
+                      F.broadcast(wanted) if small else wanted, [*own, "_p"])
+    ids = [f"_id{i}" for i in range(len(keys))]
+    order = Window.partitionBy(*own, "_p", "_i").orderBy("_h", *ids)
+    last = F.struct("_h", *ids)
+    cut = F.struct("_h", *[F.col(k).alias(i) for k, i in zip(keys, ids)])
     cuts = (edge.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") == F.col("_need"))
-            .groupBy(*own).agg(*[F.max(F.when(F.col("_i") == i, cut)).alias(f"_bound{i}") for i in range(m)]))
-    marked = attach(work, sizes.join(cuts, own, "left"), own, "left")
+            .groupBy(*own).agg(*[F.max(F.when(F.col("_i") == i, last)).alias(f"_bound{i}") for i in range(m)]))
+    marked = attach(work, keyed_join(sizes, cuts, own, "left"), own, "left")
     step = F.lit(0)
     for i in range(m):
         # A missing bound means the target is 0 (nothing before it) or beyond the end.
@@ -141,8 +145,7 @@ def hash_rank(df: DataFrame, strata: Sequence[str], keys: Sequence[str], seed,
         offsets, small = settle(_prefix_counts(work, own, digits), limit=500_000)
     offsets = offsets.drop("_c")
     inside = Window.partitionBy(*own, "_p").orderBy("_h", *keys)
-    ranked = (work.withColumn("_p", F.substring("_h", 1, digits))
-              .join(F.broadcast(offsets) if small else offsets, [*own, "_p"]))
+    ranked = keyed_join(work.withColumn("_p", F.substring("_h", 1, digits)), F.broadcast(offsets) if small else offsets, [*own, "_p"])
     out = ranked.withColumn(name, F.col("_before") + F.row_number().over(inside))
     return out.drop("_h", "_p", "_before", *([] if strata else ["_all"]))
 
@@ -154,6 +157,7 @@ def number_rows(df: DataFrame, name: str = "row_no") -> DataFrame:
     partitions (adaptive execution merges them by size). One counting pass gives the partition offsets.
     """
     ensure_checkpoint_dir(df.sparkSession)
+    check_free(df, ("_m", "_part", "_off"))
     work = df.withColumn("_m", F.monotonically_increasing_id()).checkpoint()
     work = work.withColumn("_part", F.shiftright("_m", 33).cast("int"))
     counts = work.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))

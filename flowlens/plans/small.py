@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -33,11 +34,29 @@ def settle(params: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, b
     return params.checkpoint(), False
 
 
+def keyed_join(df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which a NULL key meets a NULL key, as groups and windows take it; key columns appear once, those of ``df``."""
+    names = {c: f"_key_{i}" for i, c in enumerate(on)}
+    check_free(df, names.values())
+    renamed = table.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in table.columns])
+    same = F.lit(True)
+    for c, k in names.items():
+        same = same & F.col(f"`{c}`").eqNullSafe(F.col(k))
+    out = df.join(renamed, same, how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*names.values())
+
+
+def check_free(df: DataFrame, names) -> None:
+    """ValueError if ``df`` has a column with a name that is needed inside."""
+    if taken := sorted(set(names) & set(df.columns)):
+        raise ValueError(f"columns in use: {taken}")
+
+
 def attach(df: DataFrame, params: DataFrame, on: list[str], how: str = "left",
            limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a fitted table to ``df``, broadcasting only after its size was checked."""
+    """Join a fitted table to ``df`` (NULL keys meet), broadcasting only after its size was checked."""
     table, small = settle(params, limit)
-    return df.join(F.broadcast(table) if small else table, on, how)
+    return keyed_join(df, F.broadcast(table) if small else table, on, how)
 
 
 def lookup(key: Column, mapping: dict, default=None) -> Column:
