@@ -5,6 +5,9 @@ built by inserting vectors in batches: a batch searches the graph so far, links
 found and of its own members, and its new neighbours choose anew among their links. Every query searches every
 shard of its dimension and the shards' results are merged. Equal vectors are one node of the graph.
 
+How wide a search has to be depends on the vectors. So a bounded sample of the queries is also answered by whole matrix
+products over all shards, and the beam is doubled until the sample's recall is reached.
+
 Nearness is the inner product. For the links each vector gets one more coordinate that makes all norms of the
 shard equal, so that vectors of different lengths build a graph in which the largest product is the nearest.
 """
@@ -23,6 +26,8 @@ register_pickle_by_value(sys.modules[__name__])
 
 LINKS, BUILD_WIDTH, SEARCH_WIDTH, SHARD_ROWS = 16, 96, 256, 16_384
 BLOCK, GROUP_BLOCKS, BATCH, EXPAND = 256, 8, 256, 4
+# Recall that the sampled queries have to reach, and how many there are.
+RECALL, PROBES = 0.95, 64
 
 
 class Graph:
@@ -169,6 +174,21 @@ class Graph:
         ids, score = np.take_along_axis(ids, order, 1), np.take_along_axis(score, order, 1)
         return np.where(ids >= 0, self.order[np.maximum(ids, 0)], -1), score
 
+    def exact(self, queries, count: int):
+        """As ``nearest``, by products with all vectors; ties go to the earlier given vector."""
+        import numpy as np
+
+        queries, count = np.asarray(queries, np.float64), min(count, len(self.vectors))
+        score = queries @ self.vectors.T
+        least = -np.partition(-score, count - 1, axis=1)[:, count - 1]
+        ids, best = np.empty((len(queries), count), np.int64), np.empty((len(queries), count))
+        for i, row in enumerate(score):
+            near = np.flatnonzero(row >= least[i])
+            near = near[np.lexsort((self.order[near], -row[near]))][:count]
+            # The same sum for each pair, however many queries there are.
+            ids[i], best[i] = self.order[near], np.matmul(self.vectors[near], queries[i])
+        return ids, best
+
     def packed(self) -> tuple[bytes, bytes, bytes]:
         import numpy as np
 
@@ -232,8 +252,8 @@ def build_index(nodes: DataFrame, shards: dict[int, int]) -> DataFrame:
     return dealt.repartition(sum(shards.values()), "dim", "shard").groupBy("dim", "shard").applyInPandas(build, INDEX)
 
 
-def search_index(index: DataFrame, shards: dict[int, int], queries: DataFrame, count: int, width: int = SEARCH_WIDTH) -> DataFrame:
-    """(query_id, id, score): each shard's best ``count`` for each row (query_id, v, dim) of ``queries``.
+def search_index(index: DataFrame, shards: dict[int, int], queries: DataFrame, count: int, width: int | None = SEARCH_WIDTH) -> DataFrame:
+    """(query_id, id, score): each shard's best ``count`` for each row (query_id, v, dim) of ``queries``; without a width exactly.
 
     Queries travel in blocks of bounded size. A task holds one shard's graph at a time and answers a bounded
     number of blocks from it; more blocks go to further tasks with a copy of the graph.
@@ -266,7 +286,8 @@ def search_index(index: DataFrame, shards: dict[int, int], queries: DataFrame, c
                     graph, names = Graph.unpacked(vectors, place, links), np.frombuffer(ids, "<i8")
                     continue
                 who = np.frombuffer(ids, "<i8")
-                at, score = graph.nearest(np.frombuffer(vectors, "<f8").reshape(len(who), -1), count, width)
+                asked = np.frombuffer(vectors, "<f8").reshape(len(who), -1)
+                at, score = graph.exact(asked, count) if width is None else graph.nearest(asked, count, width)
                 ok = (at >= 0).ravel()
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(who, at.shape[1])[ok]), pa.array(names[np.maximum(at, 0)].ravel()[ok]), pa.array(score.ravel()[ok])],
                                                  ["query_id", "id", "score"])
@@ -284,10 +305,31 @@ def search_index(index: DataFrame, shards: dict[int, int], queries: DataFrame, c
     return ordered.select("ids", "vectors", "place", "links").mapInArrow(answer, "query_id bigint, id bigint, score double")
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 20, shard_rows: int = SHARD_ROWS, width: int = SEARCH_WIDTH,
-            id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def wide_enough(index: DataFrame, shards: dict[int, int], queries: DataFrame, count: int, width: int, recall: float, probes: int,
+                shard_rows: int) -> int | None:
+    """The width, doubled from ``width`` on, at which ``probes`` queries find ``recall`` of their exact results; None: only the exact way does."""
+    sample = staged(queries.orderBy(F.xxhash64("query_id"), "query_id").limit(probes), "probes")
+
+    def best(met: DataFrame) -> DataFrame:
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+        return met.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= count).select("query_id", "id")
+
+    want = staged(best(search_index(index, shards, sample, count, None)), "exact")
+    total = want.count()
+    while total and want.join(best(search_index(index, shards, sample, count, width)), ["query_id", "id"]).count() < recall * total:
+        width *= 2
+        if 2 * width >= shard_rows:
+            return None
+    return width
+
+
+def nearest(vectors: DataFrame, queries: Column, k: int = 20, shard_rows: int = SHARD_ROWS, width: int = SEARCH_WIDTH, recall: float | None = RECALL,
+            probes: int = PROBES, exact: bool = False, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest rows of every row for which ``queries`` holds.
 
+    The beam is ``width``, doubled until ``probes`` of the queries reach ``recall`` against brute force (None: not measured);
+    ``exact`` compares every query with every vector.
+
     Largest inner product first, ties to the smaller id; a row is not its own neighbour. Rows whose vector is
     null, empty, zero or holds a null or non-finite component, or whose id is null, take no part. Vectors are
     compared within their dimension. With fewer rows than k all others are returned. Rows that repeat an id
@@ -306,7 +348,12 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, shard_rows: int =
     nodes = known.filter("n = 1").select("id", "v", "dim")
     shards = shard_counts(nodes, shard_rows)
     index = staged(build_index(nodes, shards), "index")
-    met = search_index(index, shards, rows.filter("asked").select(F.col("id").alias("query_id"), "v", "dim"), k + 1, width)
+    asked = rows.filter("asked").select(F.col("id").alias("query_id"), "v", "dim")
+    if exact or not shards:
+        wide = None
+    else:
+        wide = width if recall is None else wide_enough(index, shards, asked, k + 1, width, recall, probes, shard_rows)
+    met = search_index(index, shards, asked, k + 1, wide)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     merged = met.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1)
     copies = known.filter("n > 1").select(F.col("node"), F.col("id").alias("copy"))

@@ -87,3 +87,28 @@ def test_odd_rows(spark):
     assert got[0] == [(9, 2.0), (7, 0.5), (20, 0.5)] and got[8] == [(10, 10.0)] and got[7] == [(9, 1.0), (0, 0.5), (20, 0.5)]
     assert set(got) == {0, 7, 8, 9, 10, 20}
     assert H.nearest(df.limit(0), F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["random", "clustered"])
+def test_recall_of_a_full_shard(spark, kind):
+    """16,384 vectors of 128 dimensions, the size of a shard; the random ones need a wider beam than the first."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(16_384, 128))
+    if kind == "clustered":
+        x = rng.normal(size=(50, 128))[rng.integers(0, 50, 16_384)] + 0.2 * x
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(4)
+    asked = range(0, 16_384, 256)
+    got = lists(H.nearest(df, F.col("vec_id") % 256 == 0, k=20))
+    score = x[list(asked)] @ x.T
+    for row, i in enumerate(asked):
+        score[row, i] = -np.inf
+    want = {i: [(int(j), 0.0) for j in np.argsort(-score[row], kind="stable")[:20]] for row, i in enumerate(asked)}
+    assert recall(got, want) >= 0.94
+
+
+def test_exact_way(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(900)]
+    got = lists(H.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 20 == 0, k=20, shard_rows=250, exact=True))
+    assert recall(got, brute(rows, lambda i: i % 20 == 0, 20)) == 1.0
