@@ -53,6 +53,13 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], size: str, hot_sh
     return here.unionByName(rest)
 
 
+def release_arrow() -> None:
+    """Give the memory that Arrow keeps for later back to the system; a worker outlives its task and shares its executor's memory."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+
+
 def worker_store() -> dict:
     """A dictionary of the Python worker process; it outlives one task."""
     return sys.__dict__.setdefault("_flowlens_store", {})

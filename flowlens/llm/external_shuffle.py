@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..plans.small import attach
-from .common import staged
+from .common import release_arrow, staged
 
 register_pickle_by_value(sys.modules[__name__])
 
@@ -119,6 +119,8 @@ def write_shards(docs: DataFrame, path: str, shards: int, seed: int = 0, bucket_
         out = held.select(names).combine_chunks().take(pa.array(order))
         out = out.append_column("slot", pa.array(slot)).append_column("shard", pa.array(shard.astype(np.int32)))
         yield from out.to_batches(max_chunksize=2000)
+        del held, out
+        release_arrow()
 
     done = dealt.mapInArrow(shuffle, schema).sortWithinPartitions("shard", "slot")
     done.write.partitionBy("shard").option("compression", "zstd").parquet(path)

@@ -13,7 +13,7 @@ from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.small import attach
-from .common import staged
+from .common import release_arrow, staged
 from .tokens import library_encoder, sliced
 
 register_pickle_by_value(sys.modules[__name__])
@@ -64,6 +64,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
                 if with_ids:  # the pieces of a text follow one another, and so do the texts
                     arrays.append(pa.ListArray.from_arrays(pa.array(np.append(first, offsets[-1]).astype(np.int32)), pa.array(ids.view("<i4"))))
                 yield pa.RecordBatch.from_arrays(arrays, names)
+        release_arrow()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(pieces, PIECES + ", ids array<int>" * with_ids)

@@ -18,6 +18,8 @@ from collections.abc import Callable, Iterator
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, functions as F
 
+from .common import release_arrow
+
 register_pickle_by_value(sys.modules[__name__])
 
 # Fewest words of a run, and how often it must hold its period.
@@ -324,6 +326,7 @@ def find_periodic(docs: DataFrame, change: Callable[[int | None, int], tuple[int
                 cells = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (starts, runs[:, 1], runs[:, 2])], ["start", "length", "period"])
                 yield pa.RecordBatch.from_arrays([ids, pa.array(sizes.astype(np.int64)), pa.ListArray.from_arrays(pa.array(of.astype(np.int32)), cells), collapsed],
                                                  ["doc_id", "n_words", "runs", "collapsed"])
+        release_arrow()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(find, f"doc_id bigint, n_words bigint, runs {RUNS}, collapsed string")

@@ -13,6 +13,7 @@ from pyspark import TaskContext
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .common import release_arrow
 from .tokens import library_encoder, sliced
 
 register_pickle_by_value(sys.modules[__name__])
@@ -47,6 +48,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, pa
                     pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view("<i4")))],
                     ["part", "doc_id", "part_start", "n_tokens", "tokens"])
                 run += int(offsets[-1])
+        release_arrow()
 
     out = ranged.sortWithinPartitions("doc_id", F.xxhash64("text"), "text").mapInArrow(
         encode, "part int, doc_id bigint, part_start bigint, n_tokens bigint, tokens array<int>")

@@ -22,8 +22,8 @@ SPACE = r"\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\
 # A space or newline between two white spaces, or after one at the end: the only ones that may lie inside a token.
 INSIDE = rf"[{SPACE}][ \n](?:[{SPACE}]|\z)"
 # Words and ids kept, without and with the new ones of a slice; longest word kept.
-MEMO_BYTES, MEMO_CHARS, JOINED_WORDS = 32 << 20, 40, 1000
-SLICE_BYTES = 8 << 20
+MEMO_BYTES, MEMO_CHARS, JOINED_WORDS = 16 << 20, 40, 1000
+SLICE_BYTES = 2 << 20
 # Marks that may end a word, and how many ways to end one are kept.
 TAIL, TAILS = ".,:;!?$#*&", 10_000
 
