@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..plans.ordered import value_at_rank
-from ..plans.small import attach, keyed_join
+from ..plans.ranking import number_rows
+from ..plans.small import attach, keyed_join, settle
 
 QMIN, QMAX = -128, 127
 
@@ -95,12 +97,21 @@ def prune_dims(df: DataFrame, dim: str, w: str, share: float) -> DataFrame:
     Returns (dim, new_dim, norm) of the survivors; apply it to the next table's
     inputs with ``apply_dims``.
     """
-    norms = df.groupBy(dim).agg(F.sqrt(F.sum(F.col(w) * F.col(w))).alias("norm"))
-    # One row per unit of the layer.
-    by_norm, by_dim = Window.orderBy("norm", dim), Window.orderBy(dim)
-    kept = (norms.withColumn("_r", F.row_number().over(by_norm)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
-            .filter(F.col("_r") > F.floor(F.col("_n") * F.lit(float(share)))))
-    return kept.select(dim, (F.row_number().over(by_dim) - 1).alias("new_dim"), "norm")
+    norms, small = settle(df.groupBy(dim).agg(F.sqrt(F.sum(F.col(w) * F.col(w))).alias("norm")))
+    n = norms.count()
+    gone = math.floor(n * float(share))
+    if small:  # the number of units was checked
+        by_norm, by_dim = Window.orderBy("norm", dim), Window.orderBy(dim)
+        kept = norms.withColumn("_r", F.row_number().over(by_norm)).filter(F.col("_r") > gone)
+        return kept.select(dim, (F.row_number().over(by_dim) - 1).alias("new_dim"), "norm")
+    if not gone:
+        kept = norms
+    else:  # the norm of the last unit that goes; units of that norm go by index
+        cut = value_at_rank(norms, [], F.col("norm"), lambda _: F.lit(gone - 1)).first()["value"]
+        below = norms.filter(F.col("norm") < cut).count()
+        last = value_at_rank(norms.filter(F.col("norm") == cut), [], F.col(dim), lambda _: F.lit(gone - below - 1)).first()["value"]
+        kept = norms.filter((F.col("norm") > cut) | ((F.col("norm") == cut) & (F.col(dim) > last)))
+    return number_rows(kept.orderBy(dim), "_no").select(dim, (F.col("_no") - 1).cast("int").alias("new_dim"), "norm")
 
 
 def apply_dims(df: DataFrame, kept: DataFrame, dim: str) -> DataFrame:

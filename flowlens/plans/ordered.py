@@ -1,7 +1,7 @@
 """Order statistics and running sums over values that do not fit one task.
 
-Values fall into buckets whose edges come from one mergeable quantile sketch, so
-buckets hold about equal numbers of rows whatever the distribution. Per-bucket
+Values fall into buckets whose edges come from a hash sample of the distinct values, so
+buckets hold about equal numbers of them whatever the distribution. Per-bucket
 totals are prefix-summed on the small bucket table and each bucket is then
 scanned on its own. Equal values are counted together before anything moves, so
 one value holding a third of all rows costs one row after the map side.
@@ -15,27 +15,49 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .small import attach
+
 # Largest number of cells (rows x columns) one aggregation buffer may hold.
 DIRECT_CELLS = 1_000_000
 ROWS_PER_BUCKET = 1_000_000
 MIN_BUCKETS, MAX_BUCKETS = 64, 16_384
+# Distinct values of a column that bucket edges are taken from.
+SAMPLED = 1 << 16
 
 
 def bucket_edges(df: DataFrame, cols: Sequence[str], buckets: int | None = None) -> dict[str, list[float]]:
-    """Strictly increasing inner edges per column, about equal rows between them."""
-    def fit(k: int):
-        probs = F.array(*[F.lit(i / k) for i in range(1, k)])
-        accuracy = F.lit(max(10_000, 8 * k))
-        return df.agg(F.count(F.lit(1)).alias("_rows"), *[
-            F.percentile_approx(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), probs, accuracy).alias(c)
-            for c in cols]).first()
+    """Strictly increasing inner edges per column, about equal numbers of distinct values between them.
 
-    k = buckets or MIN_BUCKETS
-    row = fit(k)
-    wanted = min(MAX_BUCKETS, row["_rows"] // ROWS_PER_BUCKET)
-    if buckets is None and wanted > k:  # a large table: fit again with more edges
-        row = fit(wanted)
-    return {c: sorted({x for x in row[c] or [] if math.isfinite(x)}) for c in cols}
+    Edges are quantiles of a sample of the distinct values, taken by their hash: they depend neither on partitions nor on how
+    often a value occurs, no sketches are merged, and no task sees more than a bounded number of values. The
+    sample starts at about SAMPLED values and grows for columns that turn out to have few.
+    """
+    cols = list(cols)
+    rows = df.count()
+    k = buckets or max(MIN_BUCKETS, min(MAX_BUCKETS, rows // ROWS_PER_BUCKET))
+    wanted, share, edges = max(SAMPLED, 4 * k), 1.0, {}
+    if rows > wanted:
+        share = wanted / rows
+    todo = cols
+    while todo:
+        # The kept share of all hash values; 1 keeps every value.
+        keep = (F.lit(True) if share >= 1.0 else
+                F.shiftrightunsigned(F.xxhash64("v"), 1) < F.lit(int(share * (1 << 63))))
+        cells = F.explode(F.array(*[F.struct(F.lit(i).alias("col"), F.col(c).cast("double").alias("v")) for i, c in enumerate(todo)])).alias("c")
+        values = (df.select(cells).select("c.*").filter(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf")))
+                  # -0.0 and 0.0 are one value.
+                  .withColumn("v", F.col("v") + 0.0).filter(keep).groupBy("col", "v").agg(F.count(F.lit(1)).alias("n")))
+        probs = F.array(*[F.lit(i / k) for i in range(1, k)])
+        # About ``wanted`` values per column at most.
+        found = {r["col"]: r for r in values.groupBy("col").agg(F.count(F.lit(1)).alias("d"), F.percentile("v", probs).alias("q")).collect()}
+        few = []
+        for i, c in enumerate(todo):
+            if share < 1.0 and (i not in found or found[i]["d"] < 4 * k):
+                few.append(c)
+            else:
+                edges[c] = sorted(set(found[i]["q"] or [])) if i in found else []
+        todo, share = few, min(1.0, share * 64)
+    return edges
 
 
 def add_buckets(df: DataFrame, cols: Sequence[str], edges: Mapping[str, Sequence[float]],
@@ -179,21 +201,21 @@ def approximate_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[fl
 
 
 def value_at_rank(df: DataFrame, keys: Sequence[str], value: Column, index_of) -> DataFrame:
-    """Per key group, the value at a 0-based index of the ascending order.
+    """Per key group (NULL keys are one), the value at a 0-based index of the ascending order.
 
-    ``index_of`` maps the group's row count column to that index.
+    ``index_of`` maps the group's row count column to that index. Bucket counts tell which bucket of a group holds it; only the
+    values of that bucket are counted, so about one row in a bucket's number moves.
     """
     keys = list(keys)
-    own = keys or ["_all"]
-    base = df.withColumn("_v", value)
-    if not keys:
-        base = base.withColumn("_all", F.lit(1))
-    edges = bucket_edges(base, ["_v"])
-    slots = (add_buckets(base.select(*own, "_v"), ["_v"], edges)
-             .groupBy(*own, "_b__v", "_v").agg(F.count(F.lit(1)).alias("n")))
-    run = running_sums(slots, own, "_b__v", "_v", ["n"], nullable=bool(keys))
-    idx = index_of(F.col("tot_n"))
-    hit = run.filter((F.col("cum_n") - F.col("n") <= idx) & (idx < F.col("cum_n")))
-    out = hit.select(*own, F.col("_v").alias("value"), F.col("tot_n").alias("n"))
-    return out if keys else out.drop("_all")
-
+    own = [f"_k{i}" for i in range(len(keys))] or ["_all"]
+    base = df.select(*([F.col(k).alias(o) for k, o in zip(keys, own)] or [F.lit(1).alias("_all")]), value.alias("_v")).filter("_v IS NOT NULL")
+    bucketed = add_buckets(base, ["_v"], bucket_edges(base, ["_v"]))
+    # One window partition has at most MAX_BUCKETS + 1 counters.
+    counts = bucketed.groupBy(*own, "_b__v").agg(F.count(F.lit(1)).alias("c"))
+    counts = counts.withColumns({"n": F.sum("c").over(Window.partitionBy(*own)), "upto": F.sum("c").over(Window.partitionBy(*own).orderBy("_b__v"))})
+    idx = index_of(F.col("n"))
+    picks = counts.withColumn("before", F.col("upto") - F.col("c")).filter((F.col("before") <= idx) & (idx < F.col("upto"))).select(*own, "_b__v", "n", (idx - F.col("before")).alias("at"))
+    inside = attach(bucketed, picks, [*own, "_b__v"], "inner").groupBy(*own, "n", "at", "_v").agg(F.count(F.lit(1)).alias("c"))
+    run = inside.withColumn("upto", F.sum("c").over(Window.partitionBy(*own).orderBy("_v")))
+    hit = run.filter((F.col("upto") - F.col("c") <= F.col("at")) & (F.col("at") < F.col("upto")))
+    return hit.select(*[F.col(o).alias(k) for k, o in zip(keys, own)], F.col("_v").alias("value"), "n")
