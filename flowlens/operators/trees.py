@@ -14,18 +14,23 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..plans.ordered import add_buckets, bucket_edges, running_sums
-from ..plans.small import attach, ensure_checkpoint_dir, fetch_small, materialise
+from ..plans.small import attach, check_free, ensure_checkpoint_dir, fetch_small, materialise, scratch_path
 from .sample import bootstrap, bootstrap_weighted, resolve_max_features
 
 NODE_SCHEMA = ("tree_id bigint, node_id int, feature int, threshold double, left_id int, right_id int, "
                "value int, prob double, leaf_value double, gain double, n bigint, sum_h double")
 
-# Models up to this many nodes become one expression. Larger ones stay in Spark for tables: blocks of rows meet blocks of
-# trees. A stream cannot add up over blocks: there a larger model is fetched whole, up to MODEL_NODES. The scores are the same.
+# Models up to this many nodes become one expression. Larger ones are stored in blocks of whole trees in the shared folder, and the
+# tasks that hold the rows read them block by block. Where that folder can only be read by Spark, blocks of rows of a table meet
+# blocks of trees; a stream then takes the model through the driver, up to MODEL_NODES. The scores are the same.
 COMPILED_NODES = 2_000
 MODEL_NODES = 20_000_000
-# Trees of about so many nodes, and 2^16 rows, meet in one task.
+# Trees of about so many nodes make a block; a larger tree is a block of its own size.
 BLOCK_NODES = 100_000
+# Bytes of blocks that a worker keeps, and rows that pass over the blocks together.
+CACHE_BYTES, PASS_ROWS = 128 << 20, 1 << 17
+# Scratch column of a sum over trees.
+SUM = "_sum_of_leaves"
 # The bucket of missing values, behind all others.
 MISSING = 1 << 30
 
@@ -336,6 +341,8 @@ def _leaf_sum(df: DataFrame, nodes: DataFrame, features: Sequence[str], leaf: st
     if limit is not None and fetch_small(nodes.select("tree_id"), min(limit, COMPILED_NODES)) is None and nodes.count() > limit:
         raise ValueError(f"more than {limit} nodes: raise the limit or score the trees in parts")
     rows = fetch_small(nodes, COMPILED_NODES)
+    if rows is None and (stored := _stored_sums(nodes, features, leaf)) is not None:
+        return df, *stored
     if rows is None and not df.isStreaming:
         return _block_sums(df, nodes, features, leaf)
     if rows is None:
@@ -354,6 +361,104 @@ def _leaf_sum(df: DataFrame, nodes: DataFrame, features: Sequence[str], leaf: st
     return df, F.lit(0) if total is None else total, len(model)
 
 
+def _readable(path: str) -> str | None:
+    """The address under which tasks can open ``path`` without Spark, or None."""
+    from pyarrow import ArrowException, fs
+
+    address = path.replace("s3a://", "s3://", 1)
+    address = address if "://" in address else "file://" + address.removeprefix("file:")
+    try:
+        fs.FileSystem.from_uri(address)
+    except (ArrowException, OSError, ImportError, ValueError):
+        return None
+    return address
+
+
+def _stored_sums(nodes: DataFrame, features: Sequence[str], leaf: str) -> tuple[Column, int] | None:
+    """The same sum by a map-only column: rows stay where they are and no model passes the driver.
+
+    The node table is written in blocks of whole trees. A task takes its rows over one block after the other, many
+    rows at a time, and keeps the blocks it used last up to CACHE_BYTES; tables and streams run the same plan.
+    """
+    path = scratch_path(nodes.sparkSession, "model")
+    address = _readable(path)
+    if address is None:
+        return None
+    model = nodes.select("tree_id", "node_id", "feature", F.col("threshold").cast("double").alias("threshold"), "left_id", "right_id", F.col(leaf).cast("double").alias("leaf"))
+    size, trees = model.agg(F.count(F.lit(1)), F.count_if(F.col("node_id") == 0)).first()
+    blocks = -(-size // BLOCK_NODES)
+    placed = model.withColumn("block", F.pmod(F.xxhash64("tree_id"), F.lit(blocks)).cast("int"))
+    placed.repartition(blocks, "block").sortWithinPartitions("block", "tree_id", "node_id").write.partitionBy("block").parquet(path)
+    kept, together = CACHE_BYTES, PASS_ROWS
+
+    def block(k: int) -> list:
+        """Flat arrays of each tree of a block."""
+        import sys
+        from collections import OrderedDict
+
+        import numpy as np
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        cache = sys.__dict__.setdefault("_flowlens_blocks", OrderedDict())
+        if (address, k) in cache:
+            cache.move_to_end((address, k))
+            return cache[address, k][1]
+        system, root = fs.FileSystem.from_uri(address)
+        where = fs.FileSelector(f"{root}/block={k}", allow_not_found=True)
+        out, used = [], 0
+        for f in sorted(x.path for x in system.get_file_info(where) if x.path.endswith(".parquet")):
+            with system.open_input_file(f) as source:
+                table = pq.ParquetFile(source).read()
+            tree = table.column("tree_id").to_numpy()
+            columns = [table.column(c).to_numpy() for c in ("node_id", "feature", "threshold", "left_id", "right_id", "leaf")]
+            for part in zip(*(np.split(c, np.flatnonzero(np.diff(tree)) + 1) for c in columns)):
+                ids, feature, threshold, left, right, value = part
+                if len(ids):
+                    out.append((int(np.searchsorted(ids, 0)), feature, threshold, np.searchsorted(ids, left), np.searchsorted(ids, right), value))
+            used += table.nbytes
+        cache[address, k] = used, out
+        while len(cache) > 1 and sum(x[0] for x in cache.values()) > kept:
+            cache.popitem(last=False)
+        return out
+
+    def sums(cells):
+        import numpy as np
+
+        lines, total = np.arange(len(cells)), np.zeros(len(cells))
+        for k in range(blocks):
+            for root, feature, threshold, left, right, value in block(k):
+                here = np.full(len(cells), root)
+                while (inner := feature[here] >= 0).any():
+                    below = cells[lines, np.maximum(feature[here], 0)] <= threshold[here]
+                    here = np.where(inner, np.where(below, left[here], right[here]), here)
+                total += value[here]
+        return total
+
+    def score(batches):
+        import numpy as np
+        import pandas as pd
+
+        held, n = [], 0
+
+        def flush():
+            total = sums(np.concatenate(held))
+            at = np.cumsum([len(h) for h in held])[:-1]
+            return [pd.Series(x) for x in np.split(total, at)]
+
+        for x in batches:
+            held.append(x.to_numpy(dtype=float, na_value=np.nan))
+            n += len(x)
+            if n >= together:
+                yield from flush()
+                held, n = [], 0
+        if held:
+            yield from flush()
+
+    cells = F.struct(*[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)])
+    return F.pandas_udf(score, "double", F.PandasUDFType.SCALAR_ITER)(cells), trees
+
+
 def _block_sums(df: DataFrame, nodes: DataFrame, features: Sequence[str], leaf: str) -> tuple[DataFrame, Column, int]:
     """The same sum with neither the model nor the rows in one place; only two counts reach the driver.
 
@@ -363,6 +468,7 @@ def _block_sums(df: DataFrame, nodes: DataFrame, features: Sequence[str], leaf:
     model = materialise(nodes.select("tree_id", "node_id", "feature", F.col("threshold").cast("double").alias("threshold"), "left_id", "right_id",
                                      F.col(leaf).cast("double").alias("leaf")), "model")
     size, trees = model.agg(F.count(F.lit(1)), F.count_if(F.col("node_id") == 0)).first()
+    check_free(df, (SUM, "_row", "_rows", "_trees"))
     # Numbered from written rows: a task that runs again gives the same numbers.
     rows = materialise(materialise(df, "rows").withColumn("_row", F.monotonically_increasing_id()), "rows")
     blocks = -(-size // BLOCK_NODES)
@@ -394,7 +500,7 @@ def _block_sums(df: DataFrame, nodes: DataFrame, features: Sequence[str], leaf:
     keys = ["_rows", "_trees"]
     sums = (points.groupBy(*keys).cogroup(parts.groupBy(*keys)).applyInPandas(walk, "_row bigint, _sum double")
             .groupBy("_row").agg(F.sum("_sum").alias("_sum")))
-    return rows.join(sums, "_row", "left").drop("_row"), F.col("_sum"), trees
+    return rows.join(sums.withColumnRenamed("_sum", SUM), "_row", "left").drop("_row"), F.col(SUM), trees
 
 
 def _walker(model: Mapping, features: Sequence[str], leaf: str) -> Column:
@@ -430,20 +536,20 @@ def _walker(model: Mapping, features: Sequence[str], leaf: str) -> Column:
 def soft_vote(df: DataFrame, nodes: DataFrame, features: Sequence[str], name: str = "score", limit: int | None = None) -> DataFrame:
     """Mean leaf probability."""
     df, total, trees = _leaf_sum(df, nodes, features, "prob", limit)
-    return df.withColumn(name, total / F.lit(float(trees))).drop("_sum")
+    return df.withColumn(name, total / F.lit(float(trees))).drop(SUM)
 
 
 def majority_vote(df: DataFrame, nodes: DataFrame, features: Sequence[str], name: str = "pred", limit: int | None = None) -> DataFrame:
     """1 when more than half of the trees (rounded down) say 1."""
     df, total, trees = _leaf_sum(df, nodes, features, "value", limit)
-    return df.withColumn(name, F.when(total > trees // 2, 1).otherwise(0)).drop("_sum")
+    return df.withColumn(name, F.when(total > trees // 2, 1).otherwise(0)).drop(SUM)
 
 
 def boosted_score(df: DataFrame, nodes: DataFrame, features: Sequence[str], base: float, rate: float, name: str = "raw",
                   limit: int | None = None) -> DataFrame:
     """base + rate * sum of leaf values."""
     df, total, _ = _leaf_sum(df, nodes, features, "leaf_value", limit)
-    return df.withColumn(name, F.lit(float(base)) + F.lit(float(rate)) * total).drop("_sum")
+    return df.withColumn(name, F.lit(float(base)) + F.lit(float(rate)) * total).drop(SUM)
 
 
 # --- inspection ----------------------------------------------------------------

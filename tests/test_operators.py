@@ -360,6 +360,31 @@ def test_large_model_never_reaches_the_driver(spark, monkeypatch):
     small = T.fetch_small
     monkeypatch.setattr(T, "fetch_small", lambda table, limit: fetched.append(limit) or small(table, limit))
     assert rows() == compiled and fetched and max(fetched) == 10
+    monkeypatch.setattr(T, "_readable", lambda path: None)  # a folder that only Spark can read
+    assert rows() == compiled and max(fetched) == 10
+
+
+def test_blocks_of_a_stored_model(spark, monkeypatch, tmp_path):
+    """A tree larger than a block, a cache smaller than the model, a stream: one plan without join, rows in place."""
+    from flowlens.streaming import score as R
+
+    deep = [(700, i, 0, float(i), 2 * i + 1, 2 * i + 2, 0, 0.0, 0.0) if i < 255 else (700, i, -1, 0.0, -1, -1, i % 2, i / 511, float(i % 9)) for i in range(511)]
+    nodes = cut_twice(spark, 30).unionByName(spark.createDataFrame(deep, cut_twice(spark, 1).schema))
+    df = spark.range(500).selectExpr("id", "cast(id % 300 as double) AS a", "cast(id % 7 as double) AS b", "id AS _sum")
+    monkeypatch.setattr(T, "COMPILED_NODES", 5000)
+    want = T.boosted_score(df, nodes, ["a", "b"], 0.0, 1.0).collect()
+    monkeypatch.setattr(T, "COMPILED_NODES", 10)
+    monkeypatch.setattr(T, "BLOCK_NODES", 40)
+    monkeypatch.setattr(T, "CACHE_BYTES", 1000)
+    monkeypatch.setattr(T, "PASS_ROWS", 64)
+    out = T.boosted_score(df, nodes, ["a", "b"], 0.0, 1.0)
+    assert out.columns == ["id", "a", "b", "_sum", "raw"]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    assert [(r["id"], round(r["raw"], 6)) for r in out.orderBy("id").collect()] == [(r["id"], round(r["raw"], 6)) for r in sorted(want)]
+    df.write.parquet(str(tmp_path / "in"))
+    streamed = R.drain(T.boosted_score(R.open_stream(spark, str(tmp_path / "in"), df.schema), nodes, ["a", "b"], 0.0, 1.0), "stored")
+    assert sorted((r["id"], round(r["raw"], 6)) for r in streamed.collect()) == [(r["id"], round(r["raw"], 6)) for r in sorted(want)]
 
 
 def test_forest_uses_draw_counts_and_feature_subsets(spark):
