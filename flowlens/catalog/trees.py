@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..operators import boosting as G, histograms as H, models as Z, trees as T
+from ..operators import boosting as G, histograms as H, models as Z, network as N, trees as T
 from ..plans.small import ensure_checkpoint_dir
 from . import views as V
 from .registry import query, r, ratio
@@ -442,3 +442,14 @@ def mlp_train(spark, sf):
     scaled = K.transform(df, K.robust_fit(df.filter("split = 'train'"), FEATS))
     model = Z.perceptron_train(scaled.filter("split = 'train'"), FEATS, "y", hidden=(8,), epochs=20)
     return M.evaluate(Z.score(model, scaled.select("split", "y", *FEATS), FEATS), F.col("y"), F.col("score"), ["split"])
+
+
+@query("net_train_balanced")
+def net_train_balanced(spark, sf):
+    """A net trained with balanced classes and a focal loss on all training rows, by gradient sums."""
+    from ..operators import metrics as M, sample as S, scale as K
+
+    df = S.split_stratified(V.flows(spark, sf), "y", ["row_key"], 0.2)
+    scaled = K.transform(df, K.robust_fit(df.filter("split = 'train'"), FEATS))
+    layers, _ = N.train(scaled.filter("split = 'train'"), FEATS, "y", hidden=(8,), steps=40, rate=0.1, loss=N.Loss(gamma=1.0), weights="balanced")
+    return M.evaluate(N.score(scaled.select("split", "y", *FEATS), layers, FEATS), F.col("y"), F.col("score"), ["split"])

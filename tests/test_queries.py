@@ -13,7 +13,7 @@ CATALOG = load()
 QUERIES = {n: f for n, f in entry.queries().items() if n in CATALOG}
 SQL = entry.oracle_sql()
 # Trained models: fewer rows do not make these quick, so they run once in test_training.
-TRAINED = {"gbt_early_stopping", "gbt_train", "mlp_train", "random_forest_nodes", "random_forest_train",
+TRAINED = {"gbt_early_stopping", "gbt_train", "mlp_train", "net_train_balanced", "random_forest_nodes", "random_forest_train",
            "cart_tree_binned", "cart_forest"}
 
 

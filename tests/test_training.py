@@ -11,7 +11,7 @@ def rows(spark, sf, name):
     return [r.asDict() for r in Q[name](spark, sf).collect()]
 
 
-@pytest.mark.parametrize("name", ["random_forest_train", "mlp_train"])
+@pytest.mark.parametrize("name", ["random_forest_train", "mlp_train", "net_train_balanced"])
 def test_classifiers_learn(spark, sf, name):
     got = {r["split"]: r for r in rows(spark, sf, name)}
     assert set(got) == {"train", "test"} and got["test"]["auc"] > 0.9
