@@ -1,10 +1,11 @@
 """Forests and boosted trees grown level by level on a table of bucket numbers.
 
-The training table is written once: per row the bucket of every feature, the label and, for each tree, how often
-the row counts and the open node it stands in. A level is one pass that takes every row one node down and counts the buckets
-of the smaller child of each split; the larger child is its parent minus its sibling. Every few levels the
-rows are written with their new nodes, so no row starts at the root again. All trees of a forest take part in the
-same passes, so the number of jobs follows the depth and not the number of trees or of rounds before.
+The training table is written once, in blocks of some thousand rows whose columns are flat arrays: per row the bucket of
+every feature, the label and, for each tree, how often the row counts and the open node it stands in. A level is one pass that
+takes every row one node down and counts the buckets of the smaller child of each split; the larger child is its parent
+minus its sibling. Every few levels the blocks are written with their new nodes, so no row starts at the root again. All
+trees of a forest take part in the same passes, so the number of jobs follows the depth and not the number of trees or of
+rounds before. A boosting round writes the new scores together with the sums and losses its next round starts from.
 
 Tasks count with numpy and send one sparse row per node, so the shuffle is bounded by tasks x nodes x features x
 buckets. The driver holds the trees, and the bucket sums of a level only while they are few.
@@ -18,13 +19,13 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.cloudpickle import register_pickle_by_value
-from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import expr as X
 from ..plans.ordered import add_buckets, bucket_edges
-from ..plans.small import materialise, scratch_path
+from ..plans.small import discard, materialise, scratch_path, spread
 from . import boosting as G
-from .sample import bootstrap, bootstrap_weighted, resolve_max_features
+from ..plans.ranking import hash_rank
+from .sample import draw_ranks, resolve_max_features
 from .trees import Node, Tree, feature_subset
 
 register_pickle_by_value(sys.modules[__name__])
@@ -35,6 +36,8 @@ TREES_AT_ONCE = 32
 MERGE_BYTES, DRIVER_BYTES = 64 << 20, 8 << 20
 # Levels after which the rows are written with their nodes, and rounds whose samples are drawn together.
 CARRY_LEVELS, DRAWN_ROUNDS = 3, 16
+# Bytes and rows of a block; ranks of one class whose rows make a block of a forest; draws that a task counts at a time.
+BLOCK_BYTES, BLOCK_ROWS, RANKS, DRAWS = 256 << 10, 1 << 16, 1 << 13, 1 << 22
 # Bits of a row's draw that are counted to find the cut of a sample of exact size.
 DRAW_BITS = 16
 
@@ -90,12 +93,63 @@ def _matrix(column, width: int):
     return flat.reshape(-1, width) if width else np.empty((len(column), 0), np.int16)
 
 
-def _listed(matrix, kind):
-    import numpy as np
+# How a column lies in a block: the type of its cells, and how many a row has.
+Layout = dict[str, tuple[str, int]]
+
+
+def _schema(layout: Layout) -> str:
+    return ", ".join(["n int", *[f"{c} binary" for c in layout], "tree int, parent int, at binary, value binary, base binary, losses array<double>"])
+
+
+def _block(layout: Layout, n: int, cells: dict, **rest):
+    """One row: a block of ``n`` rows, or with n = 0 what a task adds up over its blocks."""
     import pyarrow as pa
 
-    flat = pa.array(np.ascontiguousarray(matrix).ravel(), kind)
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1]), flat)
+    kinds = {"tree": pa.int32(), "parent": pa.int32(), "at": pa.binary(), "value": pa.binary(), "base": pa.binary(), "losses": pa.list_(pa.float64())}
+    data = {"n": pa.array([n], pa.int32()), **{c: pa.array([cells[c].tobytes() if c in cells else b""], pa.binary()) for c in layout},
+            **{c: pa.array([rest.get(c)], k) for c, k in kinds.items()}}
+    return pa.RecordBatch.from_arrays([*data.values()], [*data])
+
+
+def _blocks(batches, layout: Layout):
+    """(n, {column: cells}) of each block; cells have one line per feature, tree or value, and a row of the table in each column."""
+    import numpy as np
+
+    for b in batches:
+        size = b.column(b.schema.get_field_index("n"))
+        columns = {c: b.column(b.schema.get_field_index(c)) for c in layout if c in b.schema.names}
+        for i in range(b.num_rows):
+            if n := size[i].as_py():
+                yield n, {c: np.frombuffer(v[i].as_buffer(), layout[c][0]).reshape(layout[c][1], n) for c, v in columns.items()}
+
+
+def _packed(rows: DataFrame, layout: Layout) -> DataFrame:
+    """``rows``, whose columns are numbers and arrays of fixed length, in blocks."""
+    size = max(1, min(BLOCK_ROWS, BLOCK_BYTES // sum(width * int(kind[1:]) for kind, width in layout.values())))
+    names = list(layout)
+
+    def pack(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        held, n = [], 0
+
+        def flush():
+            return _block(layout, n, {c: np.ascontiguousarray(np.concatenate([h[i] for h in held]).T) for i, c in enumerate(names)})
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, size):
+                b = whole.slice(at, size)
+                held.append([(_matrix(b.column(i), layout[c][1]) if pa.types.is_list(b.column(i).type) else b.column(i).to_numpy(zero_copy_only=False)[:, None]).astype(layout[c][0])
+                             for i, c in enumerate(names)])
+                n += b.num_rows
+                if n >= size:
+                    yield flush()
+                    held, n = [], 0
+        if n:
+            yield flush()
+
+    return rows.select(*names).mapInArrow(pack, _schema(layout))
 
 
 def _below(bins, node, splits, levels: int):
@@ -103,14 +157,19 @@ def _below(bins, node, splits, levels: int):
     import numpy as np
 
     node = node.copy() if levels else node
+    n, flat = bins.shape[1], bins.reshape(-1)
     for t, (feature, bucket, left, right) in enumerate(splits if levels else ()):
-        live = np.flatnonzero(node[:, t] >= 0)
+        own = node[t]
+        live = np.flatnonzero(own >= 0)
         for _ in range(levels):
-            f = feature[node[live, t]]
-            live, f = live[f >= 0], f[f >= 0]
-            b, here = bins[live, f], node[live, t]
-            # A missing feature goes right.
-            node[live, t] = np.where((b >= 0) & (b <= bucket[here]), left[here], right[here])
+            here = own[live]
+            f = feature[here]
+            if (f < 0).any():
+                some = f >= 0
+                live, here, f = live[some], here[some], f[some]
+            b = flat[f.astype(np.int64) * n + live]
+            # Bucket numbers are stored plus 1, a missing feature as 0: it goes right.
+            own[live] = np.where((b > 0) & (b <= bucket[here] + 1), left[here], right[here])
     return node
 
 
@@ -127,36 +186,58 @@ def _split_arrays(trees: Sequence[Tree]) -> list:
     return out
 
 
-def _moved(rows: DataFrame, trees: Sequence[Tree], width: int, levels: int) -> DataFrame:
-    """Every row's place some levels down, as a written table."""
-    splits, names = _split_arrays(trees), rows.columns
-    at, to = names.index("bins"), names.index("node")
+def _moved(rows: DataFrame, layout: Layout, trees: Sequence[Tree], levels: int) -> DataFrame:
+    """Every row's place some levels down, as a written table; the one before is given up."""
+    splits = _split_arrays(trees)
 
     def move(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            node = _below(_matrix(b.column(at), width), _matrix(b.column(to), len(splits)), splits, levels)
-            yield pa.RecordBatch.from_arrays([_listed(node, pa.int32()) if i == to else c for i, c in enumerate(b.columns)], names)
+        for n, cells in _blocks(batches, layout):
+            yield _block(layout, n, cells | {"node": _below(cells["bins"], cells["node"], splits, levels)})
 
-    return _written(rows.mapInArrow(move, rows.schema), "rows")
+    out = _written(rows.mapInArrow(move, _schema(layout)), "rows")
+    discard(rows)
+    return out
 
 
 def _written(df: DataFrame, label: str) -> DataFrame:
+    """Blocks are large cells: small row groups keep what a task holds at a time small."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("parquet.enable.dictionary", "false").option("parquet.block.size", str(16 << 20)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _bin_kind(bins: Bins) -> str:
+    return "u1" if bins.width < 256 else "u2"
+
+
+def _add_sums(sums, slot, bins, live, weights, width: int) -> None:
+    """Adds the weights of the rows ``live``, which stand in ``slot``, to the cells (slot, feature, bucket) of ``sums``."""
+    import numpy as np
+
+    m, size = len(bins), len(sums)
+    for f in range(m):
+        where = slot * (m * width) + (f * width) + bins[f][live]
+        for s, w in enumerate(weights):
+            sums[:, s] += np.bincount(where, w, size)
+
+
+def _sparse(own):
+    import numpy as np
+
+    some = np.flatnonzero(own.any(axis=1)).astype(np.int32)
+    return some.tobytes(), own[some].tobytes()
+
+
 SUMS = "tree int, parent int, at binary, value binary, base binary"
 
 
-def _counted(rows: DataFrame, trees: Sequence[Tree], levels: int, slots: Sequence[dict[int, int]], bins: Bins, stats: int, weigh: Callable) -> DataFrame:
-    """Bucket sums of the nodes in ``slots`` ({node: parent} per tree), one sparse row per task and node."""
+def _counted(rows: DataFrame, layout: Layout, trees: Sequence[Tree], levels: int, slots: Sequence[dict[int, int]], bins: Bins, stats: int, weigh: Callable) -> DataFrame:
+    """Bucket sums of the nodes in ``slots`` ({node: parent} per tree), one sparse row per task and node.
+
+    ``weigh`` gives the weights of some rows of a block in a tree, one array per statistic.
+    """
     m, width = len(bins.features), bins.width + 1
     splits, sizes = _split_arrays(trees), [max(len(t.nodes), 1) for t in trees]
-    names = rows.columns
-    at, to = names.index("bins"), names.index("node")
 
     def count(batches):
         import numpy as np
@@ -168,29 +249,26 @@ def _counted(rows: DataFrame, trees: Sequence[Tree], levels: int, slots: Sequenc
             p[list(nodes)] = np.arange(len(nodes))
             place.append(p)
         held = [np.zeros((len(nodes) * m * width, stats)) for nodes in slots]
-        for b in batches:
-            found = _matrix(b.column(at), m)
-            cell = found.astype(np.int64) + 1 + np.arange(m) * width
-            node, weights = _below(found, _matrix(b.column(to), len(slots)), splits, levels), weigh(b)
+        for n, cells in _blocks(batches, layout):
+            node = _below(cells["bins"], cells["node"], splits, levels)
             for t, sums in enumerate(held):
-                live = np.flatnonzero(node[:, t] >= 0)
-                slot = place[t][node[live, t]]
-                live, slot = live[slot >= 0], slot[slot >= 0]
-                where = (slot[:, None] * (m * width) + cell[live]).ravel()
-                for s in range(stats):
-                    sums[:, s] += np.bincount(where, np.repeat(weights[s][live, t], m), len(sums))
+                live = np.flatnonzero(node[t] >= 0)
+                slot = place[t][node[t][live]]
+                if (slot < 0).any():
+                    live, slot = live[slot >= 0], slot[slot >= 0]
+                if len(live):
+                    _add_sums(sums, slot, cells["bins"], live, weigh(cells, t, live), width)
         out = []
         for t, (nodes, sums) in enumerate(zip(slots, held)):
             for k, parent in enumerate(nodes.values()):
-                own = sums[k * m * width:(k + 1) * m * width]
-                some = np.flatnonzero(own.any(axis=1)).astype(np.int32)
-                if len(some):
-                    out.append((t, parent, some.tobytes(), own[some].tobytes(), None))
+                at, value = _sparse(sums[k * m * width:(k + 1) * m * width])
+                if at:
+                    out.append((t, parent, at, value, None))
         cols = list(zip(*out)) or [()] * 5
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["tree", "parent", "at", "value", "base"])
 
-    return rows.mapInArrow(count, SUMS)
+    return rows.select("n", *layout).mapInArrow(count, SUMS)
 
 
 # --- the merge ------------------------------------------------------------------------------
@@ -282,10 +360,13 @@ def _merged(sums: DataFrame, parents: DataFrame | None, children: dict, allowed:
     return both.repartition(tasks, "tree", "parent").mapInArrow(merge, FOUND)
 
 
-def _grow(rows: DataFrame, trees: int, bins: Bins, names: Sequence[str], weigh: Callable, gains: Callable, max_depth: int,
+def _grow(rows: DataFrame, layout: Layout, trees: int, bins: Bins, names: Sequence[str], weigh: Callable, gains: Callable, max_depth: int,
           may_split: Callable[[Node], bool], accept: Callable[[float], bool], subset: Callable[[int, int], Sequence[int]] | None = None,
-          counts: Sequence[str] = ("n",)) -> tuple[list[Tree], DataFrame, int]:
-    """Trees over the rows' open nodes; returns them, the rows and how many levels these stand above their leaves."""
+          counts: Sequence[str] = ("n",), first: DataFrame | None = None) -> tuple[list[Tree], DataFrame, int]:
+    """Trees over the rows' open nodes; returns them, the rows and how many levels these stand above their leaves.
+
+    ``first`` has the sums of the roots, when they were counted before.
+    """
     import numpy as np
 
     spark, k, m = rows.sparkSession, len(names), len(bins.features)
@@ -300,7 +381,8 @@ def _grow(rows: DataFrame, trees: int, bins: Bins, names: Sequence[str], weigh:
     for depth in range(max_depth):
         allowed = {} if subset is None else {(t, c): list(subset(t, c)) for (t, _), pair in children.items() for c in pair if c >= 0}
         tasks = max(1, -(-len(children) * 3 * per_node // MERGE_BYTES), min(len(children), spark.sparkContext.defaultParallelism))
-        found = _merged(_counted(rows, grown, levels, slots, bins, k, weigh), parents, children, allowed, bins, k, gains, tasks)
+        sums = first if depth == 0 and first is not None else _counted(rows, layout, grown, levels, slots, bins, k, weigh)
+        found = _merged(sums, parents, children, allowed, bins, k, gains, tasks)
         few = 2 * len(children) * per_node <= DRIVER_BYTES
         if not few:
             found = _written(found, "nodes")
@@ -336,7 +418,7 @@ def _grow(rows: DataFrame, trees: int, bins: Bins, names: Sequence[str], weigh:
         else:
             parents = found.join(F.broadcast(spark.createDataFrame(sorted(children), "tree int, node int")), ["tree", "node"], "left_semi")
         if levels == CARRY_LEVELS and depth + 1 < max_depth:
-            rows, levels = _moved(rows, grown, m, levels), 0
+            rows, levels = _moved(rows, layout, grown, levels), 0
     return grown, rows, levels
 
 
@@ -356,27 +438,92 @@ def forest(df: DataFrame, features: Sequence[str], y: str, keys: Sequence[str],
     df = df.filter(F.col(y).isNotNull())
     bins = bins or fit_bins(df, features, buckets)
     narrow = bins.apply(df.select(*keys, *features, F.col(y))).select(*keys, F.col(y).cast("int").alias("_y"), "bins")
-    drawn = bootstrap(narrow, keys, trees, seed) if weights is None else bootstrap_weighted(narrow, "_y", keys, trees, weights, seed)
+    narrow = materialise(narrow, "binned")
     k, out = resolve_max_features(max_features, len(bins.features)), []
     for first in range(0, trees, TREES_AT_ONCE):
         own = range(first, min(first + TREES_AT_ONCE, trees))
-        # One row for all draws of a row.
-        times = F.array(*[F.sum(F.when(F.col("tree") == t, F.col("times")).otherwise(0)).cast("int") for t in own])
-        rows = (drawn.filter(F.col("tree").between(own[0], own[-1])).groupBy(*keys).agg(F.first("bins").alias("bins"), F.first("_y").alias("y"), times.alias("times"))
-                .select("bins", "y", "times", F.transform("times", lambda n: F.when(n > 0, 0).otherwise(-1)).alias("node")))
-        rows = _written(rows, "bags")
-
-        def weigh(b, size=len(own)):
-            times = _matrix(b.column(2), size)
-            return times, times * b.column(1).to_numpy(zero_copy_only=False)[:, None]
-
-        grown, _, _ = _grow(rows, len(own), bins, ["n", "pos"], weigh, lambda cum, total: gini_gains(cum, total, min_leaf), max_depth,
-                         may_split=lambda v: v.n >= min_split and 0 < v.stats["pos"] < v.n, accept=lambda g: g is not None,
-                         subset=lambda t, i, first=first: feature_subset(bins.features, k, f"{seed}|{first + t}|{i}"), counts=("n", "pos"))
+        layout = {"bins": (_bin_kind(bins), len(bins.features)), "y": ("u1", 1), "times": ("i4", len(own)), "node": ("i4", len(own))}
+        rows = _bags(narrow, keys, own, weights, seed, layout)
+
+        def weigh(cells, t, live):
+            times = cells["times"][t][live]
+            return times, times * cells["y"][0][live]
+
+        grown, rows, _ = _grow(rows, layout, len(own), bins, ["n", "pos"], weigh, lambda cum, total: gini_gains(cum, total, min_leaf), max_depth,
+                            may_split=lambda v: v.n >= min_split and 0 < v.stats["pos"] < v.n, accept=lambda g: g is not None,
+                            subset=lambda t, i, first=first: feature_subset(bins.features, k, f"{seed}|{first + t}|{i}"), counts=("n", "pos"))
+        discard(rows)
         out += grown
     return out
 
 
+def _bags(narrow: DataFrame, keys: Sequence[str], own: range, weights, seed: int, layout: Layout) -> DataFrame:
+    """Blocks of the rows that some tree of ``own`` drew, with the times each tree did.
+
+    Draws are ranks in a class. Tasks count theirs per stretch of ranks and send the counts as flat arrays; the rows
+    of a stretch meet them in one task, where they become a block. A row moves once, whatever the number of trees.
+    """
+    size, step, strata = len(own), RANKS, [] if weights is None else ["_y"]
+    draws = draw_ranks(narrow, "_y", own, weights, seed).select("tree", *(strata or [F.lit(0).alias("_y")]), "_rank")
+
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        held, n = [], 0
+
+        def flush():
+            tree, y, rank = (np.concatenate([h[i] for h in held]) for i in range(3))
+            codes, code = np.unique(y, return_inverse=True)
+            # Class, rank and tree in one number, so one sort counts them.
+            top = int(rank.max()) + 1
+            cell, times = np.unique((code * top + rank) * size + (tree - own.start), return_counts=True)
+            code, rest = np.divmod(cell, top * size)
+            part, at = np.divmod(rest, step * size)
+            cuts = np.flatnonzero((np.diff(part) != 0) | (np.diff(code) != 0)) + 1
+            starts = np.concatenate([[0], cuts])
+            at, times = at.astype(np.int32), times.astype(np.int32)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(codes[code[starts]], pa.int32()), pa.array(part[starts], pa.int64()), pa.array([x.tobytes() for x in np.split(at, cuts)], pa.binary()),
+                 pa.array([x.tobytes() for x in np.split(times, cuts)], pa.binary())], ["_y", "_part", "at", "times"])
+
+        for b in batches:
+            held.append([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)])
+            n += b.num_rows
+            if n >= DRAWS:
+                yield flush()
+                held, n = [], 0
+        if n:
+            yield flush()
+
+    # Ranks start at 1.
+    counts = draws.withColumn("_rank", F.col("_rank") - 1).mapInArrow(count, "_y int, _part long, at binary, times binary")
+    ranked = hash_rank(narrow, strata, keys, seed, "_rank").select(
+        *(strata or [F.lit(0).alias("_y")]), F.col("_y").alias("y"), F.floor((F.col("_rank") - 1) / step).cast("long").alias("_part"),
+        ((F.col("_rank") - 1) % step).cast("int").alias("place"), "bins")
+
+    def meet(rows, drawn):
+        import numpy as np
+        import pyarrow as pa
+
+        times = np.zeros((step, size), np.int32)
+        for at, n in zip(drawn.column("at").to_pylist(), drawn.column("times").to_pylist()):
+            times.reshape(-1)[np.frombuffer(at, np.int32)] += np.frombuffer(n, np.int32)
+        rows = rows.combine_chunks()
+        mine = times[rows.column("place").to_numpy()] if len(rows) else times[:0]
+        keep = np.flatnonzero(mine.any(axis=1))
+        mine = mine[keep].T
+        cells = {}
+        if len(keep):
+            found = np.stack([np.concatenate([_matrix(c, layout["bins"][1]) for c in rows.column("bins").chunks])])[0][keep]
+            cells = {"bins": found.T + 1, "y": rows.column("y").to_numpy()[keep], "times": mine, "node": np.where(mine > 0, 0, -1)}
+        return pa.Table.from_batches([_block(layout, len(keep), {c: np.ascontiguousarray(v.astype(layout[c][0])) for c, v in cells.items()})])
+
+    keyed = ["_y", "_part"]
+    met = ranked.groupBy(*keyed).cogroup(counts.groupBy(*keyed)).applyInArrow(meet, _schema(layout))
+    return _written(met, "bags")
+
+
 # --- boosting -----------------------------------------------------------------------------------
 
 def _draw(key, seed: int, turn: int):
@@ -390,49 +537,77 @@ def _draw(key, seed: int, turn: int):
         return x ^ (x >> np.uint64(31))
 
 
-def _advance(rows: DataFrame, tree: Tree | None, levels: int, lam: float, rate: float, m: int) -> tuple[DataFrame, float | None, float | None]:
-    """Scores with the newest tree's leaf values added, the gradients of the next round, written, and the mean losses of
-    training and held rows, observed while writing."""
+def _gradients(raw, y):
+    import numpy as np
+
+    small = np.exp(-np.abs(raw))
+    p = np.where(raw >= 0, 1 / (1 + small), small / (1 + small))
+    return p, p - y, np.maximum(p * (1 - p), 1e-7)
+
+
+def _weights(cells, live, cut: int, seed: int, turn: int):
+    """Rows of ``live`` that the round's sample has, and their statistics."""
+    import numpy as np
+
+    some = (cells["held"][0][live] == 0) & (_draw(cells["key"][0][live], seed, turn) <= np.uint64(cut))
+    _, g, h = _gradients(cells["raw"][0][live], cells["y"][0][live])
+    return some, some * g, some * h
+
+
+def _advance(rows: DataFrame, layout: Layout, tree: Tree | None, levels: int, lam: float, rate: float, bins: Bins, turn: int, cut: int | None, seed: int) -> DataFrame:
+    """Scores with the newest tree's leaf values added, written.
+
+    Each task also writes the losses of its training and held rows, and the root's sums of round ``turn`` if it has a cut.
+    """
     import numpy as np
 
     leaf = np.zeros(1) if tree is None else np.array([rate * (-v.stats["g"] / (v.stats["h"] + lam)) for _, v in sorted(tree.nodes.items())])
-    splits, names = _split_arrays([tree] if tree else []), rows.columns
-    at = {c: names.index(c) for c in names}
+    splits, m, width = _split_arrays([tree] if tree else []), len(bins.features), bins.width + 1
 
     def go(batches):
         import numpy as np
-        import pyarrow as pa
 
-        for b in batches:
-            node = _below(_matrix(b.column(at["bins"]), m), _matrix(b.column(at["node"]), 1), splits, levels)[:, 0]
-            raw = b.column(at["raw"]).to_numpy() + leaf[node]
-            y = b.column(at["y"]).to_numpy().astype(float)
-            small = np.exp(-np.abs(raw))
-            p = np.where(raw >= 0, 1 / (1 + small), small / (1 + small))
-            new = {"raw": pa.array(raw), "g": pa.array(p - y), "h": pa.array(np.maximum(p * (1 - p), 1e-7)), "node": _listed(np.zeros((len(raw), 1), np.int32), pa.int32())}
-            yield pa.RecordBatch.from_arrays([new.get(c, b.column(i)) for c, i in at.items()], names)
-
-    seen = Observation()
-    loss = X.bce(F.col("y"), X.sigmoid(F.col("raw")), False, 1e-7)
-    held = F.col("held")
-    out = _written(rows.mapInArrow(go, rows.schema).observe(seen, F.avg(F.when(~held, loss)).alias("train"), F.avg(F.when(held, loss)).alias("valid")), "scores")
-    return out, seen.get["train"], seen.get["valid"]
-
-
-def _cuts(rows: DataFrame, seed: int, turns: range, share: float) -> dict[int, int]:
+        sums, losses = np.zeros((m * width, 3)), np.zeros(4)
+        for n, cells in _blocks(batches, layout):
+            node = _below(cells["bins"], cells["node"], splits, levels)[0]
+            cells |= {"raw": cells["raw"] + leaf[node], "node": np.zeros((1, n), layout["node"][0])}
+            y, held = cells["y"][0], cells["held"][0] == 1
+            p = np.clip(_gradients(cells["raw"][0], y)[0], 1e-7, 1 - 1e-7)
+            loss = -np.log(np.where(y == 1, p, 1 - p))
+            losses += [loss[~held].sum(), (~held).sum(), loss[held].sum(), held.sum()]
+            if cut is not None:
+                every = np.arange(n)
+                _add_sums(sums, np.zeros(n, np.int64), cells["bins"], every, _weights(cells, every, cut, seed, turn), width)
+            yield _block(layout, n, cells)
+        at, value = _sparse(sums)
+        yield _block(layout, 0, {}, tree=0, parent=0, at=at, value=value, losses=losses.tolist())
+
+    out = _written(rows.select("n", *layout).mapInArrow(go, _schema(layout)), "scores")
+    discard(rows)
+    return out
+
+
+def _losses(rows: DataFrame) -> tuple[float | None, float | None]:
+    """Mean losses of training and held rows."""
+    t, n, v, k = rows.filter("n = 0").agg(*[F.sum(F.col("losses")[i]) for i in range(4)]).first()
+    return (t / n if n else None), (v / k if k else None)
+
+
+def _cuts(rows: DataFrame, layout: Layout, seed: int, turns: range, share: float) -> dict[int, int]:
     """Per round the draw up to which rows are sampled, so that ceil(share * n) of them are; all rounds in two passes."""
     if share >= 1.0:
         return dict.fromkeys(turns, (1 << 64) - 1)
-    train = rows.filter("NOT held").select("key")
+    train = rows.filter("n > 0").select("n", "held", "key")
 
     def count(batches):
         import numpy as np
         import pyarrow as pa
 
         slots = np.zeros((len(turns), 1 << DRAW_BITS), np.int64)
-        for b in batches:
+        for _, cells in _blocks(batches, layout):
+            key = cells["key"][0][cells["held"][0] == 0]
             for k, t in enumerate(turns):
-                slots[k] += np.bincount((_draw(b.column(0).to_numpy(), seed, t) >> np.uint64(64 - DRAW_BITS)).astype(np.int64), minlength=1 << DRAW_BITS)
+                slots[k] += np.bincount((_draw(key, seed, t) >> np.uint64(64 - DRAW_BITS)).astype(np.int64), minlength=1 << DRAW_BITS)
         k, slot = np.nonzero(slots)
         yield pa.RecordBatch.from_arrays([pa.array(k + turns.start), pa.array(slot), pa.array(slots[k, slot])], ["turn", "slot", "n"])
 
@@ -447,9 +622,10 @@ def _cuts(rows: DataFrame, seed: int, turns: range, share: float) -> dict[int, i
         import numpy as np
         import pyarrow as pa
 
-        for b in batches:
+        for _, cells in _blocks(batches, layout):
+            key = cells["key"][0][cells["held"][0] == 0]
             for t, (slot, _) in picks.items():
-                draw = _draw(b.column(0).to_numpy(), seed, t)
+                draw = _draw(key, seed, t)
                 draw = draw[draw >> np.uint64(64 - DRAW_BITS) == slot].view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(draw), t)), pa.array(draw)], ["turn", "draw"])
 
@@ -474,37 +650,42 @@ def boost(df: DataFrame, features: Sequence[str], y: str, keys: Sequence[str], r
                      ("colsample", 0 < colsample <= 1), ("lam", lam >= 0), ("max_depth", max_depth >= 1)):
         if not ok:
             raise ValueError(f"bad value for {name}")
-    df = df.filter(F.col(y).isNotNull())
-    if base is None:
-        base = G.base_score(df, F.col(y)).first()["base_score"]
-    bins = fit_bins(df, features, buckets)
+    features = list(features)
 
     def narrow(rows: DataFrame, held: bool) -> DataFrame:
-        return bins.apply(rows.select(*keys, *features, F.col(y))).select(
-            "bins", F.col(y).cast("int").alias("y"), F.lit(held).alias("held"), F.xxhash64(*keys).alias("key"), F.lit(float(base)).alias("raw"),
-            F.lit(0.0).alias("g"), F.lit(0.0).alias("h"), F.array(F.lit(0)).alias("node"))
-
-    rows = narrow(df, False)
-    if valid is not None:
-        rows = rows.unionByName(narrow(valid.filter(F.col(y).isNotNull()), True))
-    model, m = G.BoostedModel(float(base), rate, lam, bins.features), len(bins.features)
-    rows = _advance(materialise(rows, "binned"), None, 0, lam, rate, m)[0]
-    best, best_len, waited, cuts = math.inf, 0, 0, {}
+        return rows.filter(F.col(y).isNotNull()).select(*features, F.col(y).alias("_y"), F.lit(held).alias("_held"), F.xxhash64(*keys).alias("_key"))
+
+    both = materialise(narrow(df, False) if valid is None else narrow(df, False).unionByName(narrow(valid, True)), "narrow")
+    df = both.filter("NOT _held")
+    if base is None:
+        base = G.base_score(df, F.col("_y")).first()["base_score"]
+    bins = fit_bins(df, features, buckets)
+    model = G.BoostedModel(float(base), rate, lam, bins.features)
+    layout = {"bins": (_bin_kind(bins), len(features)), "y": ("u1", 1), "held": ("u1", 1), "key": ("i8", 1), "raw": ("f8", 1), "node": ("i4", 1)}
+    rows = _packed(bins.apply(both).select(
+        F.transform("bins", lambda b: b + 1).alias("bins"), F.col("_y").cast("int").alias("y"), F.col("_held").cast("int").alias("held"), F.col("_key").alias("key"),
+        F.lit(float(base)).alias("raw"), F.lit(0).alias("node")), layout)
+    rows, cuts = _written(rows, "binned"), {}
+
+    def cut(t: int) -> int | None:
+        if t not in cuts and t < rounds:
+            cuts.update(_cuts(rows, layout, seed, range(t, min(rounds, t + DRAWN_ROUNDS)), subsample))
+        return cuts.get(t)
+
+    rows = _advance(rows, layout, None, 0, lam, rate, bins, 0, cut(0), seed)
+    best, best_len, waited = math.inf, 0, 0
     for t in range(rounds):
-        if t not in cuts:
-            cuts = _cuts(rows, seed, range(t, min(rounds, t + DRAWN_ROUNDS)), subsample)
         chosen = G.column_subset(bins.features, colsample, f"{seed}|{t}")
 
-        def weigh(b, cut=cuts[t], t=t):
-            import numpy as np
-
-            w = ((_draw(b.column(3).to_numpy(), seed, t) <= np.uint64(cut)) & ~b.column(2).to_numpy(zero_copy_only=False).astype(bool)).astype(float)[:, None]
-            return w, w * b.column(5).to_numpy()[:, None], w * b.column(6).to_numpy()[:, None]
+        def weigh(cells, _, live, t=t, upto=cut(t)):
+            return _weights(cells, live, upto, seed, t)
 
-        (tree,), rows, levels = _grow(rows, 1, bins, ["n", "g", "h"], weigh, lambda cum, total: newton_gains(cum, total, lam, gamma, min_child), max_depth,
-                              may_split=lambda v: v.n >= 2, accept=lambda g: g is not None and g > 0.0, subset=lambda *_: chosen)
+        roots = rows.filter("n = 0").select("tree", "parent", "at", "value", "base")
+        (tree,), rows, levels = _grow(rows, layout, 1, bins, ["n", "g", "h"], weigh, lambda cum, total: newton_gains(cum, total, lam, gamma, min_child), max_depth,
+                              may_split=lambda v: v.n >= 2, accept=lambda g: g is not None and g > 0.0, subset=lambda *_: chosen, first=roots)
         model.trees.append(tree)
-        rows, train_loss, val_loss = _advance(rows, tree, levels, lam, rate, m)
+        rows = _advance(rows, layout, tree, levels, lam, rate, bins, t + 1, cut(t + 1), seed)
+        train_loss, val_loss = _losses(rows)
         model.log.append({"round": t + 1, "train_loss": train_loss, "val_loss": val_loss})
         if val_loss is not None and patience is not None:
             if val_loss < best - 1e-7:
@@ -513,6 +694,7 @@ def boost(df: DataFrame, features: Sequence[str], y: str, keys: Sequence[str], r
                 waited += 1
                 if waited >= patience:
                     break
+    discard(rows)
     if valid is not None and patience is not None:
         model.trees = model.trees[:best_len]
     return model

@@ -235,12 +235,7 @@ def bootstrap(df: DataFrame, keys: Sequence[str], trees: int, seed=42, method: s
         return fanned.withColumn("times", times.cast("bigint")).filter("times > 0")
     if method != "exact":
         raise ValueError(f"unknown bootstrap method {method!r}")
-    n = df.count()
-    draws = (df.sparkSession.range(n * trees)
-             .select(F.floor(F.col("id") / F.lit(max(n, 1))).cast("int").alias("tree"),
-                     (F.col("id") % F.lit(max(n, 1))).alias("_d"))
-             .withColumn("_rank", hash_pick(seed, F.lit(n), "tree", "_d") + 1))
-    return _join_draws(df, draws, [], keys, seed)
+    return _join_draws(df, draw_ranks(df, None, range(trees), None, seed), [], keys, seed)
 
 
 def bootstrap_weighted(df: DataFrame, label: str, keys: Sequence[str], trees: int, weights="balanced",
@@ -250,22 +245,28 @@ def bootstrap_weighted(df: DataFrame, label: str, keys: Sequence[str], trees: in
     Weights depend on the class only, so a draw picks a class by its total mass, from a table of cumulative masses, and then
     a row of that class uniformly. Any number of classes; NULL is one.
     """
+    return _join_draws(df, draw_ranks(df, label, range(trees), weights, seed), [label], keys, seed)
+
+
+def draw_ranks(df: DataFrame, label: str | None, trees: range, weights, seed) -> DataFrame:
+    """(tree, label, _rank): n draws per tree, each the rank of a row in its class; without weights (tree, _rank) over all rows."""
+    n = df.count()
+    draws = (df.sparkSession.range(n * trees.start, n * trees.stop)
+             .select(F.floor(F.col("id") / F.lit(max(n, 1))).cast("int").alias("tree"),
+                     (F.col("id") % F.lit(max(n, 1))).alias("_d")))
+    if weights is None:
+        return draws.withColumn("_rank", hash_pick(seed, F.lit(n), "tree", "_d") + 1)
     classes = class_sizes(df, label)
     if weights == "balanced":
         table = _mass_table(classes, label, F.lit(1.0))
     else:
         table = _mass_table(_weighted(classes, df, label, weights), label, F.col("_w") * F.col("_n"))
-    n = df.count()
-    draws = (df.sparkSession.range(n * trees)
-             .select(F.floor(F.col("id") / F.lit(max(n, 1))).cast("int").alias("tree"),
-                     (F.col("id") % F.lit(max(n, 1))).alias("_d"))
-             .withColumn("_u", hash_pick(f"{seed}c", F.lit(1 << 32), "tree", "_d", digits=8) / F.lit(float(1 << 32)))
+    draws = (draws.withColumn("_u", hash_pick(f"{seed}c", F.lit(1 << 32), "tree", "_d", digits=8) / F.lit(float(1 << 32)))
              .withColumn("_cell", F.floor(F.col("_u") * MASS_CELLS)))
     # A class lies in the cells it covers: as many rows as classes and cells together. Draws are even over the cells.
     cells = table.filter("_hi > _lo").withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_lo") * MASS_CELLS), F.least(F.floor(F.col("_hi") * MASS_CELLS), F.lit(MASS_CELLS - 1)))))
     met = attach(draws, cells, ["_cell"], "inner").filter("_u >= _lo AND _u < _hi")
-    met = met.select("tree", "_d", label, (hash_pick(seed, F.col("_n"), "tree", "_d") + 1).alias("_rank"))
-    return _join_draws(df, met, [label], keys, seed)
+    return met.select("tree", "_d", label, (hash_pick(seed, F.col("_n"), "tree", "_d") + 1).alias("_rank"))
 
 
 def row_subsample(df: DataFrame, keys: Sequence[str], frac: float, seed, round_no: int) -> DataFrame:

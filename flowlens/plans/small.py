@@ -114,11 +114,28 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     Later jobs then scan narrow columnar files, pruned to the columns they use,
     instead of repeating the work; losing an executor loses nothing.
     """
+    return written(spread(df), label)
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``materialise`` without spreading: the rows stay in their partitions."""
     path = scratch_path(df.sparkSession, label)
-    spread(df).write.parquet(path)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of an intermediate table that nothing reads any more."""
+    spark = df.sparkSession
+    for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _delete(spark, root)
+
+
+def _delete(spark, root: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 _WORKSPACES: list[str] = []
 
 
@@ -133,8 +150,7 @@ def workspace(spark):
         yield root
     finally:
         _WORKSPACES.remove(root)
-        where = spark._jvm.org.apache.hadoop.fs.Path(root)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(spark, root)
 
 
 def scratch_path(spark, label: str) -> str:

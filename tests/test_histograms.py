@@ -97,3 +97,18 @@ def test_tables_without_a_split(spark):
     assert [len(t.nodes) for t in model.trees] == [1, 1]
     with pytest.raises(ValueError):
         H.boost(spark.createDataFrame([], kind), FEATS, "y", ["id"], rounds=0)
+
+
+def test_rounds_and_levels_leave_no_tables_behind(spark, table):
+    """Scratch space follows the rows, not the rounds or levels; the sums in blocks are those of single rows."""
+    import os
+
+    from flowlens.plans.small import workspace
+
+    with workspace(spark) as root:
+        model = H.boost(table, FEATS, "y", ["id"], rounds=2, max_depth=4)
+        grown = H.forest(table, FEATS, "y", ["id"], trees=2, max_depth=5)
+        left = sorted(x.split("-")[0] for x in os.listdir(root))
+    assert left == ["binned", "narrow"]
+    labelled = table.filter("y IS NOT NULL").count()
+    assert all(t.nodes[0].n == labelled for t in grown) and len(model.log) == 2
