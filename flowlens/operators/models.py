@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
@@ -25,7 +25,12 @@ def forest_train(df: DataFrame, features: Sequence[str], y: str, trees: int = 10
     stage = RandomForestClassifier(
         featuresCol="_features", labelCol=y, weightCol="_w", numTrees=trees, maxDepth=max_depth,
         minInstancesPerNode=min_leaf, featureSubsetStrategy=str(k), seed=seed, maxBins=64)
-    return stage.fit(assemble(spread(ready.select(*features, F.col(y).cast("double").alias(y), "_w")), features))
+    model = stage.fit(assemble(spread(ready.select(*features, F.col(y).cast("double").alias(y), "_w")), features))
+    # A fitted forest carries its training summary, and with it the session, into every scoring task; the session cannot be
+    # sent once a query of it was observed. The saved form has no summary.
+    path = scratch_path(df.sparkSession, "forest")
+    model.write().save(path)
+    return RandomForestClassificationModel.load(path)
 
 
 def score(model, df: DataFrame, features: Sequence[str], name: str = "score") -> DataFrame:

@@ -17,6 +17,19 @@ def test_classifiers_learn(spark, sf, name):
     assert set(got) == {"train", "test"} and got["test"]["auc"] > 0.9
 
 
+def test_forest_scores_after_an_observed_query(spark):
+    """An observed query leaves a part in the session that cannot be sent to a task."""
+    from pyspark.sql import Observation, functions as F
+
+    from flowlens.operators import models as Z
+
+    df = spark.range(400).selectExpr("cast(id % 20 as double) AS a", "cast(id % 7 as double) AS b", "cast(id % 20 > 9 as int) AS y")
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    model = Z.forest_train(df, ["a", "b"], "y", trees=3, max_depth=3)
+    assert seen.get["n"] == 400 and Z.score(model, df, ["a", "b"]).filter("(score >= 0.5) = (y = 1)").count() == 400
+
+
 def test_forest_nodes_give_importances(spark, sf):
     got = rows(spark, sf, "random_forest_nodes")
     assert sum(r["importance"] for r in got) == pytest.approx(1.0, abs=1e-4)
