@@ -8,15 +8,19 @@ Rows go left when x <= threshold.
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..plans.ordered import add_buckets, bucket_edges, running_sums
-from ..plans.small import attach, check_free, ensure_checkpoint_dir, fetch_small, materialise, scratch_path
+from ..plans.small import attach, check_free, ensure_checkpoint_dir, fetch_small, materialise, scratch_path, settle, spread
 from .sample import bootstrap, bootstrap_weighted, resolve_max_features
 
+register_pickle_by_value(sys.modules[__name__])
+
 NODE_SCHEMA = ("tree_id bigint, node_id int, feature int, threshold double, left_id int, right_id int, "
                "value int, prob double, leaf_value double, gain double, n bigint, sum_h double")
 
@@ -29,6 +33,8 @@ MODEL_NODES = 20_000_000
 BLOCK_NODES = 100_000
 # Bytes of blocks that a worker keeps, and rows that pass over the blocks together.
 CACHE_BYTES, PASS_ROWS = 128 << 20, 1 << 17
+# Cells of a grid on which leaves with bounds on one or two features are added up.
+GRID_CELLS = 1 << 20
 # Scratch column of a sum over trees.
 SUM = "_sum_of_leaves"
 # The bucket of missing values, behind all others.
@@ -289,22 +295,30 @@ def route_join(df: DataFrame, nodes: DataFrame, features: Sequence[str], keep: S
                max_depth: int = 64) -> DataFrame:
     """Leaf of every (row, tree) for models too large to compile.
 
-    Each step joins the current node of every pair to the node table (broadcast
-    only if its size was checked); finished pairs leave the loop. State is cut by
+    A node table that may be broadcast (its size is checked) takes every pair down in one stage, as many steps as its
+    deepest path has. Beyond that size, each step joins the current node of every pair by shuffle, and state is cut by
     checkpoints in the shared folder, which survive lost executors.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    x = F.array(*[F.col(f).cast("double") for f in features])
-    roots = nodes.filter("node_id = 0").select("tree_id")
+    leaf_cols = ["feature", "threshold", "left_id", "right_id", "value", "prob", "leaf_value"]
+    table, small = settle(nodes.select("tree_id", "node_id", *leaf_cols))
+    roots = table.filter("node_id = 0").select("tree_id")
     trees = fetch_small(roots, 100_000)
-    base = df.select(*keep, x.alias("_x"))
     if trees is None:
         raise ValueError("more than 100000 trees: score the model in parts")
+    x = F.array(*[F.col(f).cast("double") for f in features])
     ids = F.array(*[F.lit(int(r["tree_id"])).cast("bigint") for r in trees])
-    state = base.withColumn("tree_id", F.explode(ids)).withColumn("node_id", F.lit(0))
+    state = df.select(*keep, x.alias("_x")).withColumn("tree_id", F.explode(ids)).withColumn("node_id", F.lit(0))
     cols = [*keep, "_x", "tree_id", "node_id"]
-    leaf_cols = ["feature", "threshold", "left_id", "right_id", "value", "prob", "leaf_value"]
-    table = nodes.select("tree_id", "node_id", *leaf_cols)
+    go = F.when(F.element_at("_x", F.col("feature") + 1) <= F.col("threshold"), F.col("left_id")).otherwise(F.col("right_id"))
+    steps = _deepest(table, max_depth) if small else None
+    if steps is not None:
+        # One struct per node: a pair meets it by its place and keeps it once it is a leaf.
+        for k in range(steps):
+            links = F.broadcast(table.select("tree_id", "node_id", "feature", "threshold", "left_id", "right_id"))
+            state = state.join(links, ["tree_id", "node_id"]).withColumn("node_id", F.when(F.col("feature") < 0, F.col("node_id")).otherwise(go)).select(*cols)
+        ends = F.broadcast(table.filter("feature < 0").select("tree_id", "node_id", "value", "prob", "leaf_value"))
+        return state.join(ends, ["tree_id", "node_id"]).select(*keep, "tree_id", "node_id", "value", "prob", "leaf_value")
+    ensure_checkpoint_dir(df.sparkSession)
     done = None
     for _ in range(max_depth + 1):
         here = attach(state, table, ["tree_id", "node_id"], "inner").checkpoint()
@@ -313,11 +327,26 @@ def route_join(df: DataFrame, nodes: DataFrame, features: Sequence[str], keep: S
         moving = here.filter("feature >= 0")
         if moving.isEmpty():
             break
-        go = F.when(F.element_at("_x", F.col("feature") + 1) <= F.col("threshold"), F.col("left_id")).otherwise(F.col("right_id"))
         state = moving.withColumn("node_id", go).select(*cols)
     return done
 
 
+def _deepest(table: DataFrame, max_depth: int) -> int | None:
+    """Steps from a root to the deepest node of a small table, at most ``max_depth``; None where a node occurs twice."""
+    nodes = {}
+    for r in table.select("tree_id", "node_id", "feature", "left_id", "right_id").collect():
+        if (r["tree_id"], r["node_id"]) in nodes:
+            return None
+        nodes[r["tree_id"], r["node_id"]] = r
+    level, steps = {k for k in nodes if k[1] == 0}, 0
+    while steps < max_depth:
+        level = {(t, c) for t, i in level if nodes[t, i]["feature"] >= 0 for c in (nodes[t, i]["left_id"], nodes[t, i]["right_id"]) if (t, c) in nodes}
+        if not level:
+            break
+        steps += 1
+    return steps
+
+
 def route(df: DataFrame, nodes: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """(row, tree) pairs with the leaf they end in."""
     model = model_rows(nodes)
@@ -342,7 +371,8 @@ def _leaf_sum(df: DataFrame, nodes: DataFrame, features: Sequence[str], leaf: st
         raise ValueError(f"more than {limit} nodes: raise the limit or score the trees in parts")
     rows = fetch_small(nodes, COMPILED_NODES)
     if rows is None and (stored := _stored_sums(nodes, features, leaf)) is not None:
-        return df, *stored
+        # A small file is one split: a large model would walk all its rows in one task.
+        return df if df.isStreaming else spread(df), *stored
     if rows is None and not df.isStreaming:
         return _block_sums(df, nodes, features, leaf)
     if rows is None:
@@ -389,10 +419,10 @@ def _stored_sums(nodes: DataFrame, features: Sequence[str], leaf: str) -> tuple[
     blocks = -(-size // BLOCK_NODES)
     placed = model.withColumn("block", F.pmod(F.xxhash64("tree_id"), F.lit(blocks)).cast("int"))
     placed.repartition(blocks, "block").sortWithinPartitions("block", "tree_id", "node_id").write.partitionBy("block").parquet(path)
-    kept, together = CACHE_BYTES, PASS_ROWS
+    kept, together, most = CACHE_BYTES, PASS_ROWS, GRID_CELLS
 
-    def block(k: int) -> list:
-        """Flat arrays of each tree of a block."""
+    def block(k: int) -> tuple[list, list]:
+        """Grids of the leaves with bounds on at most two features, and flat arrays of each tree that has others."""
         import sys
         from collections import OrderedDict
 
@@ -417,6 +447,7 @@ def _stored_sums(nodes: DataFrame, features: Sequence[str], leaf: str) -> tuple[
                 if len(ids):
                     out.append((int(np.searchsorted(ids, 0)), feature, threshold, np.searchsorted(ids, left), np.searchsorted(ids, right), value))
             used += table.nbytes
+        out = _boxed(out)
         cache[address, k] = used, out
         while len(cache) > 1 and sum(x[0] for x in cache.values()) > kept:
             cache.popitem(last=False)
@@ -427,7 +458,10 @@ def _stored_sums(nodes: DataFrame, features: Sequence[str], leaf: str) -> tuple[
 
         lines, total = np.arange(len(cells)), np.zeros(len(cells))
         for k in range(blocks):
-            for root, feature, threshold, left, right, value in block(k):
+            boxes, trees = block(k)
+            for pair, found in boxes:
+                _add_boxes(total, cells, pair, found, most)
+            for root, feature, threshold, left, right, value in trees:
                 here = np.full(len(cells), root)
                 while (inner := feature[here] >= 0).any():
                     below = cells[lines, np.maximum(feature[here], 0)] <= threshold[here]
@@ -459,6 +493,72 @@ def _stored_sums(nodes: DataFrame, features: Sequence[str], leaf: str) -> tuple[
     return F.pandas_udf(score, "double", F.PandasUDFType.SCALAR_ITER)(cells), trees
 
 
+def _boxed(trees: list) -> tuple[list, list]:
+    """([((feature, feature), boxes)], trees left): a leaf is a box, and a row's sum is that of the boxes around it.
+
+    A box is (low, high, low, high, value) with low < x <= high for each of its features; a missing feature is beyond all
+    bounds. A tree with a leaf that is bound by three features or more, or that has no value, stays as it is.
+    """
+    import numpy as np
+
+    inf, boxes, rest = np.inf, {}, []
+    for tree in trees:
+        root, feature, threshold, left, right, value = (x.tolist() if hasattr(x, "tolist") else x for x in tree)
+        own, todo = [], [(root, {})]
+        while todo and own is not None:
+            i, bounds = todo.pop()
+            if (f := feature[i]) < 0:
+                if len(bounds) > 2 or not np.isfinite(value[i]):
+                    own = None
+                else:
+                    own.append((bounds, value[i]))
+                continue
+            low, high = bounds.get(f, (-inf, inf))
+            t = threshold[i]
+            # Nothing but a missing or infinite feature is beyond an infinite bound; NaN bounds nothing.
+            if t != t or abs(t) == inf or max(left[i], right[i]) >= len(feature) or len(bounds) > 2:
+                own = None
+                continue
+            if low < t:
+                todo.append((left[i], bounds | {f: (low, min(high, t))}))
+            if t < high:
+                todo.append((right[i], bounds | {f: (max(low, t), high)}))
+        if own is None:
+            rest.append(tree)
+            continue
+        for bounds, v in own:
+            pair = [*sorted(bounds), *([-1] * (2 - len(bounds)))]
+            (a, b), (c, d) = (bounds.get(f, (-inf, inf)) for f in pair)
+            if v:
+                boxes.setdefault(tuple(pair), []).append((a, b, c, d, v))
+    return [(pair, np.array(found)) for pair, found in sorted(boxes.items())], rest
+
+
+def _add_boxes(total, cells, pair, boxes, most: int) -> None:
+    """Adds to ``total`` the values of the boxes around each row: differences at the corners, summed along both sides.
+
+    Boxes in the order of their bounds are halved until the grid between their bounds has at most ``most`` cells.
+    """
+    import numpy as np
+
+    x, y = (cells[:, f] if f >= 0 else np.zeros(len(cells)) for f in pair)
+    todo = [boxes[np.lexsort((boxes[:, 2], np.where(np.isfinite(boxes[:, 0]), boxes[:, 0], boxes[:, 1])))]]
+    while todo:
+        own = todo.pop()
+        xs, ys = (np.unique(side[np.isfinite(side)]) for side in (own[:, :2], own[:, 2:4]))
+        if (len(xs) + 2) * (len(ys) + 2) > most and len(own) > 1:
+            todo += [own[:len(own) // 2], own[len(own) // 2:]]
+            continue
+        grid = np.zeros((len(xs) + 2, len(ys) + 2))
+        # A row stands behind as many bounds as lie below it, a missing value behind all.
+        sides = [np.where(own[:, i] == -np.inf, 0, np.searchsorted(v, own[:, i]) + 1) for i, v in ((0, xs), (1, xs), (2, ys), (3, ys))]
+        a, b, c, d = (np.minimum(s, len(v) + 1) for s, v in zip(sides, (xs, xs, ys, ys)))
+        for i, j, sign in ((a, c, 1), (b, c, -1), (a, d, -1), (b, d, 1)):
+            np.add.at(grid, (i, j), sign * own[:, 4])
+        grid = grid.cumsum(axis=0).cumsum(axis=1)
+        total += grid[np.searchsorted(xs, x), np.searchsorted(ys, y)]
+
+
 def _block_sums(df: DataFrame, nodes: DataFrame, features: Sequence[str], leaf: str) -> tuple[DataFrame, Column, int]:
     """The same sum with neither the model nor the rows in one place; only two counts reach the driver.
 

@@ -616,3 +616,57 @@ def test_missing_scores_count_as_negative(spark):
     for r in M.threshold_counts(df, F.col("y"), F.col("s"), [0.5], ["k"]).collect():
         assert (r["tp"], r["fp"], r["fn"], r["tn"]) == (1, 1, 2, 2)
     assert row["auc"] == M.roc_auc(df.fillna(-1.0, ["s"]).replace(NAN, -1.0), F.col("y"), F.col("s")).first()["auc"]
+
+
+def test_boxes_of_leaves_sum_like_walks():
+    """Trees with leaves on at most two features are summed on grids of any size, the others are walked; missing goes right."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+
+    def tree(m):
+        columns = [[], [], [], [], []]
+
+        def add(depth):
+            i = len(columns[0])
+            for c, v in zip(columns, (-1, 0.0, 0, 0, float(rng.normal()))):
+                c.append(v)
+            if depth < 4 and rng.random() < 0.7:
+                columns[0][i], columns[1][i] = int(rng.integers(m)), float(rng.integers(-5, 6))
+                columns[2][i] = add(depth + 1)
+                columns[3][i] = add(depth + 1)
+            return i
+
+        return (add(0), *(np.array(c) for c in columns))
+
+    for m in (1, 2, 4):
+        trees, cells = [tree(m) for _ in range(60)], rng.integers(-6, 7, (200, m)).astype(float)
+        for odd in (np.nan, np.inf, -np.inf):
+            cells[rng.random(cells.shape) < 0.05] = odd
+
+        def walked(some, total):
+            for root, feature, threshold, left, right, value in some:
+                for k, x in enumerate(cells):
+                    i = root
+                    while feature[i] >= 0:
+                        i = left[i] if x[feature[i]] <= threshold[i] else right[i]
+                    total[k] += value[i]
+            return total
+
+        for most in (1 << 20, 20):
+            boxes, rest = T._boxed(trees)
+            got = walked(rest, np.zeros(len(cells)))
+            for pair, found in boxes:
+                T._add_boxes(got, cells, pair, found, most)
+            assert (m < 3) == (not rest) and np.allclose(got, walked(trees, np.zeros(len(cells))), atol=1e-9)
+
+
+def test_small_models_route_without_checkpoints(spark, sf, monkeypatch):
+    def refused(*_):
+        raise AssertionError("a model that is broadcast needs no checkpoint")
+
+    df, nodes = V.flows(spark, sf).limit(50), V.forest(spark, sf)
+    trees = nodes.select("tree_id").distinct().count()
+    with monkeypatch.context() as m:
+        m.setattr(type(df), "checkpoint", refused)
+        assert T.route_join(df, nodes, V.INPUTS, ["row_key"]).count() == 50 * trees
