@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..operators import boosting as G, histograms as H, models as Z, network as N, trees as T
-from ..plans.small import ensure_checkpoint_dir
+from ..plans.small import ensure_checkpoint_dir, written
 from . import views as V
 from .registry import query, r, ratio
 
@@ -209,7 +209,7 @@ _SUPPLIED = ("s_suppkey AS row_key, 0 AS y, cast(s_suppkey % 50 as double) AS f0
     CASE WHEN sum(value) > (SELECT count(DISTINCT tree_id) FROM grove) // 2 THEN 1 ELSE 0 END AS pred FROM lf GROUP BY row_key""", ("grove",))
 def grove_scores(spark, sf):
     """All three votes of a forest of thousands of trees."""
-    nodes = V.grove(spark, sf)
+    nodes = _stored_grove(spark, sf)
     df = V.table(spark, sf, "supplier").selectExpr(*[e.strip() for e in (
         "s_suppkey AS row_key", "cast(s_suppkey % 50 as double) AS f0", "s_acctbal * 5 AS f1", "cast(0 as double) AS f2", "cast(0 as double) AS f3")])
     df = T.boosted_score(T.soft_vote(df, nodes, FEATS), nodes, FEATS, 0.5, 0.01)
@@ -416,16 +416,27 @@ def early_stop_round(spark, sf):
     return G.early_stop(V.losses(spark, sf), "run", "round", "val_loss", patience=5)
 
 
-# --- MLlib forest -------------------------------------------------------------------------
+# --- trained classifiers ------------------------------------------------------------------
+
+def _split_flows(spark, sf):
+    """The split rows, narrow and written once: a trainer reads them many times."""
+    from ..operators import sample as S
+
+    return written(S.split_stratified(V.flows(spark, sf), "y", ["row_key"], 0.2).select("split", "y", *FEATS), "split")
+
+
+def _evaluated(scored):
+    """Metrics per split. Every row is scored once: the area reads the scores several times."""
+    from ..operators import metrics as M
+
+    return M.evaluate(written(scored.select("split", "y", "score"), "scored"), F.col("y"), F.col("score"), ["split"])
+
 
 @query("random_forest_train")
 def random_forest_train(spark, sf):
-    from ..operators import metrics as M, sample as S
-
-    df = S.split_stratified(V.flows(spark, sf), "y", ["row_key"], 0.2)
+    df = _split_flows(spark, sf)
     model = Z.forest_train(df.filter("split = 'train'"), FEATS, "y", trees=10, max_depth=5, min_leaf=20)
-    scored = Z.score(model, df.select("split", "y", *FEATS), FEATS)
-    return M.evaluate(scored, F.col("y"), F.col("score"), ["split"])
+    return _evaluated(Z.score(model, df, FEATS))
 
 
 @query("random_forest_nodes")
@@ -436,20 +447,20 @@ def random_forest_nodes(spark, sf):
 
 @query("mlp_train")
 def mlp_train(spark, sf):
-    from ..operators import metrics as M, sample as S, scale as K
+    from ..operators import scale as K
 
-    df = S.split_stratified(V.flows(spark, sf), "y", ["row_key"], 0.2)
+    df = _split_flows(spark, sf)
     scaled = K.transform(df, K.robust_fit(df.filter("split = 'train'"), FEATS))
     model = Z.perceptron_train(scaled.filter("split = 'train'"), FEATS, "y", hidden=(8,), epochs=20)
-    return M.evaluate(Z.score(model, scaled.select("split", "y", *FEATS), FEATS), F.col("y"), F.col("score"), ["split"])
+    return _evaluated(Z.score(model, scaled.select("split", "y", *FEATS), FEATS))
 
 
 @query("net_train_balanced")
 def net_train_balanced(spark, sf):
     """A net trained with balanced classes and a focal loss on all training rows, by gradient sums."""
-    from ..operators import metrics as M, sample as S, scale as K
+    from ..operators import scale as K
 
-    df = S.split_stratified(V.flows(spark, sf), "y", ["row_key"], 0.2)
+    df = _split_flows(spark, sf)
     scaled = K.transform(df, K.robust_fit(df.filter("split = 'train'"), FEATS))
     layers, _ = N.train(scaled.filter("split = 'train'"), FEATS, "y", hidden=(8,), steps=40, rate=0.1, loss=N.Loss(gamma=1.0), weights="balanced")
-    return M.evaluate(N.score(scaled.select("split", "y", *FEATS), layers, FEATS), F.col("y"), F.col("score"), ["split"])
+    return _evaluated(N.score(scaled.select("split", "y", *FEATS), layers, FEATS))
