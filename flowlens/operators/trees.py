@@ -16,7 +16,7 @@ from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..plans.ordered import add_buckets, bucket_edges, running_sums
-from ..plans.small import attach, check_free, ensure_checkpoint_dir, fetch_small, materialise, scratch_path, settle, spread
+from ..plans.small import attach, check_free, ensure_checkpoint_dir, fetch_small, materialise, scratch_path, settle
 from .sample import bootstrap, bootstrap_weighted, resolve_max_features
 
 register_pickle_by_value(sys.modules[__name__])
@@ -371,8 +371,7 @@ def _leaf_sum(df: DataFrame, nodes: DataFrame, features: Sequence[str], leaf: st
         raise ValueError(f"more than {limit} nodes: raise the limit or score the trees in parts")
     rows = fetch_small(nodes, COMPILED_NODES)
     if rows is None and (stored := _stored_sums(nodes, features, leaf)) is not None:
-        # A small file is one split: a large model would walk all its rows in one task.
-        return df if df.isStreaming else spread(df), *stored
+        return df, *stored
     if rows is None and not df.isStreaming:
         return _block_sums(df, nodes, features, leaf)
     if rows is None:
